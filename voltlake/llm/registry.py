@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from voltlake.llm import packing
+from voltlake.llm import langid, packing, quality, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1,
+        "op3_quality": quality.op3,
+        "op7_language_id": langid.op7,
         "op10_best_fit_packing": packing.op10,
     }
 
