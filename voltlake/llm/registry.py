@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from voltlake.llm import langid, packing, quality, toxicity
+from voltlake.llm import jaccard, langid, packing, quality, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_toxicity": toxicity.op1,
         "op3_quality": quality.op3,
         "op7_language_id": langid.op7,
+        "op9_jaccard_join": jaccard.op9,
         "op10_best_fit_packing": packing.op10,
     }
 
