@@ -369,3 +369,11 @@ def join(docs: DataFrame, n: int = 3, keep: int = 90) -> DataFrame:
 def op9(spark, sf_dir: str) -> DataFrame:
     """Three-word shingles of every document, linked at a Jaccard similarity of 0.9."""
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def keep_one(docs: DataFrame, n: int = 3, keep: int = 90) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its linked group; rows without an id stay."""
+    other = join(docs.select("doc_id", "text"), n, keep).where("doc_id <> component_id").select("doc_id").distinct()
+    other = scratch.table(other, "later-rows")
+    few = other.limit(2_000_001).count() <= 2_000_000
+    return docs.join(F.broadcast(other) if few else other, "doc_id", "left_anti")

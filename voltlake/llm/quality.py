@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voltlake.llm import scratch, textbatch
 
@@ -179,6 +180,31 @@ def classify(docs: DataFrame, labels: DataFrame, host, path, site_weight: float
     return got.select("doc_id", "host", "path", "logit", "host_posterior", "path_posterior", (1 / (1 + F.exp(-z))).alias("quality_score")).withColumn("kept", F.col("quality_score") >= 0.5)
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, host, path, site_weight: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their own columns."""
+    own = labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    w = fit(docs, own)
+    ev = evidence(docs.select("doc_id", host.alias("host"), path.alias("path"), "text"), w, ["doc_id", "host", "path"])
+    ev = scratch.table(ev, "quality-evidence")
+    site = scratch.table(posteriors(ev, own).select(F.col("host").alias("_host"), F.col("path").alias("_path"), "site_logit"), "sites")
+    shared = docs.sparkSession.sparkContext.broadcast(w)
+    names, at = docs.columns, docs.columns.index("text")
+
+    def run(batches):
+        w = shared.value
+        for b in batches:
+            parts = [form(data, off) for *_, data, off in textbatch.chunks(b.column(at))]
+            x = np.vstack(parts) if parts else np.zeros((0, len(NAMES)))
+            z = expand(x) @ w[:-1] + w[-1] if w is not None and len(x) else np.full(len(x), 3.0)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.clip(z, -20.0, 20.0))], [*names, "_logit"])
+
+    kinds = T.StructType([*docs.schema.fields, T.StructField("_logit", T.DoubleType())])
+    scored = docs.mapInArrow(run, kinds).withColumns({"_h": host, "_p": path})
+    site = F.broadcast(site) if site.limit(20_001).count() <= 20_000 else site
+    got = scored.join(site, F.col("_h").eqNullSafe(F.col("_host")) & F.col("_p").eqNullSafe(F.col("_path")), "left")
+    return got.where(F.col("_logit") + site_weight * F.coalesce("site_logit", F.lit(0.0)) >= 0).select(*names)
+
+
 def site_bound(ev: DataFrame, most: int = 20_000) -> bool:
     """Whether the groups are few enough to broadcast, by an exact count of at most most + 1."""
     return ev.select("host", "path").distinct().limit(most + 1).count() <= most
