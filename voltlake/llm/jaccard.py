@@ -85,6 +85,8 @@ def bounds(m: int) -> np.ndarray:
 def parts(s: np.ndarray, keep: int = 90) -> np.ndarray:
     """A set's part hashes at its own level and, where a partner may be there, the next."""
     size = len(s)
+    if keep < 63:
+        raise ValueError("size levels need a similarity of 0.63 at least")
     own = int(np.searchsorted(_LEVELS, size, "right")) - 1
     out = []
     for level in (own, own + 1):
