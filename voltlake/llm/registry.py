@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from voltlake.llm import jaccard, langid, packing, quality, substrings, toxicity
+from voltlake.llm import jaccard, langid, neardup_vectors, neighbours, packing, quality, substrings, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1,
         "op3_quality": quality.op3,
+        "op4_embedding_neardup": neardup_vectors.op4,
         "op5_suffix_dedup": substrings.op5,
         "op7_language_id": langid.op7,
+        "op8_neighbours": neighbours.op8,
         "op9_jaccard_join": jaccard.op9,
         "op10_best_fit_packing": packing.op10,
     }
