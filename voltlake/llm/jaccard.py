@@ -126,10 +126,10 @@ def _stars(sig: np.ndarray, doc: np.ndarray):
     return sig, doc, new, doc[new][np.cumsum(new) - 1]
 
 
-def _pairs(doc: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
+def _pairs(doc: np.ndarray, least: np.ndarray, buckets: int) -> pa.RecordBatch:
     far = doc != least
     both = np.unique(np.stack([least[far], doc[far]], axis=1), axis=0) if far.any() else np.zeros((0, 2), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(both), -1, np.int32)), pa.array([None] * len(both), pa.binary()), pa.array(both[:, 0]), pa.array(both[:, 1])], ["bucket", "data", "a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array((np.arange(len(both)) % buckets).astype(np.int32)), pa.array([None] * len(both), pa.binary()), pa.array(both[:, 0]), pa.array(both[:, 1])], ["bucket", "data", "a", "b"])
 
 
 def candidates(docs: DataFrame, n: int, keep: int) -> DataFrame:
@@ -146,7 +146,7 @@ def candidates(docs: DataFrame, n: int, keep: int) -> DataFrame:
             held.clear()
             ids.clear()
             sig, doc, new, least = _stars(sig, doc)
-            yield _pairs(doc, least)
+            yield _pairs(doc, least, buckets)
             sig, doc = sig[new], doc[new]
             to = ((sig >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(to, kind="stable")
@@ -175,17 +175,20 @@ def candidates(docs: DataFrame, n: int, keep: int) -> DataFrame:
     def meet(batches):
         sig, doc = [], []
         for b in batches:
-            for x in b.column("data").to_pylist():
+            local = b.filter(b.column("data").is_null())
+            if local.num_rows:
+                yield local.select(["a", "b"])
+            for x in b.column("data").drop_null().to_pylist():
                 half = len(x) // 2
                 sig.append(np.frombuffer(x[:half], np.uint64))
                 doc.append(np.frombuffer(x[half:], np.int64))
         if sig:
             _, doc, _, least = _stars(np.concatenate(sig), np.concatenate(doc))
-            yield _pairs(doc, least).select(["a", "b"])
+            yield _pairs(doc, least, buckets).select(["a", "b"])
 
-    sent = scratch.table(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(send, "bucket int, data binary, a long, b long"), "parts")
-    met = sent.where("bucket >= 0").select("bucket", "data").repartition(buckets, "bucket").mapInArrow(meet, "a long, b long")
-    return sent.where("bucket < 0").select("a", "b").union(met).distinct()
+    text = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    sent = text.mapInArrow(send, "bucket int, data binary, a long, b long")
+    return sent.repartition(buckets, "bucket").mapInArrow(meet, "a long, b long").distinct()
 
 
 class Forest:
@@ -306,18 +309,21 @@ def _searched(rows: DataFrame, keys: list[str], keep: int, cross: bool) -> DataF
     return dealt.select(*keys, "doc_id", "label", "rest", "data").mapInArrow(run, "a long, b long")
 
 
-def links(docs: DataFrame, n: int, keep: int, block: int = 512, pivots: int = 4) -> DataFrame:
-    """(doc_id, component) of the documents (distinct sets, none empty) that link with others."""
+def links(docs: DataFrame, reps: DataFrame, n: int, keep: int, block: int = 512, pivots: int = 4) -> DataFrame:
+    """(doc_id, component) of the representatives (``reps``: doc_id; distinct sets, none empty) that link with
+    others."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    maybe = scratch.table(components(candidates(text, n, keep)).withColumnsRenamed({"node": "doc_id", "component": "comp"}), "maybe")
+    maybe = components(candidates(text, n, keep)).withColumnsRenamed({"node": "doc_id", "component": "comp"})
+    maybe = scratch.table(maybe.join(reps, "doc_id", "left_semi"), "candidates")
+    size = scratch.table(maybe.groupBy("comp").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    maybe = scratch.table(maybe.join(size, "comp", "left_semi"), "maybe")
 
     def encode(batches):
         for b in batches:
             for i, j, data, off in textbatch.chunks(b.column("text")):
                 yield pa.RecordBatch.from_arrays([b.column("doc_id")[i:j], b.column("comp")[i:j], pa.array([s.tobytes() for s in sets(data, off, n)], pa.binary())], ["doc_id", "comp", "data"])
 
-    held = scratch.table(text.join(maybe, "doc_id").select("doc_id", "comp", "text").mapInArrow(encode, "doc_id long, comp long, data binary"), "sets")
-    size = scratch.table(maybe.groupBy("comp").agg(F.count("*").alias("size")), "sizes")
+    held = scratch.table(text.join(scratch.checked(maybe), "doc_id").select("doc_id", "comp", "text").mapInArrow(encode, "doc_id long, comp long, data binary"), "sets")
     rows = held.join(size, "comp")
     blocks = F.ceil(F.col("size") / block)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks))
@@ -361,8 +367,7 @@ def join(docs: DataFrame, n: int = 3, keep: int = 90) -> DataFrame:
     base = scratch.table(measured(docs, n), "measured")
     full = base.where("n_shingles > 0")
     reps = scratch.table(full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep")), "reps")
-    chosen = docs.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    linked = scratch.table(links(chosen, n, keep), "linked")
+    linked = scratch.table(links(docs, reps.select(F.col("rep").alias("doc_id")), n, keep), "linked")
     known = base.join(reps, ["h1", "h2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     got = scratch.table(known, "known").join(linked.select(F.col("doc_id").alias("rep"), "component"), "rep", "left")
     return got.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))

@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: list[str] = []
 
@@ -30,3 +31,9 @@ def table(df: DataFrame, name: str) -> DataFrame:
     path = f"{root(df.sparkSession)}/voltlake-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checked(ids: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """Ids to be joined with texts: broadcast if a count finds at most ``most`` (16 MB of longs), else as they are,
+    so that Spark shuffles."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
