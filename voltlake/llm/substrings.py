@@ -369,12 +369,12 @@ def dedup(docs: DataFrame, depth: int = 50, with_text: bool = False) -> DataFram
     first = scratch.table(keys.groupBy("sha").agg(F.min("doc_id").alias("first")), "first-texts")
     tagged = scratch.table(keys.join(first, "sha"), "tagged")
     part = tagged.where((F.col("doc_id") == F.col("first")) & (F.col("n_bytes") >= depth)).select("doc_id").distinct()
-    held = base.join(checked(part), "doc_id", "left_semi")
+    held = base.join(scratch.checked(part), "doc_id", "left_semi")
     cut = scratch.table(segments(shared_hashes(held, depth, n), held, depth, n), "segments")
     late = scratch.table(sort_shards(cut, depth, n), "runs")
     runs = cut.where("kind <> 2").union(late)
     ids = scratch.table(runs.where("kind = 3").select("doc_id").distinct(), "run-ids")
-    changed = apply_runs(runs.where("kind = 0"), base.join(checked(ids), "doc_id", "left_semi"), n, with_text)
+    changed = apply_runs(runs.where("kind = 0"), base.join(scratch.checked(ids), "doc_id", "left_semi"), n, with_text)
     changed = scratch.table(changed.dropDuplicates(["doc_id"]), "changed")
     copy = (F.col("doc_id") > F.col("first")) & (F.col("n_bytes") >= depth)
     got = tagged.join(changed, "doc_id", "left").select(
@@ -387,11 +387,6 @@ def dedup(docs: DataFrame, depth: int = 50, with_text: bool = False) -> DataFram
     return got if with_text else got.drop("kept_text")
 
 
-def checked(ids: DataFrame, most: int = 2_000_000) -> DataFrame:
-    """Ids to be joined: broadcast if they are counted to be few, else as they are."""
-    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
-
-
 def op5(spark, sf_dir: str) -> DataFrame:
     """Every document without the 50-byte strings that an earlier one holds."""
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
