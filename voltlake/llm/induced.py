@@ -92,7 +92,7 @@ def sorted_seeds(text: np.ndarray, seeds: np.ndarray, depth: int) -> np.ndarray:
     return seeds
 
 
-def order(text: np.ndarray, starts: np.ndarray, depth: int = 50, memory: int = 1 << 24, folder: str | None = None) -> np.ndarray:
+def order(text: np.ndarray, starts: np.ndarray, depth: int = 50, memory: int = 1 << 21, folder: str | None = None) -> np.ndarray:
     """``starts`` (a boolean mask over ``text``) in the order of their suffixes to ``depth`` bytes. The text must end in PAD
     bytes made by ``padded``."""
     with tempfile.TemporaryDirectory(dir=folder) as own:
@@ -111,7 +111,7 @@ def order(text: np.ndarray, starts: np.ndarray, depth: int = 50, memory: int = 1
         step = np.zeros(len(text) + 1, np.int32)
         np.add.at(step, begin, 1)
         np.subtract.at(step, end + 1, 1)
-        needed = np.cumsum(step[:-1]) > 0
+        needed = np.cumsum(step[:-1], dtype=np.int32) > 0
         seeds = sorted_seeds(text, np.flatnonzero(low & needed), depth)
         first = np.asarray(text[seeds])
         edges = np.searchsorted(first, np.arange(257))

@@ -112,7 +112,7 @@ def _packed(blob: bytes, *kinds) -> list[np.ndarray]:
 def shared_hashes(docs: DataFrame, depth: int, n: int) -> DataFrame:
     """(g, data): for each group of documents the minimizer hashes that another document has too."""
 
-    def send(batches, most: int = 4_000_000):
+    def send(batches, most: int = 1_000_000):
         held, size = [], 0
 
         def flush():
@@ -192,7 +192,7 @@ def _with_texts(rows: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     return rows.select("g", "kind", "doc_id", "data").union(texts).repartition(n, "g").sortWithinPartitions("g", "kind")
 
 
-def segments(shared: DataFrame, docs: DataFrame, depth: int, n: int) -> DataFrame:
+def segments(shared: DataFrame, docs: DataFrame, depth: int, n: int, shards: int) -> DataFrame:
     """Rows of kind 2 (to a shard: segments), kind 0 (to a group: runs) and kind 3 (an id with runs)."""
 
     def cut(batches):
@@ -212,11 +212,11 @@ def segments(shared: DataFrame, docs: DataFrame, depth: int, n: int) -> DataFram
                 d, p, e = doc[late], pos[late], pos[late] + count[late] + depth - 1
                 yield from _runs(d, p, e, n)
             go = np.flatnonzero(~late)
-            to = ((h[go] >> np.uint64(40)) % np.uint64(n)).astype(np.int64)
+            to = ((h[go] >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
             go = go[np.argsort(to, kind="stable")]
             to = np.sort(to, kind="stable")
-            at = np.searchsorted(to, np.arange(n + 1))
-            own = [k for k in range(n) if at[k] < at[k + 1]]
+            at = np.searchsorted(to, np.arange(shards + 1))
+            own = [k for k in range(shards) if at[k] < at[k + 1]]
             blobs = []
             for k in own:
                 x = go[at[k] : at[k + 1]]
@@ -240,7 +240,7 @@ def segments(shared: DataFrame, docs: DataFrame, depth: int, n: int) -> DataFram
                 raw = [flat[s:e] for s, e in zip(at.tolist(), (end + depth - 1).tolist(), strict=True)]
                 held.append((ids[i + doc], at - off[doc], end - at, h, key, raw))
                 size += sum(map(len, raw))
-                if size > 1 << 25:
+                if size > 1 << 23:
                     yield from flush()
                     size = 0
         if size:
@@ -279,7 +279,7 @@ def _runs(doc, start, end, n: int):
     yield _rows([-1] * len(ids), [3] * len(ids), ids, [None] * len(ids))
 
 
-def sort_shards(rows: DataFrame, depth: int, n: int, memory: int = 1 << 26) -> DataFrame:
+def sort_shards(rows: DataFrame, depth: int, n: int, shards: int, memory: int = 1 << 21) -> DataFrame:
     """Runs (kind 0) and ids (kind 3) that each shard's sorted strings remove."""
 
     def shard(batches):
@@ -311,7 +311,7 @@ def sort_shards(rows: DataFrame, depth: int, n: int, memory: int = 1 << 26) -> D
             start = pos[segment[out]] + sorted_[out] - begin[segment[out]]
             yield from _runs(own[out], start, start + depth, n)
 
-    return rows.where("kind = 2").select("g", "data").repartition(n, "g").mapInArrow(shard, _ROW)
+    return rows.where("kind = 2").select("g", "data").repartition(shards, "g").mapInArrow(shard, _ROW)
 
 
 def snapped(data: bytes, start: np.ndarray, end: np.ndarray) -> str:
@@ -364,14 +364,15 @@ def dedup(docs: DataFrame, depth: int = 50, with_text: bool = False) -> DataFram
     (runs narrowed to whole characters)."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = 4 * n
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keys = scratch.table(base.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "texts")
     first = scratch.table(keys.groupBy("sha").agg(F.min("doc_id").alias("first")), "first-texts")
     tagged = scratch.table(keys.join(first, "sha"), "tagged")
     part = tagged.where((F.col("doc_id") == F.col("first")) & (F.col("n_bytes") >= depth)).select("doc_id").distinct()
     held = base.join(scratch.checked(part), "doc_id", "left_semi")
-    cut = scratch.table(segments(shared_hashes(held, depth, n), held, depth, n), "segments")
-    late = scratch.table(sort_shards(cut, depth, n), "runs")
+    cut = scratch.table(segments(shared_hashes(held, depth, n), held, depth, n, shards), "segments")
+    late = scratch.table(sort_shards(cut, depth, n, shards), "runs")
     runs = cut.where("kind <> 2").union(late)
     ids = scratch.table(runs.where("kind = 3").select("doc_id").distinct(), "run-ids")
     changed = apply_runs(runs.where("kind = 0"), base.join(scratch.checked(ids), "doc_id", "left_semi"), n, with_text)
