@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PARTS = ("q_windows",)
+PARTS = ("q_windows", "q_geo")
 
 
 def _parts():
