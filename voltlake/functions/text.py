@@ -7,6 +7,7 @@ from itertools import chain
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space beyond ASCII that counts as such (fixed values).
 SPACES = "    -     　"
@@ -24,7 +25,7 @@ def slug_ascii(text: Column) -> Column:
     return F.when(s == "", "unknown").otherwise(s)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decomposed(text: pd.Series) -> pd.Series:
     """NFKD without what is not ASCII; Spark has no normalising function."""
     return text.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")

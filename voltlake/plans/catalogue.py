@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PARTS = ("q_windows", "q_geo", "q_text", "q_data")
+PARTS = ("q_windows", "q_geo", "q_text", "q_data", "q_flows")
 
 
 def _parts():
