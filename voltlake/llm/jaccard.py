@@ -364,6 +364,11 @@ def least_of(rows: DataFrame, k: int) -> DataFrame:
 
 def join(docs: DataFrame, n: int = 3, keep: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+    with scratch.small_batches(docs.sparkSession):
+        return _join(docs, n, keep)
+
+
+def _join(docs: DataFrame, n: int, keep: int) -> DataFrame:
     base = scratch.table(measured(docs, n), "measured")
     full = base.where("n_shingles > 0")
     reps = scratch.table(full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep")), "reps")

@@ -264,5 +264,4 @@ def pack(cuts: DataFrame, capacity: int = 2048, salts: int = 64, rounds: int = 2
 
 def op10(spark, sf_dir: str) -> DataFrame:
     """Every document's pieces with their sequence and offset (2048 tokens a sequence)."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pack(scratch.table(pieces(docs), "pieces"))
+    return pack(scratch.table(pieces(spark.read.parquet(f"{sf_dir}/documents.parquet")), "pieces"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,3 +38,28 @@ def checked(ids: DataFrame, most: int = 2_000_000) -> DataFrame:
     """Ids to be joined with texts: broadcast if a count finds at most ``most`` (16 MB of longs), else as they are,
     so that Spark shuffles."""
     return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500):
+    """Arrow batches of whole texts with few rows each, for what runs inside; the session's setting returns after."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def tidy() -> None:
+    """Give freed memory of a Python worker back to the system; workers serve many tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        return  # not this C library

@@ -24,6 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -157,6 +158,7 @@ def shared_hashes(docs: DataFrame, depth: int, n: int) -> DataFrame:
             bare, g = bare[keep], g[keep].astype(np.int64)
             if len(bare):
                 yield _dealt(g, n, 0, bare)
+        scratch.tidy()
 
     sent = docs.select("doc_id", "text").mapInArrow(send, _ROW)
     return sent.select("g", "data").repartition(n, "g").mapInArrow(meet, _ROW)
@@ -245,6 +247,7 @@ def segments(shared: DataFrame, docs: DataFrame, depth: int, n: int, shards: int
                     size = 0
         if size:
             yield from flush()
+        scratch.tidy()
 
     last: dict[int, np.ndarray] = {}
 
@@ -280,12 +283,16 @@ def _runs(doc, start, end, n: int):
 
 
 def sort_shards(rows: DataFrame, depth: int, n: int, shards: int, memory: int = 1 << 21) -> DataFrame:
-    """Runs (kind 0) and ids (kind 3) that each shard's sorted strings remove."""
+    """Runs (kind 0) and ids (kind 3) that each shard's sorted strings remove; those found before pass through."""
 
     def shard(batches):
         doc, pos, count, parts = [], [], [], []
         for b in batches:
-            for x in b.column("data").to_pylist():
+            is_segment = pc.equal(b.column("kind"), 2)
+            known = b.filter(pc.invert(is_segment))
+            if known.num_rows:
+                yield known
+            for x in b.column("data").filter(is_segment).to_pylist():
                 d, p, c = _packed(x, np.int64, np.int64, np.int64)
                 doc.append(d)
                 pos.append(p)
@@ -310,8 +317,9 @@ def sort_shards(rows: DataFrame, depth: int, n: int, shards: int, memory: int =
         if out.any():
             start = pos[segment[out]] + sorted_[out] - begin[segment[out]]
             yield from _runs(own[out], start, start + depth, n)
+        scratch.tidy()
 
-    return rows.where("kind = 2").select("g", "data").repartition(shards, "g").mapInArrow(shard, _ROW)
+    return rows.repartition(shards, "g").mapInArrow(shard, _ROW)
 
 
 def snapped(data: bytes, start: np.ndarray, end: np.ndarray) -> str:
@@ -360,6 +368,12 @@ def apply_runs(runs: DataFrame, docs: DataFrame, n: int, with_text: bool) -> Dat
 
 
 def dedup(docs: DataFrame, depth: int = 50, with_text: bool = False) -> DataFrame:
+    """See ``_dedup``; its Python stages run on small Arrow batches."""
+    with scratch.small_batches(docs.sparkSession):
+        return _dedup(docs, depth, with_text)
+
+
+def _dedup(docs: DataFrame, depth: int, with_text: bool) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; ``with_text`` adds kept_text
     (runs narrowed to whole characters)."""
     spark = docs.sparkSession
@@ -371,9 +385,8 @@ def dedup(docs: DataFrame, depth: int = 50, with_text: bool = False) -> DataFram
     tagged = scratch.table(keys.join(first, "sha"), "tagged")
     part = tagged.where((F.col("doc_id") == F.col("first")) & (F.col("n_bytes") >= depth)).select("doc_id").distinct()
     held = base.join(scratch.checked(part), "doc_id", "left_semi")
-    cut = scratch.table(segments(shared_hashes(held, depth, n), held, depth, n, shards), "segments")
-    late = scratch.table(sort_shards(cut, depth, n, shards), "runs")
-    runs = cut.where("kind <> 2").union(late)
+    runs = sort_shards(segments(shared_hashes(held, depth, n), held, depth, n, shards), depth, n, shards)
+    runs = scratch.table(runs, "runs")
     ids = scratch.table(runs.where("kind = 3").select("doc_id").distinct(), "run-ids")
     changed = apply_runs(runs.where("kind = 0"), base.join(scratch.checked(ids), "doc_id", "left_semi"), n, with_text)
     changed = scratch.table(changed.dropDuplicates(["doc_id"]), "changed")
