@@ -9,8 +9,9 @@
 3. Each group is searched by signature trees: nodes hold the OR (and AND) of their token
    bitmaps and their size range, and a dual traversal drops node pairs whose largest possible
    overlap is too small or that are linked already. What is left is verified on the sets.
-   Groups larger than ``block`` are dealt out in blocks that share pivots; rows that the
-   largest link component of a group leaves out then meet every block of the group.
+   Large groups are cut by size level; levels larger than ``block`` are dealt out in blocks that
+   share pivots, and rows that the largest link component of a level leaves out then meet every block
+   of it.
 
 Edge cases: null or empty text has no set and links with nothing; fewer words than n are one
 element, the whole sequence; equal rows share a component; an empty table gives an empty result.
@@ -18,9 +19,11 @@ element, the whole sequence; equal rows share a component; an empty table gives
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltlake.llm import scratch, streams, textbatch
@@ -61,15 +64,17 @@ def sets(data: np.ndarray, off: np.ndarray, n: int = 3) -> list[np.ndarray]:
     return out
 
 
-def levels(limit: int = 1 << 40) -> list[int]:
-    """Lower bounds of the size levels, each 1.6 times the last."""
-    out = [1]
-    while out[-1] < limit:
-        out.append(max(out[-1] + 1, int(out[-1] * 1.6)))
-    return out
+_LEVELS: dict[int, np.ndarray] = {}
 
 
-_LEVELS = np.array(levels())
+def levels(keep: int) -> np.ndarray:
+    """Lower bounds of the size levels: partners at ``keep`` % are on the same level or the next."""
+    if keep not in _LEVELS:
+        out = [1]
+        while out[-1] < 1 << 40:
+            out.append(max(out[-1] + 1, int(out[-1] * 103 / keep) + 1))
+        _LEVELS[keep] = np.array(out)
+    return _LEVELS[keep]
 
 
 _BOUNDS: dict[int, np.ndarray] = {}
@@ -85,14 +90,13 @@ def bounds(m: int) -> np.ndarray:
 def parts(s: np.ndarray, keep: int = 90) -> np.ndarray:
     """A set's part hashes at its own level and, where a partner may be there, the next."""
     size = len(s)
-    if keep < 63:
-        raise ValueError("size levels need a similarity of 0.63 at least")
-    own = int(np.searchsorted(_LEVELS, size, "right")) - 1
+    lower = levels(keep)
+    own = int(np.searchsorted(lower, size, "right")) - 1
     out = []
     for level in (own, own + 1):
-        if level > own and size * 100 < keep * _LEVELS[level]:
+        if level > own and size * 100 < keep * lower[level]:
             break
-        most = int(_LEVELS[level + 1]) - 1
+        most = int(lower[level + 1]) - 1
         m = (2 * most * (100 - keep)) // (100 + keep) + 1
         at = np.searchsorted(s, bounds(m))
         sums = np.zeros(size + 1, np.uint64)
@@ -324,40 +328,45 @@ def links(docs: DataFrame, reps: DataFrame, n: int, keep: int, block: int = 512,
                 yield pa.RecordBatch.from_arrays([b.column("doc_id")[i:j], b.column("comp")[i:j], pa.array([s.tobytes() for s in sets(data, off, n)], pa.binary())], ["doc_id", "comp", "data"])
 
     held = scratch.table(text.join(scratch.checked(maybe), "doc_id").select("doc_id", "comp", "text").mapInArrow(encode, "doc_id long, comp long, data binary"), "sets")
-    rows = held.join(size, "comp")
-    blocks = F.ceil(F.col("size") / block)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks))
+    # Groups: a whole candidate component, or, where it is large, each size level with the one below.
+    group = ["comp", "lvl"]
+    level = F.floor(F.log((F.octet_length("data") / 8).cast("double")) / (1.001 * math.log(100 / keep)))
+    wide = held.join(size, "comp").select("doc_id", "comp", F.when(F.col("size") > block, F.array(level, level + 1)).otherwise(F.array(F.lit(-1).cast("long"))).alias("lvls"))
+    placed = scratch.table(wide.select("doc_id", "comp", F.explode("lvls").alias("lvl")), "placed")
+    count = placed.groupBy(*group).agg(F.count("*").alias("size")).where("size > 1")
+    placed = scratch.table(placed.join(count, group).withColumn("blocks", F.ceil(F.col("size") / block).cast("long")), "groups")
+    data = held.select("doc_id", "data")
+    first = placed.select("doc_id", *group, F.pmod(F.xxhash64("doc_id"), "blocks").alias("block"))
     # A large group's pivots, its smallest documents by id, are in every block.
-    large = maybe.join(size.where(F.col("size") > block), "comp")
-    pivot = least_of(large, pivots)
-    shared = held.join(pivot, ["comp", "doc_id"]).join(size, "comp").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    first = rows.unionByName(shared).withColumns({"label": F.col("doc_id"), "rest": F.lit(False)})
-    near = scratch.table(_searched(first, ["comp", "block"], keep, False), "near-links")
+    large = placed.where("blocks > 1")
+    shared = large.join(least_of(large, group, pivots), [*group, "doc_id"]).select("doc_id", *group, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    first = first.union(shared).join(data, "doc_id").withColumns({"label": F.col("doc_id"), "rest": F.lit(False)})
+    near = scratch.table(_searched(first, [*group, "block"], keep, False), "near-links")
     # Rows outside the largest link component of a group of several blocks meet every block.
     joined = scratch.table(components(near), "joined")
-    label = large.join(joined, large["doc_id"] == joined["node"], "left").select("comp", "size", "doc_id", F.coalesce("component", "doc_id").alias("label"))
-    label = scratch.table(label, "labels")
-    weight = label.groupBy("comp", "label").agg(F.count("*").alias("w"))
-    main = scratch.table(weight.groupBy("comp").agg(F.max_by("label", F.struct("w", "label")).alias("main"), F.count("*").alias("k")).where("k > 1"), "main")
-    tagged = label.join(main, "comp").withColumn("rest", F.col("label") != F.col("main"))
-    rest = scratch.table(tagged.where("rest").withColumn("to", F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), blocks))), "rest")
-    if rest.isEmpty():
+    if large.isEmpty():
         return joined.select(F.col("node").alias("doc_id"), "component")
-    own = tagged.select("comp", "doc_id", "label", F.lit(False).alias("rest"), F.pmod(F.xxhash64("doc_id"), blocks).alias("block"))
-    own = own.join(rest.groupBy("comp").agg(F.collect_set("to").alias("tos")), "comp").withColumn("to", F.explode("tos")).drop("tos")
-    more = rest.select("comp", "doc_id", "label", "rest", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), "to")
-    tasks = more.unionByName(own).groupBy("comp", "block", "to", "doc_id").agg(F.first("label").alias("label"), F.max("rest").alias("rest"))
-    late = _searched(tasks.join(held.select("doc_id", "data"), "doc_id"), ["comp", "block", "to"], keep, True)
+    label = large.join(joined, large["doc_id"] == joined["node"], "left").select(*group, "blocks", "doc_id", F.coalesce("component", "doc_id").alias("label"))
+    label = scratch.table(label, "labels")
+    weight = label.groupBy(*group, "label").agg(F.count("*").alias("w"))
+    main = scratch.table(weight.groupBy(*group).agg(F.max_by("label", F.struct("w", "label")).alias("main"), F.count("*").alias("k")).where("k > 1"), "main")
+    tagged = label.join(main, group).withColumn("rest", F.col("label") != F.col("main"))
+    rest = scratch.table(tagged.where("rest").withColumn("to", F.pmod(F.xxhash64("doc_id"), "blocks")), "rest")
+    own = tagged.select(*group, "doc_id", "label", F.lit(False).alias("rest"), F.pmod(F.xxhash64("doc_id"), "blocks").alias("block"))
+    own = own.join(rest.groupBy(*group).agg(F.collect_set("to").alias("tos")), group).withColumn("to", F.explode("tos")).drop("tos")
+    more = rest.select(*group, "doc_id", "label", "rest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "to")
+    tasks = more.unionByName(own).groupBy(*group, "block", "to", "doc_id").agg(F.first("label").alias("label"), F.max("rest").alias("rest"))
+    late = _searched(tasks.join(data, "doc_id"), [*group, "block", "to"], keep, True)
     every = scratch.table(near.union(late), "all-links")
     return components(every).select(F.col("node").alias("doc_id"), "component")
 
 
-def least_of(rows: DataFrame, k: int) -> DataFrame:
-    """(comp, doc_id): the k smallest ids of each group, by k grouped minima."""
+def least_of(rows: DataFrame, group: list[str], k: int) -> DataFrame:
+    """(group, doc_id): the k smallest ids of each group, by k grouped minima."""
     got = None
     for _ in range(k):
-        left = rows if got is None else rows.join(got, ["comp", "doc_id"], "left_anti")
-        one = left.groupBy("comp").agg(F.min("doc_id").alias("doc_id"))
+        left = rows if got is None else rows.join(got, [*group, "doc_id"], "left_anti")
+        one = left.groupBy(*group).agg(F.min("doc_id").alias("doc_id"))
         got = scratch.table(one if got is None else got.unionByName(one), "pivots")
     return got
 
