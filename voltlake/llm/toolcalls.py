@@ -1,12 +1,12 @@
 """Tool-call linking with DataFrame functions only.
 
 Calls and results are joined by their identifier (an equi-join that Spark may hash or sort, and split
-where skewed), ordered topologically by their dependencies, validated against argument schemas and
+where skewed), ordered topologically within their conversation, validated against argument schemas and
 serialised as canonical JSON (object keys sorted, no white space).
 
-Topological levels come from rounds over the edges: a call is placed once all its parents are, so
-there are as many rounds as the longest chain has calls. Each round is a stored table. Calls on
-or behind a cycle get no level.
+Where the dependencies of a conversation all point back, its own order is a topological one, which a
+join verifies; conversations with forward references are ordered in rounds, each a stored table. Calls on
+or behind a cycle get no order.
 
 Edge cases: a call without a result and a result without a call are kept and say so; of several
 results to a call the first by turn counts and ``n_results`` says how many there were; a null id
@@ -60,45 +60,49 @@ def errors(name: Column, arguments: Column, schemas: dict = SCHEMAS) -> Column:
     return F.array_sort(F.array_compact(F.array(*found)))
 
 
-def levels(calls: DataFrame) -> DataFrame:
-    """(id, level): 0 without parents, else one more than the highest parent; ids are unique."""
-    ids = calls.select(F.col("id").alias("parent"))
-    edges = scratch.table(calls.select("id", F.explode("parents").alias("parent")).distinct().join(ids, "parent", "left_semi"), "edges")
-    left = scratch.table(calls.select("id").join(edges.select("id").distinct(), "id", "left_semi"), "left")
-    done = [calls.select("id").join(left, "id", "left_anti").withColumn("level", F.lit(0))]
-    done[0] = scratch.table(done[0], "level")
-    placed = done[0]
-    while not left.isEmpty():
-        turn = len(done)
-        waits = edges.join(left, "id", "left_semi")
-        held = waits.join(placed.select(F.col("id").alias("parent")), "parent", "left_anti").select("id").distinct()
-        now = scratch.table(left.join(held, "id", "left_anti").withColumn("level", F.lit(turn)), "level")
+def order(calls: DataFrame) -> DataFrame:
+    """(id, topo_order): numbers that grow along every dependency of a scope; ids are unique.
+
+    Transcripts grow at their end, so where all parents of a scope's calls stand before their children the
+    transcript's own order is a topological one, which one join shows. Only scopes with a forward
+    reference take rounds: a call is placed once no parent waits."""
+    at = calls.select(F.col("id").alias("parent"), F.col("ord").alias("_ord"))
+    edges = calls.select("id", "scope", "ord", F.explode("parents").alias("parent")).distinct()
+    edges = scratch.table(edges.join(at, "parent"), "edges")
+    odd = scratch.table(edges.where("_ord >= ord").select("scope").distinct(), "odd-scopes")
+    if odd.isEmpty():
+        return calls.select("id", F.col("ord").cast("long").alias("topo_order"))
+    done = [calls.join(odd, "scope", "left_anti").select("id", F.col("ord").cast("long").alias("topo_order"))]
+    left = scratch.table(calls.join(odd, "scope", "left_semi").select("id"), "left")
+    waits = scratch.table(edges.join(odd, "scope", "left_semi").select("id", "parent"), "waits")
+    while True:
+        now = scratch.table(left.join(waits.select("id").distinct(), "id", "left_anti"), "placed")
         if now.isEmpty():
-            break
-        done.append(now)
+            break  # all are placed, or the rest stands on or behind a cycle
+        done.append(now.select("id", F.lit(len(done) - 1).cast("long").alias("topo_order")))
         left = scratch.table(left.join(now, "id", "left_anti"), "left")
-        placed = reduce(DataFrame.union, done)
-    return placed
+        waits = scratch.table(waits.join(now.select(F.col("id").alias("parent")), "parent", "left_anti"), "waits")
+    return reduce(DataFrame.union, done)
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
-    """id, status, level, errors, n_results and the canonical JSON of each call or stray result.
+    """id, status, order, errors, n_results and the canonical JSON of each call or stray result.
 
-    ``calls``: id, name, arguments (JSON text), parents (array of ids). ``results``: id, turn, content.
+    ``calls``: id, scope, ord, name, arguments (JSON text), parents (array of ids). ``results``: id, turn, content.
     """
-    order = levels(calls.where("id is not null").dropDuplicates(["id"]))
+    placed = order(calls.where("id is not null").groupBy("id").agg(F.min("scope").alias("scope"), F.min("ord").alias("ord"), F.min("parents").alias("parents")))
     first = results.groupBy("id").agg(F.count("*").alias("n_results"), F.min_by("content", F.struct("turn", "content")).alias("content"))
     c = calls.select(F.col("id").alias("call_id"), "name", "arguments")
     both = c.join(first, F.col("call_id") == F.col("id"), "full_outer").withColumn("key", F.coalesce("call_id", "id"))
-    both = both.drop("id").join(order.withColumnRenamed("id", "_id"), F.col("call_id") == F.col("_id"), "left")
+    both = both.drop("id").join(placed.withColumnRenamed("id", "_id"), F.col("call_id") == F.col("_id"), "left")
     called = F.col("call_id").isNotNull() | F.col("name").isNotNull()
-    status = F.when(~called, "stray result").when(F.col("n_results").isNull(), "no result").when(F.col("level").isNull(), "in a cycle").otherwise("linked")
+    status = F.when(~called, "stray result").when(F.col("n_results").isNull(), "no result").when(F.col("topo_order").isNull(), "in a cycle").otherwise("linked")
     quoted = lambda col: F.coalesce(F.regexp_extract(F.to_json(F.struct(col.alias("a"))), r'(?s)^\{"a":(.*)\}$', 1), F.lit("null"))
     text = lambda col: F.when(col.isNull(), F.lit("null")).otherwise(quoted(col))
     args = F.coalesce(F.to_json(F.try_parse_json("arguments")), F.lit("null"))
     canonical = F.concat(F.lit('{"arguments":'), args, F.lit(',"id":'), text(F.col("key")), F.lit(',"name":'), text(F.col("name")), F.lit(',"result":'), text(F.col("content")), F.lit("}"))
     return both.select(
-        F.col("key").alias("call_id"), status.alias("status"), F.col("level").alias("topo_level"),
+        F.col("key").alias("call_id"), status.alias("status"), "topo_order",
         F.when(called, F.concat_ws("; ", errors(F.col("name"), F.col("arguments"), schemas))).alias("argument_errors"),
         F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"), canonical.alias("canonical_json"),
     )
@@ -111,8 +115,8 @@ def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = turns.where("conv_id is not null and turn is not null")
     asks = known.where("role in ('user', 'system')")
     arguments = F.to_json(F.struct(F.col("turn"), F.col("text"), F.col("role")))
-    calls = asks.select(key(0).alias("id"), F.lit("reply").alias("name"), arguments.alias("arguments"), F.array(key(1), key(2)).alias("parents"))
-    calls = calls.groupBy("id").agg(F.min("name").alias("name"), F.min("arguments").alias("arguments"), F.min("parents").alias("parents"))
+    calls = asks.select(key(0).alias("id"), F.col("conv_id").alias("scope"), F.col("turn").alias("ord"), F.lit("reply").alias("name"), arguments.alias("arguments"), F.array(key(1), key(2)).alias("parents"))
+    calls = calls.groupBy("id").agg(F.min("scope").alias("scope"), F.min("ord").alias("ord"), F.min("name").alias("name"), F.min("arguments").alias("arguments"), F.min("parents").alias("parents"))
     results = known.where("role = 'assistant'").select(key(1).alias("id"), "turn", F.col("text").alias("content"))
     return calls, results
 
@@ -124,7 +128,7 @@ def op2(spark, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = r"""
-WITH RECURSIVE known AS (
+WITH known AS (
   SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 asks AS (
   SELECT conv_id || ':' || turn AS id, min(conv_id) AS conv_id, min(turn) AS turn,
@@ -134,21 +138,15 @@ asks AS (
   FROM known WHERE role IN ('user', 'system') GROUP BY 1),
 results AS (
   SELECT conv_id || ':' || (turn - 1) AS id, count(*) AS n, min_by(text, turn) AS content
-  FROM known WHERE role = 'assistant' GROUP BY 1),
-walk AS (
-  SELECT id, conv_id, turn, 0 AS level FROM asks a
-  WHERE NOT EXISTS (SELECT 1 FROM asks b WHERE b.conv_id = a.conv_id AND b.turn IN (a.turn - 1, a.turn - 2))
-  UNION
-  SELECT a.id, a.conv_id, a.turn, w.level + 1 FROM walk w JOIN asks a ON a.conv_id = w.conv_id AND a.turn IN (w.turn + 1, w.turn + 2)),
-placed AS (SELECT id, max(level) AS level FROM walk GROUP BY id)
+  FROM known WHERE role = 'assistant' GROUP BY 1)
 SELECT coalesce(a.id, r.id) AS call_id,
        CASE WHEN a.id IS NULL THEN 'stray result' WHEN r.id IS NULL THEN 'no result' ELSE 'linked' END AS status,
-       CAST(p.level AS INTEGER) AS topo_level,
+       CAST(a.turn AS BIGINT) AS topo_order,
        CASE WHEN a.id IS NULL THEN NULL
             ELSE concat_ws('; ', CASE WHEN text IS NULL THEN 'text: missing' WHEN length(text) < 1 THEN 'text: too short' WHEN length(text) > 1000000 THEN 'text: too long' END,
                            CASE WHEN a.turn < 0 THEN 'turn: too small' END) END AS argument_errors,
        coalesce(r.n, 0) AS n_results,
        '{"arguments":' || coalesce(a.args, 'null') || ',"id":' || to_json(coalesce(a.id, r.id)) || ',"name":' || CASE WHEN a.id IS NULL THEN 'null' ELSE '"reply"' END
          || ',"result":' || coalesce(CAST(to_json(r.content) AS VARCHAR), 'null') || '}' AS canonical_json
-FROM asks a FULL OUTER JOIN results r ON a.id = r.id LEFT JOIN placed p ON p.id = a.id
+FROM asks a FULL OUTER JOIN results r ON a.id = r.id
 """
