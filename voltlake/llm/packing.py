@@ -203,15 +203,22 @@ def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int
 
 def plan(counts: np.ndarray, capacity: int, rounds: int = 24) -> list[tuple[tuple[int, ...], int]]:
     """Configurations with whole multiplicities that hold every piece exactly once."""
+    found = configurations(counts.astype(float), capacity, rounds) if counts.any() else {}
+    order = sorted(found.items(), key=lambda x: (sum(x[0]) != capacity, -sum(x[0]), -x[1], x[0]))
+    plans = [rounded(order, counts, capacity, full) for full in (1.0, 0.998, 0.99, 0.98)]
+    return min(plans, key=lambda p: sum(copies for _, copies in p))
+
+
+def rounded(order: list, counts: np.ndarray, capacity: int, full: float) -> list[tuple[tuple[int, ...], int]]:
+    """Whole multiplicities of the configurations that fill at least ``full`` of a sequence, and a best fit of the rest."""
     left = counts.astype(np.int64).copy()
     out: list[tuple[tuple[int, ...], int]] = []
-    found = configurations(counts.astype(float), capacity, rounds) if left.any() else {}
-    for config, share in sorted(found.items(), key=lambda x: (sum(x[0]) != capacity, -sum(x[0]), -x[1], x[0])):
-        if sum(config) < 0.98 * capacity and len(config) > 1:
+    for config, share in order:
+        if sum(config) < full * capacity:
             continue
         own = {n: config.count(n) for n in set(config)}
         copies = min(int(share), *(int(left[n]) // k for n, k in own.items()))
-        if copies > 0 and (len(config) > 1 or config[0] >= 0.98 * capacity):
+        if copies > 0:
             out.append((config, copies))
             for n, k in own.items():
                 left[n] -= k * copies
