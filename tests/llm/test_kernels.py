@@ -146,7 +146,8 @@ def test_dropout_varies_and_repeats():
     t = "the outage schedule of the northern feeder and its neighbours"
     a, b = MODEL.encode(t, 0), MODEL.encode(t, 1)
     assert a != b and a == pieces.Pieces(P.path("piece_bpe_32k.model"), 0.3).encode(t, 0)
-    assert MODEL.merge("▁neighbours" * 3, 0) == MODEL._long(list("▁neighbours" * 3), (zlib.crc32(("▁neighbours" * 3).encode()) * 0x9E3779B97F4A7C15 ^ (1 * 0xC2B2AE3D27D4EB4F)) & ((1 << 64) - 1))
+    for w in ("▁neighbour", "▁northern", "▁schedules"):
+        assert MODEL.merge(w, 0) == MODEL._long(list(w), MODEL.key(w, 0))
 
 
 def test_bloom_filters_tell_languages_apart():

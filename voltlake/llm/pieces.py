@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import heapq
 import re
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,17 +28,17 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-_M = (1 << 64) - 1
-_NONE = float("inf")
+_M = (1 << 32) - 1
+_NONE = 1 << 40  # no piece
 
 
 class Pieces:
-    def __init__(self, path: str, dropout: float = 0.1, seed: int = 1, variants: int = 2, entries: int = 400_000):
+    def __init__(self, path: str, dropout: float = 0.1, seed: int = 1, variants: int = 2, entries: int = 150_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.dropout, self.seed, self.variants, self.entries = int(dropout * (1 << 64)), seed, variants, entries
-        self.cost: dict[str, float] = {}
+        self.dropout, self.seed, self.variants, self.entries = int(dropout * (1 << 32)), seed, variants, entries
+        score: dict[str, float] = {}
         self.ids: dict[str, int] = {}
         self.raw: list[bytes] = []
         self.byte = [0] * 256
@@ -51,34 +53,35 @@ class Pieces:
             else:
                 if SPACE in piece.lstrip(SPACE):
                     raise ValueError("a piece joins a character with a following space")
-                self.ids[piece], self.cost[piece] = k, -model.get_score(k)
+                self.ids[piece], score[piece] = k, model.get_score(k)
                 self.raw.append(piece.replace(SPACE, " ").encode())
-        self.cache: dict[str, bytes] = {}
+        order = {v: r for r, v in enumerate(sorted(set(score.values()), reverse=True))}
+        self.rank = {piece: order[v] for piece, v in score.items()}  # 0 merges first
+        self.cache = [({}, {}) for _ in range(variants)]
 
-    def skipped(self, key: int, place: int, piece: str) -> bool:
-        """Whether the keyed hash drops a candidate."""
-        h = ((key ^ (place * 0xFF51AFD7ED558CCD)) + self.ids[piece] * 0xC4CEB9FE1A85EC53) & _M
-        h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 & _M
-        return h ^ h >> 32 < self.dropout
+    def key(self, word: str, variant: int) -> int:
+        return zlib.crc32(word.encode(), self.seed * 0x9E3779B1 + variant * 0x85EBCA77 & _M)
 
     def merge(self, word: str, variant: int) -> list[str]:
         """The symbols of a word after the agenda is done. The agenda of a short word is an array
         (its least entry is taken each time), that of a long one a heap; both give the same."""
-        key = (zlib.crc32(word.encode()) * 0x9E3779B97F4A7C15 ^ (self.seed * 0xC2B2AE3D27D4EB4F + variant * 0x165667B19E3779F9)) & _M
+        key = self.key(word, variant)
         if len(word) > 48:
             return self._long(list(word), key)
-        get, none, drop = self.cost.get, _NONE, self.dropout
+        get, none, drop = self.rank.get, _NONE, self.dropout
         symbols, place = list(word), list(range(len(word)))
         agenda = [get(x + y, none) for x, y in zip(symbols, symbols[1:], strict=False)]
         while agenda:
             least = min(agenda)
-            if least is none:
+            if least == none:
                 break
             i = agenda.index(least)
+            if drop:
+                h = (key ^ place[i] * 0x9E3779B1 ^ least * 0x85EBCA77) & _M
+                if ((h ^ h >> 15) * 0x2C1B3C6D ^ h << 7) & _M < drop:
+                    agenda[i] = none
+                    continue
             both = symbols[i] + symbols[i + 1]
-            if drop and self.skipped(key, place[i], both):
-                agenda[i] = none
-                continue
             symbols[i] = both
             del symbols[i + 1], place[i + 1], agenda[i]
             if i:
@@ -94,17 +97,19 @@ class Pieces:
 
         def offer(i: int, j: int) -> None:
             both = symbols[i] + symbols[j]
-            if both in self.cost:
-                heapq.heappush(heap, (self.cost[both], i, j, both))
+            if both in self.rank:
+                heapq.heappush(heap, (self.rank[both], i, j, both))
 
         for i in range(n - 1):
             offer(i, i + 1)
         while heap:
-            _, i, j, both = heapq.heappop(heap)
+            least, i, j, both = heapq.heappop(heap)
             if not symbols[i] or right[i] != j or symbols[i] + symbols[j] != both:
                 continue
-            if self.dropout and self.skipped(key, i, both):
-                continue
+            if self.dropout:
+                h = (key ^ i * 0x9E3779B1 ^ least * 0x85EBCA77) & _M
+                if ((h ^ h >> 15) * 0x2C1B3C6D ^ h << 7) & _M < self.dropout:
+                    continue
             symbols[i], symbols[j] = both, ""
             k = right[i] = right[j]
             if k >= 0:
@@ -114,7 +119,7 @@ class Pieces:
                 offer(left[i], i)
         return [s for s in symbols if s]
 
-    def word(self, word: str, variant: int, key: str) -> bytes:
+    def word(self, word: str, variant: int) -> bytes:
         out: list[int] = []
         for s in self.merge(word, variant):
             k = self.ids.get(s)
@@ -122,34 +127,44 @@ class Pieces:
                 out.append(k)
             else:
                 out += [self.byte[b] for b in s.encode()]
-        got = np.array(out, "<u4").tobytes()
-        if len(word) <= 64:
-            if len(self.cache) >= self.entries:
-                self.cache.clear()
-            self.cache[key] = got
+        got = array("I", out)
+        if sys.byteorder == "big":
+            got.byteswap()
+        return got.tobytes()
+
+    def led(self, word: str, variant: int) -> bytes:
+        """The ids of a word with a space before it, through a cache of two generations: words in use move to the
+        young one, and when it is full the old one goes."""
+        young, old = self.cache[variant]
+        got = old.get(word) or self.word(SPACE + word, variant)
+        if len(word) <= 48:
+            if len(young) >= self.entries:
+                self.cache[variant] = young, old = {}, young
+            young[word] = got
         return got
 
     def encode(self, text: str, variant: int = 0) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if not text:
             return b""
-        mark, first, *rest = chr(0xE000 + variant), *text.split(SPACE)
-        out = self._part(SPACE, first, mark, variant)
+        first, *rest = text.split(SPACE)
+        out = self._part(SPACE, first, variant)
         if rest:
             own = np.array([self.byte[b] for b in SPACE.encode()], "<u4").tobytes()
             for part in rest:
-                out += [own, *self._part("", part, mark, variant)]
+                out += [own, *self._part("", part, variant)]
         return b"".join(out)
 
-    def _part(self, lead: str, text: str, mark: str, variant: int) -> list[bytes]:
+    def _part(self, lead: str, text: str, variant: int) -> list[bytes]:
         """The ids of a stretch without U+2581, word by word; ``lead`` comes before it."""
-        if "  " in text or text.endswith(" ") or text.startswith(" ") or not text:
-            words = _WORDS.findall(lead + text.replace(" ", SPACE))
-        else:
-            first, *more = text.split(" ")
-            words = [lead + first, *[SPACE + w for w in more]]
-        get, make = self.cache.get, self.word
-        return [get(mark + w) or make(w, variant, mark + w) for w in words]
+        if not lead or "  " in text or text.endswith(" ") or text.startswith(" ") or not text:
+            return [self.word(w, variant) for w in _WORDS.findall(lead + text.replace(" ", SPACE))]
+        out = []
+        words, led = text.split(" "), self.led
+        for k in range(0, len(words), 4096):  # a new generation is seen by the next stretch
+            get = self.cache[variant][0].get
+            out += [get(w) or led(w, variant) for w in words[k : k + 4096]]
+        return out
 
     def decode(self, ids: bytes) -> str:
         raw = self.raw
@@ -196,7 +211,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         import public_tokenizers as P
 
-        p = Pieces(path or P.path("piece_bpe_32k.model"), 0)
+        p = Pieces(path or P.path("piece_bpe_32k.model"), 0.0)
         for b in batches:
             texts = [p.decode(np.array(x or [], "<u4").tobytes()) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
