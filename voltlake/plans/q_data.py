@@ -45,9 +45,9 @@ def uncanonical_share(spark, sf):
     return g.withColumn("verdict", F.when(F.col("bare") == 0, "pass").when(F.col("bare") / F.col("n") > 0.25, "reject").otherwise("quarantine"))
 
 
-@query("novel_keys", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_custkey % 3 <> 0")
+@query("novel_keys", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
 def novel_keys(spark, sf):
-    return L.novel(table(spark, sf, "customer"), table(spark, sf, "orders").where("o_custkey % 3 <> 0").select(F.col("o_custkey").alias("c_custkey")).distinct(), "c_custkey")
+    return L.novel(table(spark, sf, "customer"), table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")).distinct(), "c_custkey")
 
 
 NEW = "new AS (SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_suppkey % 3 <> 0), prev AS (SELECT s_suppkey, 'old ' || s_name AS s_name, s_acctbal FROM supplier WHERE s_suppkey % 2 = 0)"
@@ -84,14 +84,14 @@ def dim_left_defaults(spark, sf):
     return j.join(s, F.col("s_nationkey") == F.col("n_nationkey"), "left").groupBy("n_name", "r_name").agg(F.count("s_suppkey").alias("suppliers"))
 
 
-BOXES = "cells AS (SELECT l_orderkey, l_linenumber, l_quantity AS x0, l_quantity + 4 AS x1, l_discount * 100 AS top, l_discount * 100 + 3 AS bottom FROM lineitem), rects AS (SELECT l_orderkey, l_quantity + 1 + l_tax * 20 AS x0, l_quantity + 6 AS x1, l_discount * 100 - 1 AS top, l_discount * 100 + 2.5 AS bottom FROM lineitem WHERE l_linenumber % 2 = 1)"
+BOXES = "cells AS (SELECT l_orderkey, l_linenumber, l_quantity AS x0, l_quantity + 4 AS x1, l_discount * 100 AS top, l_discount * 100 + 3 AS bottom FROM lineitem), rects AS (SELECT l_orderkey, l_quantity + 1 + l_tax * 20 AS x0, l_quantity + 6 AS x1, l_discount * 100 - 1 AS top, l_discount * 100 + 2.5 AS bottom FROM lineitem)"
 
 
 def boxes(spark, sf):
     l = table(spark, sf, "lineitem")
     q, d = F.col("l_quantity"), F.col("l_discount") * 100
     cells = l.select("l_orderkey", "l_linenumber", q.alias("x0"), (q + 4).alias("x1"), d.alias("top"), (d + 3).alias("bottom"))
-    rects = l.where("l_linenumber % 2 = 1").select("l_orderkey", (q + 1 + F.col("l_tax") * 20).alias("x0"), (q + 6).alias("x1"), (d - 1).alias("top"), (d + 2.5).alias("bottom"))
+    rects = l.select("l_orderkey", (q + 1 + F.col("l_tax") * 20).alias("x0"), (q + 6).alias("x1"), (d - 1).alias("top"), (d + 2.5).alias("bottom"))
     return cells, rects
 
 
@@ -123,7 +123,7 @@ def dup_rows(spark, sf):
 
 FINDINGS = """g AS (SELECT l_suppkey, count(*) AS n, count(*) FILTER (WHERE l_quantity > 48) AS heavy, count(*) FILTER (WHERE l_discount > 0.09) AS cheap, count(*) FILTER (WHERE l_returnflag = 'R') AS r FROM lineitem GROUP BY 1),
 f AS (SELECT l_suppkey, 'reject' AS verdict, 'time-sanity' AS "check", CAST(heavy AS VARCHAR) AS detail FROM g WHERE heavy > 20 UNION ALL SELECT l_suppkey, 'quarantine', 'empty-claims', CAST(cheap AS VARCHAR) FROM g WHERE cheap > 40
-UNION ALL SELECT l_suppkey, CASE WHEN r::DOUBLE / n > 0.34 THEN 'reject' ELSE 'quarantine' END, 'canonical-division', CAST(r AS VARCHAR) FROM g WHERE r > 0 AND l_suppkey % 3 = 0)"""
+UNION ALL SELECT l_suppkey, CASE WHEN r::DOUBLE / n > 0.34 THEN 'reject' ELSE 'quarantine' END, 'canonical-division', CAST(r AS VARCHAR) FROM g WHERE r > 0)"""
 
 
 def findings(spark, sf):
@@ -131,7 +131,7 @@ def findings(spark, sf):
     share = F.when(F.col("r") / F.col("n") > 0.34, "reject").otherwise("quarantine")
     found = V.rows(g, "l_suppkey", F.col("heavy") > 20, "reject", "time-sanity", F.col("heavy"))
     found = found.unionByName(V.rows(g, "l_suppkey", F.col("cheap") > 40, "quarantine", "empty-claims", F.col("cheap")))
-    return found.unionByName(V.rows(g, "l_suppkey", (F.col("r") > 0) & (F.col("l_suppkey") % 3 == 0), share, "canonical-division", F.col("r")))
+    return found.unionByName(V.rows(g, "l_suppkey", F.col("r") > 0, share, "canonical-division", F.col("r")))
 
 
 @query("dq_findings", f'WITH {FINDINGS} SELECT l_suppkey, verdict, "check", detail FROM f')
@@ -173,11 +173,12 @@ def hash_of_hashes(spark, sf):
     return table(spark, sf, "documents").groupBy("source").agg(P.hash_of_hashes(F.sha2("text", 256)).alias("hash"))
 
 
-@query("change_detect", "SELECT doc_id FROM documents WHERE doc_id % 4 <> 0 AND (doc_id % 3 <> 0 OR doc_id % 5 = 0)")
+@query("change_detect", "SELECT doc_id FROM documents WHERE doc_id % 5 = 0 OR length(text) > 2000")
 def change_detect(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
-    active = d.where("doc_id % 3 = 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")))
-    return P.changed(d.where("doc_id % 4 <> 0"), active, "doc_id", ["text", "lang"]).select("doc_id")
+    # The active version lacks long documents and differs in a fifth of the others.
+    active = d.where(F.char_length("text") <= 2000).withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")))
+    return P.changed(d, active, "doc_id", ["text", "lang"]).select("doc_id")
 
 
 @query("landing_dedupe", "SELECT DISTINCT o_custkey, o_orderdate, substr(md5(CAST(o_totalprice > 150000 AS VARCHAR)), 1, 8) AS hash8 FROM orders b WHERE o_orderkey % 2 = 0 AND NOT EXISTS (SELECT 1 FROM orders a WHERE a.o_orderkey % 2 = 1 AND a.o_custkey = b.o_custkey AND a.o_orderdate = b.o_orderdate AND (a.o_totalprice > 150000) = (b.o_totalprice > 150000))")

@@ -107,14 +107,16 @@ def knn(spark, sf):
     return SP.nearest(points(spark, sf), offices(spark, sf), 5).withColumn("km", F.round("km", 4))
 
 
-@query("nearest1", f"WITH {P}, d AS (SELECT p.id, o.place_id, {km_sql('p', 'o')} AS km FROM p, o WHERE o.place_id % 7 <> 0) SELECT id, min_by(place_id, (km, place_id)) AS place_id, round(min(km), 4) AS km FROM d GROUP BY id")
+@query("nearest1", f"WITH {P}, d AS (SELECT p.id, o.place_id, {km_sql('p', 'o')} AS km FROM p, (SELECT *, CASE WHEN place_id % 7 <> 0 THEN 'sheet ' || place_id END AS url FROM o) o WHERE o.url IS NOT NULL) SELECT id, min_by(place_id, (km, place_id)) AS place_id, round(min(km), 4) AS km FROM d GROUP BY id")
 def nearest1(spark, sf):
-    return SP.nearest(points(spark, sf), offices(spark, sf).where("place_id % 7 <> 0"), 1).select("id", "place_id", F.round("km", 4).alias("km"))
+    # Only places with a published sheet count.
+    zones = offices(spark, sf).withColumn("url", F.when(F.col("place_id") % 7 != 0, F.concat(F.lit("sheet "), F.col("place_id").cast("string"))))
+    return SP.nearest(points(spark, sf), zones.where("url is not null"), 1).select("id", "place_id", F.round("km", 4).alias("km"))
 
 
-@query("voronoi_assign", f"WITH {P}, d AS (SELECT p.id, o.place_id, {km_sql('p', 'o')} AS km FROM p, o WHERE o.place_id <= 9), b AS (SELECT id, min_by(place_id, (km, place_id)) AS seed FROM d GROUP BY id) SELECT seed, count(*) AS n FROM b GROUP BY seed")
+@query("voronoi_assign", f"WITH {P}, d AS (SELECT p.id, o.place_id, {km_sql('p', 'o')} AS km FROM p, o), b AS (SELECT id, min_by(place_id, (km, place_id)) AS seed FROM d GROUP BY id) SELECT seed, count(*) AS n FROM b GROUP BY seed")
 def voronoi_assign(spark, sf):
-    return SP.nearest(points(spark, sf), offices(spark, sf).where("place_id <= 9"), 1).groupBy(F.col("place_id").alias("seed")).agg(F.count("*").alias("n"))
+    return SP.nearest(points(spark, sf), offices(spark, sf), 1).groupBy(F.col("place_id").alias("seed")).agg(F.count("*").alias("n"))
 
 
 @query("radius", f"WITH {P}, d AS (SELECT p.id, o.place_id, {km_sql('p', 'o')} AS km FROM p, o) SELECT id, place_id, round(km, 4) AS km FROM d WHERE km <= 40 QUALIFY row_number() OVER (PARTITION BY id ORDER BY km, place_id) <= 8")
@@ -162,13 +164,13 @@ def band_sort(spark, sf):
     return ranked.join(F.broadcast(first), "band").select("place_id", (F.col("r") + F.coalesce("before", F.lit(0))).cast("int").alias("pos"))
 
 
-RANKED = f"""{P}, d AS (SELECT p.id, o.place_id, {km_sql('p', 'o')} AS km FROM p, o WHERE o.place_id <= 20), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY km, place_id) AS r FROM d),
+RANKED = f"""{P}, d AS (SELECT p.id, o.place_id, {km_sql('p', 'o')} AS km FROM p, o), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY km, place_id) AS r FROM d),
 s AS (SELECT id, place_id, km, CASE WHEN km < 30 THEN 1.0::DOUBLE ELSE 0.95 * exp(-km / 55.0) END AS score FROM k WHERE r <= 6),
 ranked AS (SELECT *, CAST(row_number() OVER w AS INTEGER) AS rank, score - coalesce(lead(score) OVER w, 0) AS margin, lead(score) OVER w IS NULL AS alone FROM s WINDOW w AS (PARTITION BY id ORDER BY score DESC, place_id))"""
 
 
 def ranked(spark, sf):
-    near = SP.nearest(points(spark, sf), offices(spark, sf).where("place_id <= 20"), 6).drop("rank")
+    near = SP.nearest(points(spark, sf), offices(spark, sf), 6).drop("rank")
     score = F.when(F.col("km") < 30, 1.0).otherwise(R.distance_decay(F.col("km") / 10))
     w = Window.partitionBy("id").orderBy(F.desc("score"), "place_id")
     s = near.withColumn("score", score)
@@ -181,18 +183,19 @@ def division_rank(spark, sf):
     return r.select("id", "place_id", "rank", F.round("score", 5).alias("score"), F.round("margin", 5).alias("margin"), R.division_confidence(F.col("score"), F.col("margin")).alias("confidence"))
 
 
-FEEDERS = f"""{RANKED}, f AS (SELECT p_partkey AS feeder, p_partkey % 25 AS division, CAST(p_partkey % 11 AS DOUBLE) / 10 AS area FROM part WHERE p_partkey <= 60),
+FEEDERS = f"""{RANKED}, f AS (SELECT s_suppkey AS feeder, s_suppkey % 120 AS division, CAST(s_suppkey % 11 AS DOUBLE) / 10 AS area FROM supplier),
 c AS (SELECT p.id, f.feeder, CASE WHEN r.rank IS NULL THEN 0.10 WHEN r.rank = 1 THEN 1.0 WHEN r.rank = 2 THEN 0.62 WHEN r.rank = 3 THEN 0.36 ELSE 0.15 END::DOUBLE AS div, least(1.0, area) AS area FROM p CROSS JOIN f LEFT JOIN ranked r ON r.id = p.id AND r.place_id = f.division),
 t AS (SELECT *, 0.5 * div + 0.5 * area AS score FROM c), b AS (SELECT *, CAST(row_number() OVER w AS INTEGER) AS rank, score - coalesce(lead(score) OVER w, 0) AS margin FROM t WINDOW w AS (PARTITION BY id ORDER BY score DESC, feeder))"""
 
 
 def feeders(spark, sf):
-    """The three best of 60 feeders (a counted, broadcast claims table) for every point."""
-    f = table(spark, sf, "part").where("p_partkey <= 60").select(F.col("p_partkey").alias("feeder"), (F.col("p_partkey") % 25).alias("place_id"), F.least(F.lit(1.0), (F.col("p_partkey") % 11).cast("double") / 10).alias("area"))
+    """The three best feeders (one utility's claims, hundreds of rows) for every point."""
+    k = F.col("s_suppkey")
+    f = table(spark, sf, "supplier").select(k.alias("feeder"), (k % 120).alias("place_id"), F.least(F.lit(1.0), (k % 11).cast("double") / 10).alias("area"))
     r = ranked(spark, sf).select("id", "place_id", "rank")
     # Every point has the unranked weight for all feeders; ranked ones are joined by division.
     ids = r.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("place_id", "rank"))).alias("ranks"))
-    c = ids.join(F.broadcast(f)).withColumn("r", F.try_element_at("ranks", F.col("place_id")))
+    c = ids.join(F.broadcast(f) if SP._small(f) else f).withColumn("r", F.try_element_at("ranks", F.col("place_id")))
     c = c.withColumn("div", R.division_weight(F.col("r"), F.lit(True))).withColumn("score", R.feeder_score(F.col("div"), F.col("area")))
     w = Window.partitionBy("id").orderBy(F.desc("score"), "feeder")
     best = c.withColumns({"rank": F.row_number().over(w), "margin": F.col("score") - F.coalesce(F.lead("score").over(w), F.lit(0.0))})
@@ -214,11 +217,12 @@ def agreement(spark, sf):
     return a.select("*", R.agreement(F.col("active"), F.col("total")).alias("said"), R.answer_state(F.col("total"), F.col("active")).alias("state"))
 
 
-@query("evidence_filter", f"WITH {P}, d AS (SELECT p.id, o.place_id, CASE WHEN o.place_id % 9 = 0 THEN NULL ELSE round({km_sql('p', 'o')}, 6) END AS km FROM p, o WHERE p.id % 100 = o.place_id % 100) SELECT id, place_id, km FROM d WHERE km IS NULL OR km <= 150")
+@query("evidence_filter", f"WITH {P}, d AS (SELECT p.id, o.place_id, CASE WHEN o.place_id % 9 = 0 THEN NULL ELSE round({km_sql('p', 'o')}, 6) END AS km FROM p JOIN customer ON c_custkey = p.id JOIN supplier ON s_nationkey = c_nationkey JOIN o ON o.place_id = s_suppkey) SELECT id, place_id, km FROM d WHERE km IS NULL OR km <= 150")
 def evidence_filter(spark, sf):
-    p, o = points(spark, sf), offices(spark, sf).withColumnsRenamed({"lat": "_lat", "lon": "_lon"})
+    p = points(spark, sf).join(table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation")), "id")
+    o = offices(spark, sf).join(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("place_id"), F.col("s_nationkey").alias("nation")), "place_id").withColumnsRenamed({"lat": "_lat", "lon": "_lon"})
     km = F.when(F.col("place_id") % 9 != 0, F.round(G.haversine_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")), 6))
-    return p.join(o, F.col("id") % 100 == F.col("place_id") % 100).select("id", "place_id", km.alias("km")).where("km is null or km <= 150")
+    return p.join(o, "nation").select("id", "place_id", km.alias("km")).where("km is null or km <= 150")
 
 
 @query("deeplink", f"WITH {P}, t AS (SELECT id, CASE WHEN id % 5 = 0 THEN 'page?x=1' ELSE 'page?at=' || printf('%.4f', lat) || ',' || printf('%.4f', lon) END AS url FROM p) SELECT id, TRY_CAST(nullif(regexp_extract(url, 'at=([0-9.-]+),([0-9.-]+)', 1), '') AS DOUBLE) AS lat, TRY_CAST(nullif(regexp_extract(url, 'at=([0-9.-]+),([0-9.-]+)', 2), '') AS DOUBLE) AS lon FROM t")

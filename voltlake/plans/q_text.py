@@ -104,13 +104,14 @@ def address_tokens(spark, sf):
     return table(spark, sf, "events").select("event_id", F.array_join(F.array_sort(X.tokens(address())), " ").alias("tokens"))
 
 
-@query("token_coverage", f"""WITH a AS (SELECT event_id, user_id, {ADDRESS} AS t FROM events), k AS (SELECT event_id, user_id, {tokens_sql('t')} AS t FROM a WHERE event_id % 3 = 0), e AS (SELECT user_id, {tokens_sql("string_agg(t, ', ' ORDER BY event_id)")} AS e FROM a WHERE event_id % 3 = 1 GROUP BY user_id),
+@query("token_coverage", f"""WITH a AS (SELECT event_id, user_id, {ADDRESS} AS t FROM events), k AS (SELECT event_id, user_id, {tokens_sql('t')} AS t FROM a), e AS (SELECT user_id + 1 AS user_id, list_distinct(flatten(list({tokens_sql('t')}))) AS e FROM a GROUP BY 1),
 j AS (SELECT k.event_id, k.t, coalesce(e.e, []) AS e FROM k LEFT JOIN e USING (user_id)), w AS (SELECT event_id, list_transform(t, lambda x: CASE WHEN contains(x, ':') THEN 2.0 WHEN starts_with(x, '~') THEN 0.5 ELSE 1.0 END) AS all_w, list_transform(list_filter(t, lambda x: list_contains(e, x)), lambda x: CASE WHEN contains(x, ':') THEN 2.0 WHEN starts_with(x, '~') THEN 0.5 ELSE 1.0 END) AS hit_w FROM j)
 SELECT event_id, CASE WHEN len(all_w) = 0 THEN 0.0::DOUBLE ELSE round(coalesce(list_sum(hit_w), 0)::DOUBLE / list_sum(all_w)::DOUBLE, 6) END AS coverage FROM w""")
 def token_coverage(spark, sf):
     a = table(spark, sf, "events").select("event_id", "user_id", address().alias("t"))
-    claims = a.where("event_id % 3 = 0").select("event_id", "user_id", X.tokens(F.col("t")).alias("t"))
-    words = a.where("event_id % 3 = 1").select("user_id", F.explode(X.tokens(F.col("t"))).alias("w")).groupBy("user_id").agg(F.collect_set("w").alias("e"))
+    claims = a.select("event_id", "user_id", X.tokens(F.col("t")).alias("t"))
+    # A claim is held against what is known of the next user's place.
+    words = a.select((F.col("user_id") + 1).alias("user_id"), F.explode(X.tokens(F.col("t"))).alias("w")).groupBy("user_id").agg(F.collect_set("w").alias("e"))
     j = claims.join(words, "user_id", "left")
     return j.select("event_id", F.round(R.token_coverage(F.col("t"), F.coalesce("e", F.array().cast("array<string>"))), 6).alias("coverage"))
 
@@ -153,24 +154,24 @@ def script_ratio(spark, sf):
 
 
 PLACES = f"""places AS (SELECT p_partkey AS place_id, p_name AS name, p_type AS kind, {fold_sql('p_name')} AS fold, 88.0::DOUBLE + CAST((p_partkey * 7919) % 4700 AS DOUBLE) / 1000 AS lon, 20.5::DOUBLE + CAST((p_partkey * 104729) % 6200 AS DOUBLE) / 1000 AS lat FROM part),
-q AS (SELECT CAST(i AS INTEGER) AS query_id, fold AS q FROM (SELECT unnest(range(20)) AS i) JOIN places ON place_id = i * 5 + 1)"""
+q AS (SELECT DISTINCT fold AS q FROM places)"""
 
 
-@query("place_search", f"""WITH {PLACES}, m AS (SELECT query_id, place_id, name, kind, CASE WHEN fold = q THEN 100 WHEN starts_with(fold, q) THEN 70 WHEN contains(fold, ' ' || q) THEN 55 WHEN contains(fold, q) THEN 35 END AS base, least(10.0, abs(length(fold) - length(q)) / 2) AS gap,
+@query("place_search", f"""WITH {PLACES}, m AS (SELECT q, place_id, name, kind, CASE WHEN fold = q THEN 100 WHEN starts_with(fold, q) THEN 70 WHEN contains(fold, ' ' || q) THEN 55 WHEN contains(fold, q) THEN 35 END AS base, least(10.0, abs(length(fold) - length(q)) / 2) AS gap,
 12742.0 * asin(sqrt(least(1.0, pow(sin(radians(lat - 23.78) / 2), 2) + cos(radians(23.78)) * cos(radians(lat)) * pow(sin(radians(lon - 90.40) / 2), 2)))) AS km FROM q JOIN places ON left(q, 1) = left(fold, 1)),
-s AS (SELECT query_id, place_id, name || '|' || kind AS key, base - gap + 26.0 * exp(-km / 45) AS score FROM m WHERE base IS NOT NULL), u AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id, key ORDER BY round(score, 6) DESC, place_id) = 1)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, place_id) AS INTEGER) AS rank, place_id, round(score, 4) AS score FROM u QUALIFY rank <= 7""")
+s AS (SELECT q, place_id, name || '|' || kind AS key, base - gap + 26.0 * exp(-km / 45) AS score FROM m WHERE base IS NOT NULL), u AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY q, key ORDER BY round(score, 6) DESC, place_id) = 1)
+SELECT q, CAST(row_number() OVER (PARTITION BY q ORDER BY round(score, 6) DESC, place_id) AS INTEGER) AS rank, place_id, round(score, 4) AS score FROM u QUALIFY rank <= 7""")
 def place_search(spark, sf):
     part = located(table(spark, sf, "part"), "p_partkey")
     places = part.select(F.col("p_partkey").alias("place_id"), F.concat_ws("|", "p_name", "p_type").alias("key"), X.fold_latin(F.col("p_name")).alias("fold"), "lat", "lon")
-    q = places.where("place_id % 5 = 1 and place_id < 100").select(((F.col("place_id") - 1) / 5).cast("int").alias("query_id"), F.col("fold").alias("q"))
-    # Twenty queries meet the bucket of their first letter.
-    m = places.join(F.broadcast(q), F.left("q", F.lit(1)) == F.left("fold", F.lit(1)))
+    # Every distinct folded name is a query; it meets the bucket of its first letter.
+    q = places.select(F.col("fold").alias("q")).distinct()
+    m = places.join(q, F.left("q", F.lit(1)) == F.left("fold", F.lit(1)))
     km = G.haversine_km(F.lit(23.78), F.lit(90.40), F.col("lat"), F.col("lon"))
     s = m.withColumn("score", R.place_score(F.col("fold"), F.col("q"), F.lit(0), km)).where("score is not null").withColumn("r", F.round("score", 6))
-    u = I.first_per_key(s, ["query_id", "key"], F.desc("r"), F.col("place_id"))
-    top = u.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("r"), "place_id"))).where("rank <= 7")
-    return top.select("query_id", "rank", "place_id", F.round("score", 4).alias("score"))
+    u = I.first_per_key(s, ["q", "key"], F.desc("r"), F.col("place_id"))
+    top = u.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("r"), "place_id"))).where("rank <= 7")
+    return top.select("q", "rank", "place_id", F.round("score", 4).alias("score"))
 
 
 @query("href_scan", """WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages) SELECT href, count(*) AS n, count(DISTINCT page_id) AS pages, max(page_id) AS last_page FROM h GROUP BY href""")

@@ -79,12 +79,12 @@ def row_windows(spark, sf):
     return merged.select("user_id", "day", F.size("w").alias("n_windows"), total.alias("total_min"))
 
 
-@query("weekday_fallback", """WITH r AS (SELECT event_id, user_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(event_id % 7 AS INTEGER) END AS weekday FROM events WHERE event_id % 5 = user_id % 5),
+@query("weekday_fallback", """WITH r AS (SELECT event_id, user_id, CASE WHEN event_id % 7 = 0 AND user_id % 3 <> 0 THEN NULL ELSE CAST(user_id % 7 AS INTEGER) END AS weekday FROM events),
 p AS (SELECT *, CASE WHEN weekday = 2 THEN 0 WHEN weekday IS NULL THEN 1 ELSE 2 END AS p FROM r), b AS (SELECT *, min(p) OVER (PARTITION BY user_id) AS b FROM p)
 SELECT event_id, user_id, weekday, CASE p WHEN 0 THEN 'today' WHEN 1 THEN 'undated' ELSE 'other' END AS match FROM b WHERE p = b""")
 def weekday_fallback(spark, sf):
-    ev = table(spark, sf, "events").where("event_id % 5 = user_id % 5")
-    r = ev.select("event_id", "user_id", F.when(F.col("event_id") % 7 != 0, (F.col("event_id") % 7).cast("int")).alias("weekday"))
+    undated = (F.col("event_id") % 7 == 0) & (F.col("user_id") % 3 != 0)
+    r = table(spark, sf, "events").select("event_id", "user_id", F.when(~undated, (F.col("user_id") % 7).cast("int")).alias("weekday"))
     return I.weekday_fallback(r, ["user_id"], 2)
 
 
