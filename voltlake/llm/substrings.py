@@ -279,7 +279,7 @@ def _runs(doc, start, end, n: int):
     doc, start, end = merged(doc, start, end)
     yield _dealt(groups(doc, n), n, 0, doc, start, end)
     ids = np.unique(doc)
-    yield _rows([-1] * len(ids), [3] * len(ids), ids, [None] * len(ids))
+    yield _rows(groups(ids, n).astype(np.int32), np.full(len(ids), 3, np.int32), ids, [None] * len(ids))
 
 
 def sort_shards(rows: DataFrame, depth: int, n: int, shards: int, memory: int = 1 << 21) -> DataFrame:
