@@ -88,7 +88,11 @@ def bounds(m: int) -> np.ndarray:
 
 
 def parts(s: np.ndarray, keep: int = 90) -> np.ndarray:
-    """A set's part hashes at its own level and, where a partner may be there, the next."""
+    """A set's part hashes at its own level and, where a partner may be there, the next.
+
+    Of 64 parts or more those with under three elements are not sent, of 32 or more those with under two: a third
+    of the parts of a pair just at the threshold are equal, so that none of them has as many is as unlikely
+    (below 1e-12) as a collision of the hashes, while lone common elements would chain unlike documents together."""
     size = len(s)
     lower = levels(keep)
     own = int(np.searchsorted(lower, size, "right")) - 1
@@ -101,8 +105,9 @@ def parts(s: np.ndarray, keep: int = 90) -> np.ndarray:
         at = np.searchsorted(s, bounds(m))
         sums = np.zeros(size + 1, np.uint64)
         np.cumsum(textbatch.mix(s), out=sums[1:])
-        value = sums[np.append(at[1:], size)] - sums[at]
-        out.append(textbatch.mix(value + np.arange(m, dtype=np.uint64) * _C[1] + np.full(m, level + 1, np.uint64) * _C[2]))
+        end = np.append(at[1:], size)
+        value = textbatch.mix(sums[end] - sums[at] + np.arange(m, dtype=np.uint64) * _C[1] + np.full(m, level + 1, np.uint64) * _C[2])
+        out.append(value[end - at >= (3 if m >= 64 else 2 if m >= 32 else 0)])
     return np.concatenate(out)
 
 
