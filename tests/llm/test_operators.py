@@ -165,6 +165,22 @@ def test_neardup_vectors(spark, vecs):
     assert neardup_vectors.audit(df, spark.createDataFrame([(k, int(r["n_links"])) for k, r in got.items()], "vec_id long, n_links long"), queries=100) >= 0.97
 
 
+def test_neardup_vectors_of_a_large_group(spark):
+    """A third of the rows is one group at a cosine of about 0.95, far larger than a shard; every link counts."""
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=64)
+    centre /= np.linalg.norm(centre)
+    x = np.concatenate([centre + rng.normal(size=(1000, 64)) * 0.029, rng.normal(size=(2000, 64))])
+    x[1000] = x[0]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = u @ u.T >= 0.9
+    np.fill_diagonal(link, False)
+    df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in neardup_vectors.dedup(df, shard_rows=60, block_rows=200).collect()}
+    assert [got[k]["n_links"] for k in range(3000)] == link.sum(1).tolist()
+    assert all(got[k]["component_id"] == 0 for k in range(1001)) and all(got[k]["component_id"] == k for k in range(1001, 3000))
+
+
 def test_neighbours(spark, vecs):
     df, x = vecs
     got = {}

@@ -2,10 +2,12 @@
 
 Equal vectors are one node with a count. Nodes are dealt to the ``overlap`` nearest of the centroids
 that k-means finds on a bounded sample (``sample`` rows, a documented parameter); dense
-regions get centroids in proportion, which bounds the shards. Each shard gets a flat graph by robust pruning;
+regions get centroids in proportion, which bounds the shards but splits a large group over many. Each shard gets a flat graph by robust pruning;
 the adjacency lists of a node from all its shards are united, and every node is searched for, from
 the shard's medoid, over the united lists: a greedy search first, which then expands all
 neighbours in range until none is new. A pair counts in the smallest shard that both have.
+Nodes with a fifteenth of a shard or more in range within one shard are dense: their links are not taken from the
+shards but by ``meet``, exactly, block against block of all nodes that the angle to a block's centre does not rule out.
 Links are verified by their cosine in double precision. ``audit`` measures the recall.
 
 Edge cases: null, zero, non-finite or odd-length vectors link with nothing; ties and repeated rows
@@ -101,13 +103,147 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
+def bound(hit: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ids a (rows of ``hit``) and b (columns) the least id of what each hangs together with."""
+    la, lb = a.copy(), b.copy()
+    new = hit.any(axis=1)
+    while new.any():
+        rows, cols = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        front = np.flatnonzero(new)[:1]
+        while len(front):
+            rows[front] = True
+            fresh = hit[front].any(axis=0) & ~cols
+            cols |= fresh
+            front = np.flatnonzero(hit[:, fresh].any(axis=1) & ~rows)
+        la[rows] = lb[cols] = min(a[rows].min(), b[cols].min())
+        new &= ~rows
+    return la, lb
+
+
+def leaders(c: np.ndarray, size: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids that lead others, and the leader of each one with rows (``size``): the nearest within ``least``."""
+    lead, own = np.zeros((0, c.shape[1])), np.full(len(c), -1)
+    for i in np.argsort(-size, kind="stable"):
+        if not size[i]:
+            break
+        cos = lead @ c[i]
+        if len(cos) and cos.max() >= least:
+            own[i] = cos.argmax()
+        else:
+            own[i], lead = len(lead), np.vstack([lead, c[i] / np.sqrt((c[i] ** 2).sum())])
+    return lead, own
+
+
+BAND = math.pi / 12
+
+
+def meet(flagged: DataFrame, c: np.ndarray, least: float, block_rows: int, stripe: int = 512) -> DataFrame | None:
+    """node, links, root of all links with a dense end, each pair compared once.
+
+    Dense nodes form groups by the leader of their centroid and the band of their angle to it, groups are cut into blocks, and every
+    node meets the blocks of each group whose band its own angle to the leader reaches within the link angle."""
+    spark = flagged.sparkSession
+    sizes = {r["home"]: r["count"] for r in flagged.where("dense").groupBy("home").count().collect()}
+    if not sizes:
+        return None
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lead, own = leaders(c, np.array([sizes.get(i, 0) for i in range(len(c))]), least)
+    shared = spark.sparkContext.broadcast((lead, own))
+
+    def angles(x, to):
+        return np.arccos(np.clip(x @ to.T, -1, 1))
+
+    def locate(batches):
+        lead, own = shared.value
+        for b in batches:
+            if b.num_rows:
+                at = own[b.column("home").to_numpy()]
+                angle = np.arccos(np.clip((vectors.unit(vectors.matrix(b.column("x"))) * lead[at]).sum(1), -1, 1))
+                grp = at * 16 + (angle / BAND).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("node", "copies", "x")), pa.array(grp), pa.array(angle)], ["node", "copies", "x", "grp", "angle"])
+
+    dense = scratch.table(flagged.where("dense").mapInArrow(locate, "node long, copies long, x array<double>, grp long, angle double"), "dense")
+    groups = dense.groupBy("grp").agg(F.count("*").alias("n"), F.min("angle").alias("lo"), F.max("angle").alias("hi")).orderBy("grp").collect()
+    reach, slack = math.acos(least), 1e-6
+    name = np.array([g["grp"] for g in groups])
+    lo, hi = (np.array([g[k] for g in groups]) for k in ("lo", "hi"))
+    rings = spark.sparkContext.broadcast((name, lead[name // 16], lo - reach - slack, hi + reach + slack))
+
+    def visited(batch):
+        name, centre, lo, hi = rings.value
+        x = vectors.unit(vectors.matrix(batch.column("x")))
+        for i in range(0, len(x), stripe):
+            angle = angles(x[i : i + stripe], centre)
+            row, col = np.nonzero((angle >= lo) & (angle <= hi))
+            yield row + i, name[col]
+
+    def beside(batches):
+        for b in batches:
+            if b.num_rows:
+                for row, grp in visited(b):
+                    yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(row)) for k in ("node", "copies", "x")), pa.array(grp)], ["node", "copies", "x", "grp"])
+
+    def pairs(batches):
+        for b in batches:
+            if b.num_rows:
+                mine = b.column("grp").to_numpy()
+                for row, grp in visited(b):
+                    got = np.unique(np.sort(np.stack([mine[row], grp], 1), axis=1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["g", "h"])
+
+    others = scratch.table(flagged.where("not dense").mapInArrow(beside, "node long, copies long, x array<double>, grp long"), "beside")
+    near = {r["grp"]: r["count"] for r in others.groupBy("grp").count().collect()}
+    chunks: dict[tuple, range] = {}
+    total = 0
+    for kind, counts in ((0, {g["grp"]: g["n"] for g in groups}), (1, near)):
+        for g, n in counts.items():
+            chunks[kind, g] = range(total, total := total + math.ceil(n / block_rows))
+    todo = [(i, j) for r in dense.mapInArrow(pairs, "g long, h long").distinct().collect() for i in chunks[0, r["g"]] for j in chunks[0, r["h"]] if r["g"] != r["h"] or i <= j]
+    todo += [(i, j) for g in near for i in chunks[0, g] for j in chunks[1, g]]
+    # An even task is a block with itself.
+    sides = [row for t, (i, j) in enumerate(todo) for row in (((2 * t, i, 0),) if i == j else ((2 * t + 1, i, 0), (2 * t + 1, j, 1)))]
+    sides = F.broadcast(spark.createDataFrame(sides, "task long, chunk long, side int"))
+    cut = F.broadcast(spark.createDataFrame([(kind, g, r.start, len(r)) for (kind, g), r in chunks.items()], "kind int, grp long, start long, parts long"))
+    rows = dense.select("node", "copies", "x", "grp", F.lit(0).alias("kind")).union(others.select("node", "copies", "x", "grp", F.lit(1).alias("kind")))
+    rows = rows.join(cut, ["kind", "grp"]).select("node", "copies", "x", (F.col("start") + F.pmod(F.xxhash64("node"), F.col("parts"))).alias("chunk")).join(sides, "chunk")
+
+    def compare(batches):
+        for (task,), t in streams.groups(batches, ["task"]):
+            side = t.column("side").to_numpy()
+            ids, copies = t.column("node").to_numpy(), t.column("copies").to_numpy().astype(np.float64)
+            x = vectors.unit(vectors.matrix(t.column("x")))
+            alone = task % 2 == 0
+            a, b = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if alone else 1))
+            if not len(a) or not len(b):
+                continue
+            xb = np.ascontiguousarray(x[b].T)
+            hit = np.zeros((len(a), len(b)), bool)
+            links = np.zeros(len(ids))
+            for i in range(0, len(a), stripe):
+                at = a[i : i + stripe]
+                h = x[at] @ xb >= least
+                if alone:
+                    h[np.arange(len(at)), np.arange(i, i + len(at))] = False
+                else:
+                    links[b] += copies[at] @ h
+                links[at] += h @ copies[b]
+                hit[i : i + stripe] = h
+            ra, rb = bound(hit, ids[a], ids[b])
+            node, root = np.concatenate([ids[a], ids[b]]), np.concatenate([ra, rb])
+            count = np.concatenate([links[a], np.zeros(len(b)) if alone else links[b]]).astype(np.int64)
+            some = (count > 0) | (node != root)
+            yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(count[some]), pa.array(root[some])], ["node", "links", "root"])
+
+    return rows.select("task", "side", "node", "copies", "x").repartition(tasks, "task").sortWithinPartitions("task", "side", "node").mapInArrow(compare, "node long, links long, root long")
+
+
 def prepared(df: DataFrame, id_col: str, vec: str) -> DataFrame:
     """One row per distinct vector: node (smallest id), copies, x (unit vector is taken later)."""
     own = vectors.usable(df.select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("x")).where("id is not null"), "x")
     return own.groupBy("x").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
 
 
-def dedup(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding", least: float = 0.9, shard_rows: int = 1500, overlap: int = 3, sample: int = 20_000) -> DataFrame:
+def dedup(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding", least: float = 0.9, shard_rows: int = 1500, overlap: int = 3, sample: int = 20_000, block_rows: int = 4096) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     spark = df.sparkSession
     nodes = scratch.table(prepared(df, id_col, vec), "nodes")
@@ -118,7 +254,8 @@ def dedup(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding", least:
     rows = nodes.select("node", "x").orderBy(F.xxhash64("node"), "node").limit(sample).collect()
     x = vectors.unit(np.array([r["x"] for r in rows]))
     k = min(len(x), max(1, math.ceil(n * overlap / shard_rows)))
-    shared = spark.sparkContext.broadcast(centroids(x, k))
+    c = centroids(x, k)
+    shared, crowd = spark.sparkContext.broadcast(c), max(1, shard_rows // 15)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def assign(batches):
@@ -126,23 +263,26 @@ def dedup(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding", least:
         for b in batches:
             if b.num_rows:
                 x = vectors.unit(vectors.matrix(b.column("x")))
-                near = np.sort(graphs.nearest(-(x @ c.T), overlap), axis=1)
+                near = graphs.nearest(-(x @ c.T), overlap)
+                home, near = pa.array(near[:, 0].astype(np.int32)), np.sort(near, axis=1)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, near.shape[1]), pa.int32()), pa.array(near.ravel().astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([b.column("node"), b.column("copies"), b.column("x"), lists], ["node", "copies", "x", "shards"])
+                yield pa.RecordBatch.from_arrays([b.column("node"), b.column("copies"), b.column("x"), lists, home], ["node", "copies", "x", "shards", "home"])
 
-    placed = scratch.table(nodes.select("node", "copies", "x").mapInArrow(assign, "node long, copies long, x array<double>, shards array<int>"), "placed")
+    placed = scratch.table(nodes.select("node", "copies", "x").mapInArrow(assign, "node long, copies long, x array<double>, shards array<int>, home int"), "placed")
     dealt = placed.withColumn("shard", F.explode("shards"))
 
     def build(batches):
         for (_,), t in streams.groups(batches, ["shard"]):
             ids = t.column("node").to_numpy()
-            g = flat_graph(vectors.unit(vectors.matrix(t.column("x"))))
+            x = vectors.unit(vectors.matrix(t.column("x")))
+            g = flat_graph(x)
+            near = np.concatenate([(x[i : i + 512] @ x.T >= least).sum(1) - 1 for i in range(0, len(x), 512)])
             flat = np.where(g >= 0, ids[np.maximum(g, 0)], -1)
             at = np.append(0, np.cumsum((g >= 0).sum(1)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat[flat >= 0]))], ["node", "nbrs"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat[flat >= 0])), pa.array(near)], ["node", "nbrs", "near"])
 
-    built = dealt.select("shard", "node", "x").repartition(tasks, "shard").sortWithinPartitions("shard", "node").mapInArrow(build, "node long, nbrs array<long>")
-    united = scratch.table(built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nbrs")), "united")
+    built = dealt.select("shard", "node", "x").repartition(tasks, "shard").sortWithinPartitions("shard", "node").mapInArrow(build, "node long, nbrs array<long>, near long")
+    united = scratch.table(built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nbrs"), (F.max("near") >= crowd).alias("dense")), "united")
 
     def find(batches):
         for (shard,), t in streams.groups(batches, ["shard"]):
@@ -161,7 +301,8 @@ def dedup(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding", least:
             own = np.asarray(t.column("shards").combine_chunks().flatten()).reshape(len(ids), -1)
             # A pair belongs to the smallest shard that both rows have.
             both = np.where((own[a][:, :, None] == own[b][:, None, :]).any(axis=2), own[a], np.iinfo(np.int32).max).min(axis=1) if len(a) else np.zeros(0, int)
-            mine = both == shard
+            dense = t.column("dense").to_numpy()
+            mine = (both == shard) & ~dense[a] & ~dense[b]
             links = np.zeros(len(ids), np.int64)
             np.add.at(links, a[mine], copies[b[mine]])
             np.add.at(links, b[mine], copies[a[mine]])
@@ -169,9 +310,11 @@ def dedup(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding", least:
             some = np.flatnonzero((links > 0) | (root != np.arange(len(ids))))
             yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(ids[root[some]])], ["node", "links", "root"])
 
-    held = dealt.join(united, "node").select("shard", "node", "copies", "x", "shards", "nbrs")
+    held = dealt.join(united, "node").select("shard", "node", "copies", "x", "shards", "nbrs", "dense")
     got = held.repartition(tasks, "shard").sortWithinPartitions("shard", "node").mapInArrow(find, "node long, links long, root long")
-    got = scratch.table(got, "found")
+    flagged = scratch.table(placed.join(united.select("node", "dense"), "node").select("node", "copies", "x", "home", "dense"), "flagged")
+    exact = meet(flagged, c, least, block_rows)
+    got = scratch.table(got if exact is None else got.union(exact), "found")
     count = got.groupBy("node").agg(F.sum("links").alias("links"))
     comp = components(got.where("node <> root").select("node", F.col("root").alias("to")), "node", "to")
     result = nodes.select("node", "x", "copies").join(count, "node", "left").join(comp, "node", "left")
