@@ -150,6 +150,22 @@ def test_dropout_varies_and_repeats():
         assert MODEL.merge(w, 0) == MODEL._long(list(w), MODEL.key(w, 0))
 
 
+def test_dropout_varies_by_document_and_place():
+    t = " ".join(["interesting"] * 200)
+    ids = MODEL.encode(t, 0, 1)
+    assert ids == MODEL.encode(t, 0, 1) and MODEL.decode(ids) == t
+    assert len({MODEL.encode(t, 0, doc) for doc in range(50)}) == 50
+    first = MODEL.encode("interesting", 0, 1)
+    assert ids != first * 200
+    assert len({MODEL.encode("interesting", 0, doc) for doc in range(200)}) > 3
+
+
+@pytest.mark.parametrize("word", ["interesting", "Schedule", "a", "élan", "x" * 60])
+def test_cached_candidates_skip_as_merging_does(word):
+    for doc in range(100):
+        assert MODEL.encode(word, 0, doc) == MODEL.coded(MODEL.merge("▁" + word, 0, doc))
+
+
 def test_bloom_filters_tell_languages_apart():
     own = {"aa": ["lamo remo tamo lamo remo"] * 5, "bb": ["zuk drek wuk zuk drek"] * 5}
     f = langid.learn(own, bits=12)

@@ -2,15 +2,16 @@
 
 Text is a sequence of characters with spaces as U+2581 and one before the first; adjacent symbols
 that make a piece enter an agenda (best score, then leftmost). A candidate taken from the agenda is skipped if
-a keyed hash of (seed, variant, word, place, piece) falls under ``dropout``; so segmentations differ between
-variants, which documents get by a hash of their id, and are the same in every run. What no piece covers is
+a keyed hash of (seed, variant, document, word's place in the text, place in the word, piece) falls under ``dropout``; so
+segmentations differ between documents and between a word's occurrences, and are the same in every run. What no piece covers is
 written in byte pieces, U+2581 of the text itself too, so decoding gives the text back.
 
-No piece joins a character with a following space (asserted on loading), so words are segmented one by one,
-through a bounded cache.
+No piece joins a character with a following space (asserted on loading), so words are segmented one by one. A bounded
+cache holds only the undropped segmentation of a word and its candidates in turn: an occurrence that skips none
+of them takes it, any other is merged anew.
 
 Edge cases: null text encodes like the empty one, as no ids; dropout 0 is the model's own encoding;
-repeated rows are encoded alike; an empty table gives an empty result.
+repeated rows (equal id and text) are encoded alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -57,15 +58,29 @@ class Pieces:
                 self.raw.append(piece.replace(SPACE, " ").encode())
         order = {v: r for r, v in enumerate(sorted(set(score.values()), reverse=True))}
         self.rank = {piece: order[v] for piece, v in score.items()}  # 0 merges first
-        self.cache = [({}, {}) for _ in range(variants)]
+        self.cache: tuple[dict, dict] = ({}, {})
 
-    def key(self, word: str, variant: int) -> int:
-        return zlib.crc32(word.encode(), self.seed * 0x9E3779B1 + variant * 0x85EBCA77 & _M)
+    def key(self, word: str, variant: int, doc: int | None = None, place: int = 0) -> int:
+        return self.at(self.base(doc, variant) ^ zlib.crc32(word.encode()), place)
 
-    def merge(self, word: str, variant: int) -> list[str]:
+    def base(self, doc: int | None, variant: int) -> int:
+        return zlib.crc32(str(doc).encode(), self.seed * 0x9E3779B1 + variant * 0x85EBCA77 & _M)
+
+    @staticmethod
+    def at(key: int, place: int) -> int:
+        """The key of a word (``key`` mixes document and word) at a place of the text."""
+        h = (key ^ place * 0x9E3779B1) & _M
+        h = (h ^ h >> 16) * 0x7FEB352D & _M
+        h = (h ^ h >> 15) * 0x846CA68B & _M
+        return h ^ h >> 16
+
+    def merge(self, word: str, variant: int, doc: int | None = None, place: int = 0) -> list[str]:
+        return self._merge(word, self.key(word, variant, doc, place))
+
+    def _merge(self, word: str, key: int, trace: list[int] | None = None) -> list[str]:
         """The symbols of a word after the agenda is done. The agenda of a short word is an array
-        (its least entry is taken each time), that of a long one a heap; both give the same."""
-        key = self.key(word, variant)
+        (its least entry is taken each time), that of a long one a heap; both give the same. With ``trace`` (short words) none
+        is skipped and what the key is mixed with is noted for each candidate."""
         if len(word) > 48:
             return self._long(list(word), key)
         get, none, drop = self.rank.get, _NONE, self.dropout
@@ -76,7 +91,9 @@ class Pieces:
             if least == none:
                 break
             i = agenda.index(least)
-            if drop:
+            if trace is not None:
+                trace.append((place[i] * 0x9E3779B1 ^ least * 0x85EBCA77) & _M)
+            elif drop:
                 h = (key ^ place[i] * 0x9E3779B1 ^ least * 0x85EBCA77) & _M
                 if ((h ^ h >> 15) * 0x2C1B3C6D ^ h << 7) & _M < drop:
                     agenda[i] = none
@@ -119,9 +136,9 @@ class Pieces:
                 offer(left[i], i)
         return [s for s in symbols if s]
 
-    def word(self, word: str, variant: int) -> bytes:
+    def coded(self, symbols: list[str]) -> bytes:
         out: list[int] = []
-        for s in self.merge(word, variant):
+        for s in symbols:
             k = self.ids.get(s)
             if k is not None:
                 out.append(k)
@@ -132,39 +149,54 @@ class Pieces:
             got.byteswap()
         return got.tobytes()
 
-    def led(self, word: str, variant: int) -> bytes:
-        """The ids of a word with a space before it, through a cache of two generations: words in use move to the
-        young one, and when it is full the old one goes."""
-        young, old = self.cache[variant]
-        got = old.get(word) or self.word(SPACE + word, variant)
-        if len(word) <= 48:
-            if len(young) >= self.entries:
-                self.cache[variant] = young, old = {}, young
-            young[word] = got
+    def plan(self, word: str) -> tuple[bytes, list[int], int]:
+        """The undropped ids of a word with a space before it, its trace and its checksum, through a cache of two generations: words in
+        use move to the young one, and when it is full the old one goes."""
+        young, old = self.cache
+        got = old.get(word)
+        if got is None:
+            trace: list[int] = []
+            got = self.coded(self._merge(SPACE + word, 0, trace)), trace if self.dropout else [], zlib.crc32((SPACE + word).encode())
+        if len(young) >= self.entries:
+            self.cache = young, old = {}, young
+        young[word] = got
         return got
 
-    def encode(self, text: str, variant: int = 0) -> bytes:
+    def encode(self, text: str, variant: int = 0, doc: int | None = None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if not text:
             return b""
+        base = self.base(doc, variant)
         first, *rest = text.split(SPACE)
-        out = self._part(SPACE, first, variant)
+        out, n = self._part(SPACE, first, base, 0)
         if rest:
             own = np.array([self.byte[b] for b in SPACE.encode()], "<u4").tobytes()
             for part in rest:
-                out += [own, *self._part("", part, variant)]
+                more, n = self._part("", part, base, n)
+                out += [own, *more]
         return b"".join(out)
 
-    def _part(self, lead: str, text: str, variant: int) -> list[bytes]:
-        """The ids of a stretch without U+2581, word by word; ``lead`` comes before it."""
+    def _part(self, lead: str, text: str, base: int, n: int) -> tuple[list[bytes], int]:
+        """The ids of a stretch without U+2581, word by word, and the number of words up to its end; ``lead`` comes
+        before it and ``n`` words of the text do."""
         if not lead or "  " in text or text.endswith(" ") or text.startswith(" ") or not text:
-            return [self.word(w, variant) for w in _WORDS.findall(lead + text.replace(" ", SPACE))]
-        out = []
-        words, led = text.split(" "), self.led
-        for k in range(0, len(words), 4096):  # a new generation is seen by the next stretch
-            get = self.cache[variant][0].get
-            out += [get(w) or led(w, variant) for w in words[k : k + 4096]]
-        return out
+            words = _WORDS.findall(lead + text.replace(" ", SPACE))
+            return [self.coded(self._merge(w, self.at(base ^ zlib.crc32(w.encode()), k))) for k, w in enumerate(words, n)], n + len(words)
+        out, words, drop, at = [], text.split(" "), self.dropout, self.at
+        for k, w in enumerate(words, n):
+            if len(w) > 47:
+                out.append(self.coded(self._merge(SPACE + w, at(base ^ zlib.crc32((SPACE + w).encode()), k))))
+                continue
+            ids, trace, crc = self.cache[0].get(w) or self.plan(w)
+            if trace:
+                own = at(base ^ crc, k)
+                for t in trace:
+                    h = own ^ t
+                    if ((h ^ h >> 15) * 0x2C1B3C6D ^ h << 7) & _M < drop:
+                        ids = self.coded(self._merge(SPACE + w, own))
+                        break
+            out.append(ids)
+        return out, n + len(words)
 
     def decode(self, ids: bytes) -> str:
         raw = self.raw
@@ -195,7 +227,7 @@ def encode(docs: DataFrame, dropout: float = 0.1, seed: int = 1, variants: int =
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 text = text.as_py() or ""
                 v = variant_of(doc_id, seed, variants)
-                ids = p.encode(text, v)
+                ids = p.encode(text, v, doc_id)
                 rows.append((doc_id, v, len(ids) // 4, zlib.crc32(ids), p.decode(ids) == text, np.frombuffer(ids, "<u4").tolist() if with_ids else None))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32()))
