@@ -208,6 +208,18 @@ def test_late_versions_are_refused(spark, tmp_path):
     assert [r["doc"] for r in feeds.newest_versions(stream, state, "utility", ["effective_date"]).collect()] == ["new"]
 
 
+@pytest.mark.parametrize("edge", [(88.0, 92.0, 20.5, 26.7), (-180.0, 180.0, -89.9, 89.9)])
+def test_nearest_of_many_places(spark, edge):
+    w, e, s, n = edge
+    at = lambda seed: ((F.rand(seed) * (e - w) + w).alias("lon"), (F.rand(seed + 1) * (n - s) + s).alias("lat"))
+    p = spark.range(60).select("id", *at(1)).localCheckpoint()
+    q = spark.range(300).select(F.col("id").alias("place_id"), *at(5)).localCheckpoint()
+    q = q.union(q.limit(5).select(F.col("place_id") + 1000, "lon", "lat")).localCheckpoint()
+    rows = lambda d: sorted((r["id"], r["rank"], r["place_id"], round(r["km"], 6)) for r in d.collect())
+    want = rows(spatial.nearest(p, q, 4))
+    assert len(want) == 240 and rows(spatial.nearest_any(p, q, 4, bound=10)) == want
+
+
 def test_refused_sizes(spark):
     p = spark.createDataFrame([(1, 0.0, 0.0)], "id int, lon double, lat double")
     many = spark.range(30).select(F.col("id").alias("place_id"), F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat"))

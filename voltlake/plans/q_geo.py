@@ -104,19 +104,19 @@ def geo_gates(spark, sf):
 
 @query("knn", f"WITH {P}, d AS (SELECT p.id, o.place_id, {km_sql('p', 'o')} AS km FROM p, o) SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY km, place_id) AS INTEGER) AS rank, place_id, round(km, 4) AS km FROM d QUALIFY rank <= 5")
 def knn(spark, sf):
-    return SP.nearest(points(spark, sf), offices(spark, sf), 5).withColumn("km", F.round("km", 4))
+    return SP.nearest_any(points(spark, sf), offices(spark, sf), 5).withColumn("km", F.round("km", 4))
 
 
 @query("nearest1", f"WITH {P}, d AS (SELECT p.id, o.place_id, {km_sql('p', 'o')} AS km FROM p, (SELECT *, CASE WHEN place_id % 7 <> 0 THEN 'sheet ' || place_id END AS url FROM o) o WHERE o.url IS NOT NULL) SELECT id, min_by(place_id, (km, place_id)) AS place_id, round(min(km), 4) AS km FROM d GROUP BY id")
 def nearest1(spark, sf):
     # Only places with a published sheet count.
     zones = offices(spark, sf).withColumn("url", F.when(F.col("place_id") % 7 != 0, F.concat(F.lit("sheet "), F.col("place_id").cast("string"))))
-    return SP.nearest(points(spark, sf), zones.where("url is not null"), 1).select("id", "place_id", F.round("km", 4).alias("km"))
+    return SP.nearest_any(points(spark, sf), zones.where("url is not null"), 1).select("id", "place_id", F.round("km", 4).alias("km"))
 
 
 @query("voronoi_assign", f"WITH {P}, d AS (SELECT p.id, o.place_id, {km_sql('p', 'o')} AS km FROM p, o), b AS (SELECT id, min_by(place_id, (km, place_id)) AS seed FROM d GROUP BY id) SELECT seed, count(*) AS n FROM b GROUP BY seed")
 def voronoi_assign(spark, sf):
-    return SP.nearest(points(spark, sf), offices(spark, sf), 1).groupBy(F.col("place_id").alias("seed")).agg(F.count("*").alias("n"))
+    return SP.nearest_any(points(spark, sf), offices(spark, sf), 1).groupBy(F.col("place_id").alias("seed")).agg(F.count("*").alias("n"))
 
 
 @query("radius", f"WITH {P}, d AS (SELECT p.id, o.place_id, {km_sql('p', 'o')} AS km FROM p, o) SELECT id, place_id, round(km, 4) AS km FROM d WHERE km <= 40 QUALIFY row_number() OVER (PARTITION BY id ORDER BY km, place_id) <= 8")
@@ -170,7 +170,7 @@ ranked AS (SELECT *, CAST(row_number() OVER w AS INTEGER) AS rank, score - coale
 
 
 def ranked(spark, sf):
-    near = SP.nearest(points(spark, sf), offices(spark, sf), 6).drop("rank")
+    near = SP.nearest_any(points(spark, sf), offices(spark, sf), 6).drop("rank")
     score = F.when(F.col("km") < 30, 1.0).otherwise(R.distance_decay(F.col("km") / 10))
     w = Window.partitionBy("id").orderBy(F.desc("score"), "place_id")
     s = near.withColumn("score", score)
@@ -192,10 +192,12 @@ def feeders(spark, sf):
     """The three best feeders (one utility's claims, hundreds of rows) for every point."""
     k = F.col("s_suppkey")
     f = table(spark, sf, "supplier").select(k.alias("feeder"), (k % 120).alias("place_id"), F.least(F.lit(1.0), (k % 11).cast("double") / 10).alias("area"))
+    # Feeders of a division differ by area alone, so only its first four can be among a point's first three or follow them.
+    f = SP.top_by(f, "place_id", 4, F.desc("area"), F.col("feeder")).drop("rank")
     r = ranked(spark, sf).select("id", "place_id", "rank")
     # Every point has the unranked weight for all feeders; ranked ones are joined by division.
     ids = r.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("place_id", "rank"))).alias("ranks"))
-    c = ids.join(F.broadcast(f) if SP._small(f) else f).withColumn("r", F.try_element_at("ranks", F.col("place_id")))
+    c = ids.join(F.broadcast(f)).withColumn("r", F.try_element_at("ranks", F.col("place_id")))
     c = c.withColumn("div", R.division_weight(F.col("r"), F.lit(True))).withColumn("score", R.feeder_score(F.col("div"), F.col("area")))
     w = Window.partitionBy("id").orderBy(F.desc("score"), "feeder")
     best = c.withColumns({"rank": F.row_number().over(w), "margin": F.col("score") - F.coalesce(F.lead("score").over(w), F.lit(0.0))})
