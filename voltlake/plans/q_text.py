@@ -147,6 +147,12 @@ def clean_split(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(F.array_join(F.array_sort(X.split_areas(first)), "|")).alias("areas"))
 
 
+@query("clean_split_texts", f"WITH p AS (SELECT doc_id, list_transform(regexp_split_to_array(text, '[,،৷/\\n]'), lambda x: {_CLEAN_TAIL.format(t='x')}) AS parts FROM documents) SELECT doc_id, md5(array_to_string(list_sort(list_distinct(list_filter(parts, lambda x: length(x) >= 2 AND regexp_matches(x, '[A-Za-zঀ-৿]')))), '|')) AS areas FROM p")
+def clean_split_texts(spark, sf):
+    """The areas of whole texts, line by line; ``clean_split`` has the first line only."""
+    return table(spark, sf, "documents").select("doc_id", F.md5(F.array_join(F.array_sort(X.split_areas(F.translate("text", "\n", ","))), "|")).alias("areas"))
+
+
 @query("script_ratio", f"WITH d AS (SELECT doc_id, ({_BN})[CAST(doc_id % 5 AS INTEGER) + 1] || ' ' || source AS t FROM documents), n AS (SELECT *, len(regexp_extract_all(t, '[ঀ-৿]')) AS b FROM d) SELECT doc_id, round(b::DOUBLE / length(replace(t, ' ', '')), 6) AS ratio, b >= 3 AS name, b >= 2 AND b::DOUBLE / length(replace(t, ' ', '')) > 0.6 AS plausible FROM n")
 def script_ratio(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.concat(_bn(), F.lit(" "), F.col("source")).alias("t"))
