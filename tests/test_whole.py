@@ -15,6 +15,13 @@ def rows(spark, name):
     return catalogue.queries()[name](spark, FOLDER).collect()
 
 
+def test_every_link_has_a_row(spark):
+    pages = spark.read.parquet(f"{FOLDER}/pages.parquet").collect()
+    got = rows(spark, "label_links")
+    assert len(got) == sum(r["html"].count('href="') for r in pages if r["html"]) > len(rows(spark, "label_near"))
+    assert len({(r["page_id"], r["pos"]) for r in got}) == len(got)
+
+
 def test_areas_of_further_lines_count(spark):
     lines = {r["doc_id"]: (r["text"] or "").strip().count("\n") for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
     first = {r["doc_id"]: r["areas"] for r in rows(spark, "clean_split")}

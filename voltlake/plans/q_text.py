@@ -193,6 +193,18 @@ def label_near(spark, sf):
     return p.select("page_id", "href", scans.label_before(F.col("html"), F.col("href")).alias("label"))
 
 
+@query("label_links", """WITH h AS (SELECT page_id, html, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l, regexp_split_to_array(html, 'href="[^"]*"') AS p FROM pages), u AS (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM h),
+a AS (SELECT page_id, html, CAST(i - 1 AS INTEGER) AS pos, l[i] AS href, CAST(1 + list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(l[1:i - 1], lambda x: length(x) + 7)), 0) AS BIGINT) AS here FROM u),
+t AS (SELECT page_id, pos, href, trim(regexp_replace(regexp_replace(substring(html, greatest(1, here - 300), least(300, here - 1)), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM a) SELECT page_id, pos, href, right(t, 90) AS label FROM t""")
+def label_links(spark, sf):
+    """Every link of a page with its own label; ``label_near`` has the first only."""
+    p = table(spark, sf, "pages").select("page_id", "html", scans.links(F.col("html")).alias("l"), F.split("html", r'href="[^"]*"').alias("p"))
+    h = p.select("*", F.posexplode("l").alias("pos", "href"))
+    size = lambda c, n, more: F.aggregate(F.slice(c, F.lit(1), n), F.lit(0), lambda s, x: s + F.char_length(x) + more)
+    at = size("p", F.col("pos") + 1, 0) + size("l", F.col("pos"), 7) + 1
+    return h.withColumn("at", at).select("page_id", "pos", "href", scans.label_at(F.col("html"), F.col("at")).alias("label"))
+
+
 @query("tag_strip", "SELECT page_id, md5(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) AS text_hash FROM pages")
 def tag_strip(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.md5(F.trim(F.regexp_replace(X.strip_tags(F.col("html")), r"\s+", " "))).alias("text_hash"))

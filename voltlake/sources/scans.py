@@ -54,6 +54,11 @@ def links(html: Column) -> Column:
 def label_before(html: Column, target: Column, reach: int = 300, keep: int = 90) -> Column:
     """The text before a link: tags dropped from the ``reach`` characters before it, its last ``keep``."""
     at = F.locate("\u0001", F.replace(html, F.concat(F.lit('href="'), target, F.lit('"')), F.lit("\u0001")))
+    return label_at(html, at, reach, keep)
+
+
+def label_at(html: Column, at: Column, reach: int = 300, keep: int = 90) -> Column:
+    """The text before the character ``at`` (from 1; 0: none), as ``label_before`` gives it."""
     piece = F.substring(html, F.greatest(F.lit(1), at - reach), F.least(F.lit(reach), at - 1))
     text = F.trim(F.regexp_replace(F.regexp_replace(piece, "<[^>]+>", " "), r"\s+", " "))
     return F.when(at > 0, F.right(text, F.lit(keep)))
