@@ -27,3 +27,10 @@ def test_areas_of_further_lines_count(spark):
     first = {r["doc_id"]: r["areas"] for r in rows(spark, "clean_split")}
     got = {r["doc_id"]: r["areas"] for r in rows(spark, "clean_split_texts")}
     assert sum(got[k] != first[k] for k in got if lines[k]) > 0.9 * sum(n > 0 for n in lines.values()) > 0
+
+
+@pytest.mark.parametrize("name", ["script_ratio_texts", "translit_texts"])
+def test_texts_are_read(spark, name):
+    texts = spark.read.parquet(f"{FOLDER}/documents.parquet").select("text").distinct().count()
+    kinds = {tuple(r)[1] for r in rows(spark, name)}
+    assert len(kinds) > texts // 2 > 20

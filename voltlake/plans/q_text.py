@@ -153,6 +153,18 @@ def clean_split_texts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(F.array_join(F.array_sort(X.split_areas(F.translate("text", "\n", ","))), "|")).alias("areas"))
 
 
+@query("script_ratio_texts", f"WITH d AS (SELECT doc_id, text || ' ' || ({_BN})[CAST(doc_id % 5 AS INTEGER) + 1] AS t FROM documents), n AS (SELECT *, len(regexp_extract_all(t, '[ঀ-৿]')) AS b, length(replace(t, ' ', '')) AS n FROM d) SELECT doc_id, coalesce(round(b::DOUBLE / n, 6), 0) AS ratio, b >= 3 AS name, b >= 2 AND b::DOUBLE / n > 0.6 AS plausible FROM n")
+def script_ratio_texts(spark, sf):
+    t = F.concat("text", F.lit(" "), _bn())
+    return table(spark, sf, "documents").select("doc_id", F.round(X.bengali_ratio(t), 6).alias("ratio"), X.looks_like_a_name(t).alias("name"), X.is_plausible_bangla(t).alias("plausible"))
+
+
+@query("translit_texts", f"WITH d AS (SELECT doc_id, text || ' ' || ({_BN})[CAST(doc_id % 5 AS INTEGER) + 1] AS t FROM documents) SELECT doc_id, md5({translit_sql('t')}) AS latin, md5(translate(t, '০১২৩৪৫৬৭৮৯', '0123456789')) AS digits FROM d")
+def translit_texts(spark, sf):
+    t = F.concat("text", F.lit(" "), _bn())
+    return table(spark, sf, "documents").select("doc_id", F.md5(X.transliterate(t)).alias("latin"), F.md5(X.ascii_digits(t)).alias("digits"))
+
+
 @query("script_ratio", f"WITH d AS (SELECT doc_id, ({_BN})[CAST(doc_id % 5 AS INTEGER) + 1] || ' ' || source AS t FROM documents), n AS (SELECT *, len(regexp_extract_all(t, '[ঀ-৿]')) AS b FROM d) SELECT doc_id, round(b::DOUBLE / length(replace(t, ' ', '')), 6) AS ratio, b >= 3 AS name, b >= 2 AND b::DOUBLE / length(replace(t, ' ', '')) > 0.6 AS plausible FROM n")
 def script_ratio(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.concat(_bn(), F.lit(" "), F.col("source")).alias("t"))
