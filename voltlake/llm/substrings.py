@@ -8,7 +8,7 @@
 3. Segments around the other minimizers (all strings that share one) are dealt out by the minimizer:
    equal strings meet in one shard. Equal segments of a group of documents are
    sent once; later documents' copies are removed at once.
-4. Each shard orders its strings by external induced sorting (``induced``); runs of equal strings
+4. Each shard, which must fit memory, orders its strings by induced sorting (``induced``); runs of equal strings
    give the smallest document id, and every other document's strings in the run are removed.
 5. The runs meet their texts once more.
 
