@@ -150,6 +150,17 @@ def test_dropout_varies_and_repeats():
         assert MODEL.merge(w, 0) == MODEL._long(list(w), MODEL.key(w, 0))
 
 
+@pytest.mark.parametrize(("keep", "size", "least"), [(80, 170, 32), (80, 400, 64), (90, 400, 32), (90, 800, 64)])
+def test_large_sets_at_the_threshold_share_a_part(keep, size, least):
+    rng = np.random.default_rng(size)
+    apart = size * (100 - keep) // (100 + keep)
+    assert 2 * size * (100 - keep) // (100 + keep) + 1 >= least
+    for _ in range(50):
+        x = rng.integers(0, 1 << 63, size + apart, dtype=np.uint64)
+        a, b = np.sort(x[:size]), np.sort(x[apart:])
+        assert np.intersect1d(jaccard.parts(a, keep), jaccard.parts(b, keep)).size
+
+
 def test_dropout_varies_by_document_and_place():
     t = " ".join(["interesting"] * 200)
     ids = MODEL.encode(t, 0, 1)
