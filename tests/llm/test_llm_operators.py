@@ -57,7 +57,7 @@ def test_components(spark):
 def test_jaccard(spark, docs, n, keep, block, monkeypatch):
     df, rows = docs
     if block != 512:
-        monkeypatch.setattr(jaccard.links, "__defaults__", (block, 1))
+        monkeypatch.setattr(jaccard.links, "__defaults__", (block, 2))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(df, n, keep).collect()}
     sets = {}
     for k, t, *_ in rows:

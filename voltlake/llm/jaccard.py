@@ -1,26 +1,27 @@
-"""Jaccard join of word n-gram sets with signature trees, exact at the given threshold but for the routing of large sets.
+"""Exact Jaccard join of word n-gram sets with signature trees.
 
 1. Equal sets are one: their rows are pre-aggregated to the smallest id.
-2. Routing loses no link of sets under 32 parts (for larger ones see ``parts``): two sets at 90 % similarity differ in at most (|x| + |y|) / 19
-   elements, so if the hash space is cut into one more part than that, some part of both is equal. Each
-   set sends a hash of every part (of its size level, and of the next where its size can meet it).
-   Equal part hashes make candidate links to the smallest id, combined per task before the
-   shuffle; their connected components are the groups that trees must search.
+2. Routing loses no link: two sets at 90 % similarity differ in at most d = (|x| + |y|) / 19 elements, so of more
+   than d parts of the hash space some part of both is equal. Each set sends a hash of every part (of its size
+   level, and of the next where its size can meet it). The sets that share a part form a group
+   around one of them; groups with the same centre are one group.
 3. Each group is searched by signature trees: nodes hold the OR (and AND) of their token
    bitmaps and their size range, and a dual traversal drops node pairs whose largest possible
    overlap is too small or that are linked already. What is left is verified on the sets.
-   Large groups are cut by size level; levels larger than ``block`` are dealt out in blocks that
-   share pivots, and rows that the largest link component of a level leaves out then meet every block
-   of it.
+4. A group of more than ``block`` rows is searched in blocks that share leading rows. Pairs across blocks meet by what they deviate in: with D(x) the
+   symmetric difference of x and the set M of elements that most leading rows hold, a linked pair
+   shares at least (|D(x)| + |D(y)| - d) / 2 deviating elements, so it meets in a subgroup of one of the first few
+   (``deviations``), elements outside M first. Subgroups whose rows are linked already are dropped; the others are searched
+   alike, and those still larger than ``block`` block against block for the rows outside their largest component.
 
 Edge cases: null or empty text has no set and links with nothing; fewer words than n are one
-element, the whole sequence; equal rows share a component; an empty table gives an empty result.
+element, the whole sequence; equal rows share a component; a row without an id has the component
+of an equal set, if there is one, else none;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -87,12 +88,21 @@ def bounds(m: int) -> np.ndarray:
     return _BOUNDS[m]
 
 
+def cut(level: int, keep: int) -> int:
+    """The number of parts at a size level: one more than two partners can differ in, and ``spare`` ones."""
+    differ = (2 * (int(levels(keep)[level + 1]) - 1) * (100 - keep)) // (100 + keep)
+    return differ + 1 + spare(differ)
+
+
+def spare(differ: int) -> int:
+    return 1 + differ // 12
+
+
 def parts(s: np.ndarray, keep: int = 90) -> np.ndarray:
     """A set's part hashes at its own level and, where a partner may be there, the next.
 
-    Of 64 parts or more those with under three elements are not sent, of 32 or more those with under two: a third
-    of the parts of a pair just at the threshold are equal. That none of them has as many, so that the link may be lost, has a
-    probability of up to 5e-11 at 0.8 and below 1e-16 at 0.9 (common elements as Poisson; not proved), while lone common elements would chain unlike documents together."""
+    Empty parts say nothing and are left out where the set has no more of them than there are spare parts: some
+    part that isn't empty then equals the partner's. Of two partners with more empty parts both send them."""
     size = len(s)
     lower = levels(keep)
     own = int(np.searchsorted(lower, size, "right")) - 1
@@ -100,14 +110,15 @@ def parts(s: np.ndarray, keep: int = 90) -> np.ndarray:
     for level in (own, own + 1):
         if level > own and size * 100 < keep * lower[level]:
             break
-        most = int(lower[level + 1]) - 1
-        m = (2 * most * (100 - keep)) // (100 + keep) + 1
+        m = cut(level, keep)
         at = np.searchsorted(s, bounds(m))
         sums = np.zeros(size + 1, np.uint64)
         np.cumsum(textbatch.mix(s), out=sums[1:])
         end = np.append(at[1:], size)
         value = textbatch.mix(sums[end] - sums[at] + np.arange(m, dtype=np.uint64) * _C[1] + np.full(m, level + 1, np.uint64) * _C[2])
-        out.append(value[end - at >= (3 if m >= 64 else 2 if m >= 32 else 0)])
+        full = end > at
+        differ = (2 * (int(lower[level + 1]) - 1) * (100 - keep)) // (100 + keep)
+        out.append(value[full] if m - int(full.sum()) <= spare(differ) else value)
     return np.concatenate(out)
 
 
@@ -126,78 +137,91 @@ def measured(docs: DataFrame, n: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
 
 
-def _stars(sig: np.ndarray, doc: np.ndarray):
-    """Rows sorted by signature, and each row's smallest id of its signature."""
-    order = np.lexsort((doc, sig))
-    sig, doc = sig[order], doc[order]
-    new = np.ones(len(sig), bool)
-    new[1:] = sig[1:] != sig[:-1]
-    return sig, doc, new, doc[new][np.cumsum(new) - 1]
-
-
-def _pairs(doc: np.ndarray, least: np.ndarray, buckets: int) -> pa.RecordBatch:
-    far = doc != least
-    both = np.unique(np.stack([least[far], doc[far]], axis=1), axis=0) if far.any() else np.zeros((0, 2), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array((np.arange(len(both)) % buckets).astype(np.int32)), pa.array([None] * len(both), pa.binary()), pa.array(both[:, 0]), pa.array(both[:, 1])], ["bucket", "data", "a", "b"])
-
-
-def candidates(docs: DataFrame, n: int, keep: int) -> DataFrame:
-    """Distinct links (a, b) that connect all documents with an equal part."""
+def stars(docs: DataFrame, n: int, keep: int) -> DataFrame:
+    """Distinct (centre, doc_id): the documents that share a part hash with others, by one of them."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def send(batches, most: int = 2_000_000):
         held: list[np.ndarray] = []
         ids: list[np.ndarray] = []
+        seen: dict[bytes, int] = {}
 
         def flush():
             sig, doc = np.concatenate(held), np.concatenate(ids)
             held.clear()
             ids.clear()
-            sig, doc, new, least = _stars(sig, doc)
-            yield _pairs(doc, least, buckets)
-            sig, doc = sig[new], doc[new]
+            seen.clear()
             to = ((sig >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(to, kind="stable")
             sig, doc, to = sig[order], doc[order], to[order]
             at = np.searchsorted(to, np.arange(buckets + 1))
             own = [k for k in range(buckets) if at[k] < at[k + 1]]
             blobs = [sig[at[k] : at[k + 1]].tobytes() + doc[at[k] : at[k + 1]].tobytes() for k in own]
-            none = pa.array([None] * len(own), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(blobs, pa.binary()), none, none], ["bucket", "data", "a", "b"])
+            lead = [int(doc[at[k] : at[k + 1]].min()) for k in own]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(lead, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "lead", "data"])
 
         size = 0
         for b in batches:
             doc = b.column(0).to_numpy(zero_copy_only=False)
             for i, _, data, off in textbatch.chunks(b.column(1)):
                 for k, s in enumerate(sets(data, off, n)):
-                    if len(s):
-                        held.append(parts(s, keep))
-                        ids.append(np.full(len(held[-1]), doc[i + k], np.int64))
-                        size += len(held[-1])
+                    if not len(s):
+                        continue
+                    # Of equal sets near each other only the smallest id is sent.
+                    key = textbatch.mix(s).sum().tobytes() + textbatch.mix(s ^ _C[4]).sum().tobytes()
+                    place = seen.setdefault(key, len(held))
+                    if place < len(held):
+                        ids[place][:] = min(ids[place][0], doc[i + k])
+                        continue
+                    held.append(parts(s, keep))
+                    ids.append(np.full(len(held[-1]), doc[i + k], np.int64))
+                    size += len(held[-1])
                 if size > most:
                     yield from flush()
                     size = 0
         if size:
             yield from flush()
 
-    def meet(batches):
-        sig, doc = [], []
+    def meet(batches, most: int = 4_000_000):
+        # One centre for each value is kept, so that a value that very many documents hold needs no more memory than a rare one.
+        known, centre = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def flush():
+            nonlocal known, centre
+            sig, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.lexsort((doc, sig))
+            sig, doc = sig[order], doc[order]
+            new = np.ones(len(sig), bool)
+            new[1:] = sig[1:] != sig[:-1]
+            value, first = sig[new], doc[new]
+            at = np.minimum(np.searchsorted(known, value), max(len(known) - 1, 0))
+            old = known[at] == value if len(known) else np.zeros(len(value), bool)
+            if old.any():
+                first[old] = centre[at[old]]
+            by = first[np.cumsum(new) - 1]
+            far = by != doc
+            both = np.unique(np.stack([by[far], doc[far]], axis=1), axis=0)
+            known, centre = np.append(known, value[~old]), np.append(centre, first[~old])
+            order = np.argsort(known, kind="stable")
+            known, centre = known[order], centre[order]
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["centre", "doc_id"])
+
+        held: list[tuple] = []
         for b in batches:
-            local = b.filter(b.column("data").is_null())
-            if local.num_rows:
-                yield local.select(["a", "b"])
-            for x in b.column("data").drop_null().to_pylist():
+            for x in b.column("data").to_pylist():
                 half = len(x) // 2
-                sig.append(np.frombuffer(x[:half], np.uint64))
-                doc.append(np.frombuffer(x[half:], np.int64))
-        if sig:
-            _, doc, _, least = _stars(np.concatenate(sig), np.concatenate(doc))
-            yield _pairs(doc, least, buckets).select(["a", "b"])
+                held.append((np.frombuffer(x[:half], np.uint64), np.frombuffer(x[half:], np.int64)))
+                if sum(len(s) for s, _ in held) > most:
+                    yield from flush()
+        if held:
+            yield from flush()
 
     text = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sent = text.mapInArrow(send, "bucket int, data binary, a long, b long")
-    return sent.repartition(buckets, "bucket").mapInArrow(meet, "a long, b long").distinct()
+    sent = text.mapInArrow(send, "bucket int, lead long, data binary")
+    dealt = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "lead", "data")
+    return dealt.select("data").mapInArrow(meet, "centre long, doc_id long").distinct()
 
 
 class Forest:
@@ -225,31 +249,44 @@ class Forest:
 
 
 class Tree:
-    """Signature tree: levels of nodes over rows in order; level 0 is the rows."""
+    """Signature tree: levels of nodes over rows in order; level 0 is the rows. ``root``: what each row is linked to already."""
 
-    def __init__(self, rows: list[np.ndarray], bits: int = 2048, fan: int = 8):
+    def __init__(self, rows: list[np.ndarray], root: np.ndarray, fan: int = 8):
         size = np.array([len(r) for r in rows])
+        bits = 1 << min(14, max(11, int(8 * size.max()).bit_length()))
         bitmap = np.zeros((len(rows), bits), bool)
         for k, r in enumerate(rows):
             bitmap[k, (r & np.uint64(bits - 1)).astype(np.int64)] = True
         any_ = np.packbits(bitmap, axis=1).view(np.uint64)
         self.any, self.all, self.low, self.high = [any_], [any_], [size], [size]
+        self.root = [(root, root)]
         while len(self.low[-1]) > 1:
             at = np.arange(0, len(self.low[-1]), fan)
             self.any.append(np.bitwise_or.reduceat(self.any[-1], at, axis=0))
             self.all.append(np.bitwise_and.reduceat(self.all[-1], at, axis=0))
             self.low.append(np.minimum.reduceat(self.low[-1], at))
             self.high.append(np.maximum.reduceat(self.high[-1], at))
+            self.root.append((np.minimum.reduceat(self.root[-1][0], at), np.maximum.reduceat(self.root[-1][1], at)))
         self.fan = fan
 
     def may(self, level: int, a: np.ndarray, b: np.ndarray, keep: int) -> np.ndarray:
-        """Whether node pairs of a level can hold a link: the size ranges allow it and what
+        """Whether node pairs of a level can hold a new link: they aren't linked whole, the size ranges allow it and what
         either side surely lacks leaves enough overlap."""
         lo, hi = self.low[level], self.high[level]
-        ok = (100 * hi[a] >= keep * lo[b]) & (100 * hi[b] >= keep * lo[a])
+        one, other = self.root[level]
+        ok = (100 * hi[a] >= keep * lo[b]) & (100 * hi[b] >= keep * lo[a]) & ~((one[a] == other[a]) & (one[b] == other[b]) & (one[a] == one[b]))
+        at = np.flatnonzero(ok)
+        a, b = a[at], b[at]
         lack = np.bitwise_count(self.all[level][a] & ~self.any[level][b]).sum(axis=1, dtype=np.int64)
         lack += np.bitwise_count(self.all[level][b] & ~self.any[level][a]).sum(axis=1, dtype=np.int64)
-        return ok & (lack * (100 + keep) <= (hi[a] + hi[b]) * (100 - keep))
+        ok[at] = lack * (100 + keep) <= (hi[a] + hi[b]) * (100 - keep)
+        return ok
+
+
+def overlap(flat: np.ndarray, begin: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The size of the intersection of x with each of the sets in ``flat`` that start at ``begin``; none is empty."""
+    at = np.minimum(np.searchsorted(x, flat), len(x) - 1)
+    return np.add.reduceat((x[at] == flat).astype(np.int64), begin)
 
 
 def similar(x: np.ndarray, y: np.ndarray, keep: int) -> bool:
@@ -257,13 +294,28 @@ def similar(x: np.ndarray, y: np.ndarray, keep: int) -> bool:
     return 100 * both >= keep * (len(x) + len(y) - both)
 
 
-def search(rows: list[np.ndarray], ids: np.ndarray, labels: np.ndarray, keep: int, left: np.ndarray | None = None) -> list[tuple[int, int]]:
+def search(rows: list[np.ndarray], ids: np.ndarray, labels: np.ndarray, keep: int, left: np.ndarray | None = None, leads: int = 1) -> list[tuple[int, int]]:
     """Links that join all rows reachable by links. ``labels``: equal ones are joined already. ``left``: only pairs with at
-    least one of these rows are sought."""
-    order = np.lexsort((np.array([r[0] for r in rows]), np.array([len(r) for r in rows])))
+    least one of these rows are sought. The ``leads`` smallest ids are compared with all rows at once, then the trees are traversed."""
+    forest, links = Forest(labels), []
+    if left is None:
+        size = np.array([len(r) for r in rows])
+        flat, begin = np.concatenate(rows), np.cumsum(size) - size
+        for p in np.argsort(ids, kind="stable")[: len(rows) if len(rows) <= 24 else leads].tolist():
+            both = overlap(flat, begin, rows[p])
+            for j in np.flatnonzero(100 * both >= keep * (size + size[p] - both)).tolist():
+                x, y = forest.root(p), forest.root(j)
+                if x != y:
+                    forest.up[y] = x
+                    links.append((int(ids[p]), int(ids[j])))
+    root = forest.flat()
+    if len(rows) <= 24 and left is None or (root == root[0]).all():
+        return links
+    order = np.lexsort((np.array([r[0] for r in rows]), np.array([len(r) for r in rows]), root))
     rows, ids = [rows[k] for k in order], ids[order]
     left = left[order] if left is not None else None
-    forest, tree, links = Forest(labels[order]), Tree(rows), []
+    forest = Forest(root[order])
+    tree = Tree(rows, root[order])
     top = len(tree.low) - 1
     stack = [(top, np.array([0]), np.array([0]))]
     while stack:
@@ -297,83 +349,135 @@ def search(rows: list[np.ndarray], ids: np.ndarray, labels: np.ndarray, keep: in
     return links
 
 
-def _searched(rows: DataFrame, keys: list[str], keep: int, cross: bool) -> DataFrame:
-    """Links within each group of ``rows`` (keys, doc_id, label, rest, data)."""
+def deviations(rows: list[np.ndarray], lead: np.ndarray, key: int, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """(subgroup, row): where rows of different blocks of a group meet. ``lead``: the rows that every block holds.
+
+    M holds the elements of most leads, q is the lead nearest to M, D(x) what x and M differ in, A(x, y) what linked sets may differ in at most. A linked pair
+    shares at least (|D(x)| + |D(y)| - A) / 2 elements of D. Is that none or less, then either both are linked to q, or one is
+    not and the other has |D| < |D(q)| (1 + c) / (1 - c) =: inner by the triangle inequality (c = A / (|x| + |y|)), so that A is at most
+    c (|x| + |M| + inner): these meet in one subgroup of their own. Otherwise the pair meets in the subgroup of one of the first |D| - least + 1 elements of
+    both, if ``least`` shared ones are sure: |D(x)| - A of any x, and for x linked to q (|D(x)| - |D(q)| + c (|q| - |x|)) / 2, as y then isn't."""
+    c = (100 - keep) / (100 + keep)
+    u, count = np.unique(np.concatenate([rows[k] for k in lead]), return_counts=True)
+    main = u[2 * count > len(lead)]
+    size = np.array([len(r) for r in rows])
+    begin = np.cumsum(size) - size
+    flat = np.concatenate(rows)
+    both = overlap(flat, begin, main) if len(main) else np.zeros(len(rows), np.int64)
+    off = size + len(main) - 2 * both
+    q = int(lead[np.argmin(off[lead])])
+    shared = overlap(flat, begin, rows[q])
+    tied = 100 * shared >= keep * (size + size[q] - shared)
+    most = c * size * (1 + 100 / keep) + 1e-6
+    least = np.where(tied, np.ceil((off - off[q] + c * (size[q] - size)) / 2 - 1e-6), np.ceil(off - most))
+    first = np.maximum(off - np.maximum(least, 1) + 1, 0).astype(np.int64)
+    base = textbatch.mix(np.full(1, key, np.int64).view(np.uint64) * _C[1])
+    keys, at = [], []
+    for k, r in enumerate(rows):
+        if off[k]:
+            own = np.concatenate([np.setdiff1d(r, main, assume_unique=True), np.setdiff1d(main, r, assume_unique=True)])[: first[k]]
+            keys.append(textbatch.mix(own ^ base))
+            at.append(np.full(len(own), k))
+    inner = off[q] * (1 + c) / (1 - c) + 1e-6
+    near = np.flatnonzero((~tied & (off <= c * (size + len(main) + inner) + 1e-6)) | (off < inner))
+    keys.append(np.repeat(textbatch.mix(base + _C[2]), len(near)))
+    at.append(near)
+    return np.concatenate(keys).view(np.int64), np.concatenate(at)
+
+
+def _searched(rows: DataFrame, keep: int, deviate: bool = False) -> DataFrame:
+    """(kind, a, b) within each block of ``rows`` (grp, block, to, doc_id, label, lead, rest, data): links (kind 0) and, if ``deviate``, the subgroups of
+    blocks with leads (kind 1: subgroup, doc_id). Where ``to`` isn't null, only pairs with a row that is ``rest`` are sought."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
-        for _, t in streams.groups(batches, keys):
+        for (grp, _, to), t in streams.groups(batches, ["grp", "block", "to"]):
             ids = t.column("doc_id").to_numpy()
             _, once = np.unique(ids, return_index=True)
             data = t.column("data").to_pylist()
-            sets_ = [np.frombuffer(data[k], np.uint64) for k in once]
-            if len(sets_) > 1:
-                left = t.column("rest").to_numpy(zero_copy_only=False)[once].astype(bool) if cross else None
-                got = search(sets_, ids[once], t.column("label").to_numpy()[once], keep, left)
-                if got:
-                    a, b = zip(*got, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            own = [np.frombuffer(data[k], np.uint64) for k in once]
+            ids, lead = ids[once], np.flatnonzero(t.column("lead").to_numpy(zero_copy_only=False).astype(bool)[once])
+            if len(own) < 2:
+                continue
+            left = t.column("rest").to_numpy(zero_copy_only=False).astype(bool)[once] if to >= 0 else None
+            got = search(own, ids, t.column("label").to_numpy()[once], keep, left, max(1, len(lead)))
+            if got:
+                a, b = zip(*got, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([0] * len(a), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["kind", "a", "b"])
+            if deviate and len(lead):
+                key, at = deviations(own, lead, grp, keep)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(key), np.int32)), pa.array(key), pa.array(ids[at])], ["kind", "a", "b"])
+
+    dealt = rows.select("grp", "block", "to", "doc_id", "label", "lead", "rest", "data").repartition(n, "grp", "block", "to").sortWithinPartitions("grp", "block", "to")
+    return dealt.mapInArrow(run, "kind int, a long, b long")
+
+
+def placed(members: DataFrame, block: int, leads: int) -> DataFrame:
+    """``members`` (grp, doc_id, label) of groups of two or more, with blocks, block, lead, rest and to. The smallest ids of a group of several
+    blocks are in every block."""
+    count = members.groupBy("grp").agg(F.count("*").alias("size")).where("size > 1").select("grp", F.ceil(F.col("size") / block).cast("long").alias("blocks"))
+    own = scratch.table(members.join(count, "grp"), "groups")
+    plain = own.withColumns({"block": F.pmod(F.xxhash64("doc_id"), "blocks"), "lead": F.lit(False)})
+    large = own.where("blocks > 1")
+    first = large.join(least_of(large, ["grp"], leads), ["grp", "doc_id"])
+    first = first.withColumns({"block": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)), "lead": F.lit(True)})
+    both = plain.unionByName(first).groupBy("grp", "blocks", "block", "doc_id").agg(F.first("label").alias("label"), F.max("lead").alias("lead"))
+    return both.withColumns({"rest": F.lit(False), "to": F.lit(-1).cast("long")})
 
-    dealt = rows.repartition(n, *keys).sortWithinPartitions(*keys)
-    return dealt.select(*keys, "doc_id", "label", "rest", "data").mapInArrow(run, "a long, b long")
 
-
-def links(docs: DataFrame, reps: DataFrame, n: int, keep: int, block: int = 512, pivots: int = 4) -> DataFrame:
-    """(doc_id, component) of the representatives (``reps``: doc_id; distinct sets, none empty) that link with
-    others."""
+def least_of(rows: DataFrame, group: list[str], k: int) -> DataFrame:
+    """(group, doc_id): the k smallest ids of each group, kept as they are merged."""
+    few = rows.groupBy(*group, F.pmod(F.xxhash64("doc_id"), F.lit(1024)).alias("salt")).agg(F.min("doc_id").alias("doc_id"))
+    return few.groupBy(*group).agg(F.slice(F.array_sort(F.collect_list("doc_id")), 1, k).alias("ids")).select(*group, F.explode("ids").alias("doc_id"))
+
+
+def across(members: DataFrame, data: DataFrame, keep: int, block: int) -> DataFrame:
+    """Links of ``members`` (grp, doc_id, label, blocks) of groups of several blocks, whose blocks are searched: rows
+    outside the largest component meet every block."""
+    weight = members.groupBy("grp", "label").agg(F.count("*").alias("w"))
+    main = scratch.table(weight.groupBy("grp").agg(F.max_by("label", F.struct("w", "label")).alias("main"), F.count("*").alias("k")).where("k > 1"), "main")
+    tagged = scratch.table(members.join(main, "grp").withColumns({"rest": F.col("label") != F.col("main"), "own": F.pmod(F.xxhash64("doc_id"), "blocks")}), "tagged")
+    rest = tagged.where("rest")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    more = rest.select("grp", "doc_id", "label", "rest", every.alias("block"), F.col("own").alias("to"))
+    tos = rest.groupBy("grp").agg(F.collect_set("own").alias("tos"))
+    own = tagged.join(tos, "grp").select("grp", "doc_id", "label", F.lit(False).alias("rest"), F.col("own").alias("block"), F.explode("tos").alias("to"))
+    tasks = more.unionByName(own).groupBy("grp", "block", "to", "doc_id").agg(F.first("label").alias("label"), F.max("rest").alias("rest"))
+    return _searched(tasks.withColumn("lead", F.lit(False)).join(data, "doc_id"), keep).select("a", "b")
+
+
+def links(docs: DataFrame, known: DataFrame, n: int, keep: int, block: int = 1024, leads: int = 8) -> DataFrame:
+    """(doc_id, component) of the documents with a link to another set. ``known``: doc_id and rep, the smallest id with the same set."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    maybe = components(candidates(text, n, keep)).withColumnsRenamed({"node": "doc_id", "component": "comp"})
-    maybe = scratch.table(maybe.join(reps, "doc_id", "left_semi"), "candidates")
-    size = scratch.table(maybe.groupBy("comp").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-    maybe = scratch.table(maybe.join(size, "comp", "left_semi"), "maybe")
+    rep = known.where("doc_id = rep").select("doc_id").distinct()
+    star = stars(text, n, keep).join(rep, "doc_id", "left_semi").join(known.select(F.col("doc_id").alias("centre"), F.col("rep").alias("grp")).distinct(), "centre")
+    star = scratch.table(star.where("grp <> doc_id").select("grp", "doc_id").distinct(), "stars")
+    members = star.unionByName(star.select("grp", F.col("grp").alias("doc_id")).distinct())
+    ids = scratch.table(members.select("doc_id").distinct(), "candidates")
 
     def encode(batches):
         for b in batches:
             for i, j, data, off in textbatch.chunks(b.column("text")):
-                yield pa.RecordBatch.from_arrays([b.column("doc_id")[i:j], b.column("comp")[i:j], pa.array([s.tobytes() for s in sets(data, off, n)], pa.binary())], ["doc_id", "comp", "data"])
-
-    held = scratch.table(text.join(scratch.checked(maybe), "doc_id").select("doc_id", "comp", "text").mapInArrow(encode, "doc_id long, comp long, data binary"), "sets")
-    # Groups: a whole candidate component, or, where it is large, each size level with the one below.
-    group = ["comp", "lvl"]
-    level = F.floor(F.log((F.octet_length("data") / 8).cast("double")) / (1.001 * math.log(100 / keep)))
-    wide = held.join(size, "comp").select("doc_id", "comp", F.when(F.col("size") > block, F.array(level, level + 1)).otherwise(F.array(F.lit(-1).cast("long"))).alias("lvls"))
-    placed = scratch.table(wide.select("doc_id", "comp", F.explode("lvls").alias("lvl")), "placed")
-    count = placed.groupBy(*group).agg(F.count("*").alias("size")).where("size > 1")
-    placed = scratch.table(placed.join(count, group).withColumn("blocks", F.ceil(F.col("size") / block).cast("long")), "groups")
-    data = held.select("doc_id", "data")
-    first = placed.select("doc_id", *group, F.pmod(F.xxhash64("doc_id"), "blocks").alias("block"))
-    # A large group's pivots, its smallest documents by id, are in every block.
-    large = placed.where("blocks > 1")
-    shared = large.join(least_of(large, group, pivots), [*group, "doc_id"]).select("doc_id", *group, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    first = first.union(shared).join(data, "doc_id").withColumns({"label": F.col("doc_id"), "rest": F.lit(False)})
-    near = scratch.table(_searched(first, [*group, "block"], keep, False), "near-links")
-    # Rows outside the largest link component of a group of several blocks meet every block.
-    joined = scratch.table(components(near), "joined")
-    if large.isEmpty():
-        return joined.select(F.col("node").alias("doc_id"), "component")
-    label = large.join(joined, large["doc_id"] == joined["node"], "left").select(*group, "blocks", "doc_id", F.coalesce("component", "doc_id").alias("label"))
-    label = scratch.table(label, "labels")
-    weight = label.groupBy(*group, "label").agg(F.count("*").alias("w"))
-    main = scratch.table(weight.groupBy(*group).agg(F.max_by("label", F.struct("w", "label")).alias("main"), F.count("*").alias("k")).where("k > 1"), "main")
-    tagged = label.join(main, group).withColumn("rest", F.col("label") != F.col("main"))
-    rest = scratch.table(tagged.where("rest").withColumn("to", F.pmod(F.xxhash64("doc_id"), "blocks")), "rest")
-    own = tagged.select(*group, "doc_id", "label", F.lit(False).alias("rest"), F.pmod(F.xxhash64("doc_id"), "blocks").alias("block"))
-    own = own.join(rest.groupBy(*group).agg(F.collect_set("to").alias("tos")), group).withColumn("to", F.explode("tos")).drop("tos")
-    more = rest.select(*group, "doc_id", "label", "rest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "to")
-    tasks = more.unionByName(own).groupBy(*group, "block", "to", "doc_id").agg(F.first("label").alias("label"), F.max("rest").alias("rest"))
-    late = _searched(tasks.join(data, "doc_id"), [*group, "block", "to"], keep, True)
-    every = scratch.table(near.union(late), "all-links")
-    return components(every).select(F.col("node").alias("doc_id"), "component")
-
-
-def least_of(rows: DataFrame, group: list[str], k: int) -> DataFrame:
-    """(group, doc_id): the k smallest ids of each group, by k grouped minima."""
-    got = None
-    for _ in range(k):
-        left = rows if got is None else rows.join(got, [*group, "doc_id"], "left_anti")
-        one = left.groupBy(*group).agg(F.min("doc_id").alias("doc_id"))
-        got = scratch.table(one if got is None else got.unionByName(one), "pivots")
-    return got
+                yield pa.RecordBatch.from_arrays([b.column("doc_id")[i:j], pa.array([s.tobytes() for s in sets(data, off, n)], pa.binary())], ["doc_id", "data"])
+
+    data = scratch.table(text.join(scratch.checked(ids), "doc_id").select("doc_id", "text").mapInArrow(encode, "doc_id long, data binary"), "sets")
+    rows = placed(members.withColumn("label", F.col("doc_id")), block, leads)
+    found = scratch.table(_searched(rows.join(data, "doc_id"), keep, deviate=True), "found")
+    near, apart = found.where("kind = 0").select("a", "b"), found.where("kind = 1").select(F.col("a").alias("grp"), F.col("b").alias("doc_id"))
+    joined = scratch.table(components(near).select(F.col("node").alias("doc_id"), "component"), "joined")
+    if apart.isEmpty():
+        return joined
+    apart = scratch.table(apart.distinct().join(joined, "doc_id", "left").select("grp", "doc_id", F.coalesce("component", "doc_id").alias("label")), "apart")
+    open_ = apart.groupBy("grp").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("grp")
+    sub = scratch.table(placed(apart.join(open_, "grp", "left_semi"), block, leads), "subgroups")
+    late = scratch.table(_searched(sub.join(data, "doc_id"), keep).select("a", "b"), "late")
+    every = near.union(late)
+    wide = sub.where("blocks > 1")
+    if not wide.isEmpty():
+        now = scratch.table(components(every).select(F.col("node").alias("doc_id"), "component"), "joined")
+        wide = wide.select("grp", "doc_id", "blocks").distinct().join(now, "doc_id", "left").select("grp", "doc_id", "blocks", F.coalesce("component", "doc_id").alias("label"))
+        every = every.union(across(scratch.table(wide, "wide"), data, keep, block))
+    return components(scratch.table(every, "all-links")).select(F.col("node").alias("doc_id"), "component")
 
 
 def join(docs: DataFrame, n: int = 3, keep: int = 90) -> DataFrame:
@@ -384,11 +488,11 @@ def join(docs: DataFrame, n: int = 3, keep: int = 90) -> DataFrame:
 
 def _join(docs: DataFrame, n: int, keep: int) -> DataFrame:
     base = scratch.table(measured(docs, n), "measured")
-    full = base.where("n_shingles > 0")
+    full = base.where("n_shingles > 0 and doc_id is not null")
     reps = scratch.table(full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep")), "reps")
-    linked = scratch.table(links(docs, reps.select(F.col("rep").alias("doc_id")), n, keep), "linked")
-    known = base.join(reps, ["h1", "h2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
-    got = scratch.table(known, "known").join(linked.select(F.col("doc_id").alias("rep"), "component"), "rep", "left")
+    known = scratch.table(base.join(reps, ["h1", "h2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "known")
+    linked = scratch.table(links(docs, known.where("n_shingles > 0 and doc_id is not null").select("doc_id", "rep"), n, keep), "linked")
+    got = known.join(linked.select(F.col("doc_id").alias("rep"), "component"), "rep", "left")
     return got.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
