@@ -92,6 +92,31 @@ def test_signature_tree_joins_what_links_join(n, seed):
     assert got == want
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_linked_rows_of_two_blocks_share_a_subgroup(seed):
+    rng = np.random.default_rng(seed)
+    keep, base, rows = (80, 90)[seed % 2], rng.integers(0, 1 << 62, 20 + 25 * seed, dtype=np.uint64), []
+    for _ in range(120):
+        x = rows[rng.integers(len(rows))].copy() if rows and rng.random() < 0.4 else base.copy()
+        hit = rng.random(len(x)) < 0.25 * rng.random()
+        x[hit] = rng.integers(0, 1 << 62, hit.sum(), dtype=np.uint64)
+        rows.append(x)
+    rows = [np.unique(r) for r in rows]
+    linked = {(i, j) for i in range(120) for j in range(i) if jaccard.similar(rows[i], rows[j], keep)}
+    found, keys = [], {}
+    for block in (0, 1):
+        at = np.array([*range(6), *range(6 + block, 120, 2)])
+        own = [rows[k] for k in at]
+        found += jaccard.search(own, at, at, keep, None, 6)
+        for x, k in zip(*jaccard.deviations(own, np.arange(6), -5, keep), strict=True):
+            keys.setdefault(int(x), set()).add(int(at[k]))
+    up = list(range(120))
+    for a, b in found:
+        x, y = up[a], up[b]
+        up = [min(x, y) if u in (x, y) else u for u in up]
+    assert linked and all(up[i] == up[j] or any(i in m and j in m for m in keys.values()) for i, j in linked)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_holds_every_piece(seed):
     rng = np.random.default_rng(seed)
@@ -124,30 +149,68 @@ def test_byte_bpe_equals_the_library():
         assert np.frombuffer(enc.encode(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
 
 
+def encoded(model, texts, docs=None, variant=0):
+    """The ids of each text as a list."""
+    flat, count = model.encode(texts, docs or [None] * len(texts), [variant] * len(texts))
+    cut = np.append(0, np.cumsum(count))
+    return [flat[i:j].tolist() for i, j in zip(cut, cut[1:], strict=False)]
+
+
 def test_pieces_without_dropout_equal_the_library():
     import sentencepiece
 
     lib = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
     own = pieces.Pieces(P.path("piece_bpe_32k.model"), 0.0)
-    for t in [*TEXTS, "a" * 200, "word" * 40]:
-        assert np.frombuffer(own.encode(t), "<u4").tolist() == lib.encode(t), t
+    texts = [*TEXTS, "a" * 200, "word" * 40]
+    assert encoded(own, texts) == [lib.encode(t) for t in texts]
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.text(st.characters(exclude_categories=["Cs"]), max_size=80))
-def test_pieces_round_trip(t):
-    assert MODEL.decode(MODEL.encode(t, 1)) == t
+@given(st.lists(st.text(st.characters(exclude_categories=["Cs"]), max_size=80), max_size=5))
+def test_pieces_round_trip(texts):
+    assert [MODEL.decode(np.array(x, np.int64)).decode() for x in encoded(MODEL, texts, None, 1)] == texts
 
 
 MODEL = pieces.Pieces(P.path("piece_bpe_32k.model"), 0.3)
 
 
-def test_dropout_varies_and_repeats():
-    t = "the outage schedule of the northern feeder and its neighbours"
-    a, b = MODEL.encode(t, 0), MODEL.encode(t, 1)
-    assert a != b and a == pieces.Pieces(P.path("piece_bpe_32k.model"), 0.3).encode(t, 0)
-    for w in ("▁neighbour", "▁northern", "▁schedules"):
-        assert MODEL.merge(w, 0) == MODEL._long(list(w), MODEL.key(w, 0))
+def plain(model, text, doc, variant):
+    """Merge-dropout by scanning the symbols of each word again and again."""
+    out = []
+    for n, w in enumerate(re.findall("▁*[^▁]+|▁+", "▁" + text.replace(" ", "▁")) if text else []):
+        h = (model.base(doc, variant) ^ n * 0x9E3779B1) & 0xFFFFFFFF
+        h = (h ^ h >> 16) * 0x7FEB352D & 0xFFFFFFFF
+        h = (h ^ h >> 15) * 0x846CA68B & 0xFFFFFFFF
+        key, symbols, skipped = h ^ h >> 16, [(k, c) for k, c in enumerate(w)], set()
+        while True:
+            found = [(model.rank[x + y], i) for i, ((p, x), (_, y)) in enumerate(zip(symbols, symbols[1:], strict=False)) if x + y in model.rank and (p, x, y) not in skipped]
+            if not found:
+                break
+            least, i = min(found)
+            (p, x), (_, y) = symbols[i], symbols[i + 1]
+            h = (key ^ p * 0x9E3779B1 ^ least * 0x85EBCA77) & 0xFFFFFFFF
+            if ((h ^ h >> 15) * 0x2C1B3C6D ^ h << 7) & 0xFFFFFFFF < model.dropout:
+                skipped.add((p, x, y))
+            else:
+                symbols[i : i + 2] = [(p, x + y)]
+        for _, x in symbols:
+            out += [model.ids[x]] if x in model.ids else model.byte[list(x.encode())].tolist()
+    return out
+
+
+def test_batched_agendas_equal_plain_ones():
+    rng = random.Random(8)
+    texts = [*TEXTS, "b" * 90 + " interesting", *(" ".join(rng.choice(["interesting", "schedules", "a", "élan", "neighbourhood's", "x", ""]) for _ in range(40)) for _ in range(20))]
+    assert encoded(MODEL, texts, list(range(len(texts))), 1) == [plain(MODEL, t, k, 1) for k, t in enumerate(texts)]
+
+
+def test_dropout_varies_by_variant_document_and_place():
+    t = " ".join(["interesting"] * 200)
+    ids = encoded(MODEL, [t], [1])[0]
+    assert ids == encoded(MODEL, ["other", t], [7, 1])[1] and MODEL.decode(np.array(ids)).decode() == t
+    assert ids != encoded(MODEL, [t], [1], 1)[0] and ids != encoded(MODEL, ["interesting"], [1])[0] * 200
+    assert len({tuple(x) for x in encoded(MODEL, [t] * 50, list(range(50)))}) == 50
+    assert len({tuple(x) for x in encoded(MODEL, ["interesting"] * 200, list(range(200)))}) > 3
 
 
 @pytest.mark.parametrize(("keep", "size", "least"), [(80, 170, 32), (80, 400, 64), (90, 400, 32), (90, 800, 64)])
@@ -161,22 +224,6 @@ def test_large_sets_at_the_threshold_share_a_part(keep, size, least):
         assert np.intersect1d(jaccard.parts(a, keep), jaccard.parts(b, keep)).size
 
 
-def test_dropout_varies_by_document_and_place():
-    t = " ".join(["interesting"] * 200)
-    ids = MODEL.encode(t, 0, 1)
-    assert ids == MODEL.encode(t, 0, 1) and MODEL.decode(ids) == t
-    assert len({MODEL.encode(t, 0, doc) for doc in range(50)}) == 50
-    first = MODEL.encode("interesting", 0, 1)
-    assert ids != first * 200
-    assert len({MODEL.encode("interesting", 0, doc) for doc in range(200)}) > 3
-
-
-@pytest.mark.parametrize("word", ["interesting", "Schedule", "a", "élan", "x" * 60])
-def test_cached_candidates_skip_as_merging_does(word):
-    for doc in range(100):
-        assert MODEL.encode(word, 0, doc) == MODEL.coded(MODEL.merge("▁" + word, 0, doc))
-
-
 def test_bloom_filters_tell_languages_apart():
     own = {"aa": ["lamo remo tamo lamo remo"] * 5, "bb": ["zuk drek wuk zuk drek"] * 5}
     f = langid.learn(own, bits=12)
