@@ -120,7 +120,7 @@ def test_packing(spark, docs):
     lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     cap = 64
     table = packing.pieces(df, cap).cache()
-    got = packing.pack(table, cap, salts=3).collect()
+    got = packing.pack(table, cap, share=7).collect()
     by = {}
     for r in got:
         by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))

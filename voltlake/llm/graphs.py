@@ -24,29 +24,28 @@ def nearest(d: np.ndarray, k: int) -> np.ndarray:
 def robust_prune(x: np.ndarray, at: np.ndarray, cand: np.ndarray, degree: int, alpha: float) -> np.ndarray:
     """For each vector ``at`` the candidates (a row of indices, -1: none) that no kept, nearer candidate covers:
     c goes if alpha * d(kept, c) <= d(at, c)."""
-    n, width = cand.shape
+    n = len(cand)
+    order = np.argsort(cand, axis=1, kind="stable")
+    cand = np.take_along_axis(cand, order, 1)
     own = x[np.maximum(cand, 0)]
-    d = np.sqrt(np.maximum(((own - x[at][:, None]) ** 2).sum(-1), 0))
+    # All distances among a vector's candidates at once, by inner products.
+    size = (own * own).sum(-1)
+    among = size[:, :, None] + size[:, None, :] - 2 * own @ own.transpose(0, 2, 1)
+    d = size + (x[at] * x[at]).sum(1)[:, None] - 2 * (own @ x[at][:, :, None])[..., 0]
+    among, d = alpha * np.sqrt(np.maximum(among, 0)), np.sqrt(np.maximum(d, 0))
     d[(cand < 0) | (cand == at[:, None])] = np.inf
-    order = np.argsort(d, axis=1, kind="stable")
-    cand, d = np.take_along_axis(cand, order, 1), np.take_along_axis(d, order, 1)
-    own = np.take_along_axis(own, order[..., None], 1)
-    twice = np.zeros_like(d, bool)
-    twice[:, 1:] = cand[:, 1:] == cand[:, :-1]
-    d[twice] = np.inf
-    live = np.isfinite(d)
+    d[:, 1:][cand[:, 1:] == cand[:, :-1]] = np.inf
     out = np.full((n, degree), -1, np.int64)
     rows = np.arange(n)
+    left = d.copy()
     for k in range(degree):
-        some = live.any(axis=1)
+        first = left.argmin(axis=1)
+        some = np.isfinite(left[rows, first])
         if not some.any():
             break
-        first = live.argmax(axis=1)
         out[some, k] = cand[rows[some], first[some]]
-        live[rows, first] = False
-        chosen = own[rows, first]
-        far = np.sqrt(np.maximum(((own - chosen[:, None]) ** 2).sum(-1), 0))
-        live &= ~((alpha * far <= d) & some[:, None])
+        left[rows, first] = np.inf
+        left[some[:, None] & (among[rows, first] <= d)] = np.inf
     return out
 
 

@@ -464,8 +464,11 @@ def links(docs: DataFrame, known: DataFrame, n: int, keep: int, block: int = 102
     rows = placed(members.withColumn("label", F.col("doc_id")), block, leads)
     found = scratch.table(_searched(rows.join(data, "doc_id"), keep, deviate=True), "found")
     near, apart = found.where("kind = 0").select("a", "b"), found.where("kind = 1").select(F.col("a").alias("grp"), F.col("b").alias("doc_id"))
-    joined = scratch.table(components(near).select(F.col("node").alias("doc_id"), "component"), "joined")
+    linked = components(near)
+    joined = linked.select(F.col("node").alias("doc_id"), "component")
+    scratch.drop(star, ids)
     if apart.isEmpty():
+        scratch.drop(data, found)
         return joined
     apart = scratch.table(apart.distinct().join(joined, "doc_id", "left").select("grp", "doc_id", F.coalesce("component", "doc_id").alias("label")), "apart")
     open_ = apart.groupBy("grp").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("grp")
@@ -474,10 +477,12 @@ def links(docs: DataFrame, known: DataFrame, n: int, keep: int, block: int = 102
     every = near.union(late)
     wide = sub.where("blocks > 1")
     if not wide.isEmpty():
-        now = scratch.table(components(every).select(F.col("node").alias("doc_id"), "component"), "joined")
+        now = components(every).select(F.col("node").alias("doc_id"), "component")
         wide = wide.select("grp", "doc_id", "blocks").distinct().join(now, "doc_id", "left").select("grp", "doc_id", "blocks", F.coalesce("component", "doc_id").alias("label"))
         every = every.union(across(scratch.table(wide, "wide"), data, keep, block))
-    return components(scratch.table(every, "all-links")).select(F.col("node").alias("doc_id"), "component")
+    got = components(every)
+    scratch.drop(data, found, linked, apart, late)
+    return got.select(F.col("node").alias("doc_id"), "component")
 
 
 def join(docs: DataFrame, n: int = 3, keep: int = 90) -> DataFrame:
@@ -491,7 +496,8 @@ def _join(docs: DataFrame, n: int, keep: int) -> DataFrame:
     full = base.where("n_shingles > 0 and doc_id is not null")
     reps = scratch.table(full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep")), "reps")
     known = scratch.table(base.join(reps, ["h1", "h2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "known")
-    linked = scratch.table(links(docs, known.where("n_shingles > 0 and doc_id is not null").select("doc_id", "rep"), n, keep), "linked")
+    scratch.drop(base, reps)
+    linked = links(docs, known.where("n_shingles > 0 and doc_id is not null").select("doc_id", "rep"), n, keep)
     got = known.join(linked.select(F.col("doc_id").alias("rep"), "component"), "rep", "left")
     return got.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 

@@ -1,7 +1,7 @@
 """Language identification with bit-sliced Bloom filters of n-grams.
 
-One table of machine words per n: bit l of a slot belongs to language l, so the words at an
-n-gram's slots, ANDed, are the bitmask of all languages that hold it. Per-language popcounts
+One table of bitmasks per n (a machine word, or several where there are more than 64 languages): bit l of a slot belongs to language l,
+so the masks at an n-gram's slots, ANDed, tell all languages that hold it. Per-language popcounts
 over a text, less the false positives that each language's fill predicts, decide.
 
 The filters are learned from a bounded, hashed sample of ``per_language`` texts of each
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltlake.llm import textbatch
@@ -70,20 +70,19 @@ def _slots(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 def learn(texts: dict[str, list[str]], bits: int = 20, least: int = 2) -> Filters:
     """Filters of the n-grams that occur ``least`` times in a language's texts."""
     langs = list(texts)
-    if len(langs) > 64:
-        raise ValueError("at most 64 languages fit a machine word")
     kind = np.uint8 if len(langs) <= 8 else np.uint64
+    wide = np.dtype(kind).itemsize * 8
     tables, rates = {}, {}
     for n in SIZES:
-        table = np.zeros(1 << bits, kind)
+        table = np.zeros((-(-len(langs) // wide), 1 << bits), kind)
         fill = np.zeros(len(langs))
         for k, lang in enumerate(langs):
             data, off = textbatch.buffers(pc.utf8_lower(pa.array(texts[lang], pa.large_string())))
             h, there = grams(data, off, n)
             known, count = np.unique(h[there], return_counts=True)
             for at in _slots(known[count >= least], bits):
-                table[at] |= kind(1 << k)
-            fill[k] = ((table >> kind(k)) & kind(1)).mean()
+                table[k // wide, at] |= kind(1 << k % wide)
+            fill[k] = ((table[k // wide] >> kind(k % wide)) & kind(1)).mean()
         tables[n], rates[n] = table, fill**2
     return Filters(langs, tables, rates)
 
@@ -94,14 +93,15 @@ def classify(f: Filters, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray,
     full = np.flatnonzero(off[1:] > off[:-1])
     if len(full):
         for n in SIZES:
-            bits = len(f.tables[n]).bit_length() - 1
+            table = f.tables[n]
+            wide = table.dtype.itemsize * 8
             h, there = grams(data, off, n)
-            a, b = _slots(h, bits)
-            mask = f.tables[n][a] & f.tables[n][b]
-            mask[~there] = 0
+            a, b = _slots(h, table.shape[1].bit_length() - 1)
+            mask = table[:, a] & table[:, b]
+            mask[:, ~there] = 0
             number = np.add.reduceat(there.astype(np.int64), off[full])
             for k in range(len(f.langs)):
-                hits = np.add.reduceat(((mask >> mask.dtype.type(k)) & mask.dtype.type(1)).astype(np.int64), off[full])
+                hits = np.add.reduceat(((mask[k // wide] >> mask.dtype.type(k % wide)) & mask.dtype.type(1)).astype(np.int64), off[full])
                 rate = f.rates[n][k]
                 total[full, k] += n * np.maximum(0, (hits - number * rate) / (1 - rate))
     best = total.argmax(axis=1)
@@ -114,13 +114,14 @@ def sample(docs: DataFrame, per_language: int) -> dict[str, list[str]]:
     chosen by hash on narrow columns; only the chosen texts are gathered."""
     known = docs.where("lang is not null and text is not null")
     langs = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
-    out = {}
-    for lang in langs:
-        own = known.where(F.col("lang") == lang)
-        ids = own.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language)
-        rows = own.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text").collect()
-        out[lang] = [r["text"] for r in sorted(rows, key=lambda r: r["doc_id"])][: 2 * per_language]
-    return out
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = known.select("doc_id", "lang").withColumn("place", place).where(F.col("place") <= per_language).select("doc_id", "lang").distinct()
+    out: dict[str, list[str]] = {lang: [] for lang in langs}
+    rows = known.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("doc_id", "lang", "text").collect()
+    for r in sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"])):
+        if len(out[r["lang"]]) < per_language:
+            out[r["lang"]].append(r["text"])
+    return {lang: own for lang, own in out.items() if own}
 
 
 def identify(docs: DataFrame, train: DataFrame, per_language: int = 300) -> DataFrame:

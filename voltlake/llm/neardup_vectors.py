@@ -1,17 +1,20 @@
 """Near-duplicate vectors by a robust-pruned flat graph.
 
-Equal vectors are one node with a count. Nodes are dealt to the ``overlap`` nearest of the centroids
-that k-means finds on a bounded sample (``sample`` rows, a documented parameter); dense
+Equal vectors are one node with a count of ids. Nodes are dealt to the ``overlap`` nearest of the centroids
+that k-means finds on a bounded sample (``sample`` rows, a documented parameter; at most ``most`` centroids, so that beyond
+``most * shard_rows`` rows shards grow); dense
 regions get centroids in proportion, which bounds the shards but splits a large group over many. Each shard gets a flat graph by robust pruning;
 the adjacency lists of a node from all its shards are united, and every node is searched for, from
 the shard's medoid, over the united lists: a greedy search first, which then expands all
-neighbours in range until none is new. A pair counts in the smallest shard that both have.
+neighbours in range until none is new. The search goes on beyond the shard: what is in range of a node in range is compared too, in rounds
+of joins over the links found, until none is new. Links are the distinct verified pairs, so counts and components agree.
 Nodes with a fifteenth of a shard or more in range within one shard are dense: their links are not taken from the
 shards but by ``meet``, exactly, block against block of all nodes that the angle to a block's centre does not rule out.
 Links are verified by their cosine in double precision. ``audit`` measures the recall.
 
-Edge cases: null, zero, non-finite or odd-length vectors link with nothing; ties and repeated rows
-follow from the definition; an empty table gives an empty result; a null id takes no part.
+Edge cases: null, zero and non-finite vectors link with nothing; vectors of different lengths do not link, and each length is a
+pass of its own; ties follow from the definition; rows repeated with their id are one vector and each get its result; of several vectors under
+one id each is compared, and the id counts once for those that are equal; an empty table gives an empty result; a null id takes no part.
 """
 
 from __future__ import annotations
@@ -56,13 +59,13 @@ def flat_graph(x: np.ndarray, degree: int = 24, width: int = 48, alpha: float =
     return out
 
 
-def in_range(x: np.ndarray, nbrs: np.ndarray, least: float, beam: int = 32, block: int = 256):
-    """Pairs (i, j), i < j, with an inner product of at least ``least``, found on the graph."""
+def in_range(x: np.ndarray, nbrs: np.ndarray, least: float, ask: np.ndarray, beam: int = 32, block: int = 256):
+    """Pairs (i, j), i < j, of nodes in the mask ``ask`` with an inner product of at least ``least``, found on the graph."""
     n = len(x)
     medoid = int((x @ x.mean(axis=0)).argmax())
-    found = []
-    for i in range(0, n, block):
-        at = np.arange(i, min(i + block, n))
+    found, asked = [], np.flatnonzero(ask)
+    for i in range(0, len(asked), block):
+        at = asked[i : i + block]
         pool, _ = graphs.search(x, nbrs, x[at], np.full((len(at), 1), medoid), beam)
         seen = np.zeros((len(at), n), bool)
         q, j = np.nonzero(pool >= 0)
@@ -80,7 +83,7 @@ def in_range(x: np.ndarray, nbrs: np.ndarray, least: float, beam: int = 32, bloc
                 step.append((x[at[q[s : s + 65_536]]] * x[new[s : s + 65_536]]).sum(1) >= least)
             hit = np.concatenate(step) if step else np.zeros(0, bool)
             q, new = q[hit], new[hit]
-            far = at[q] != new
+            far = (at[q] != new) & ask[new]
             found.append(np.stack([np.minimum(at[q], new), np.maximum(at[q], new)], 1)[far])
             more = nbrs[new]
             q, new = np.repeat(q, more.shape[1])[more.ravel() >= 0], more.ravel()[more.ravel() >= 0]
@@ -89,20 +92,6 @@ def in_range(x: np.ndarray, nbrs: np.ndarray, least: float, beam: int = 32, bloc
     return key // n, key % n
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest index reachable from each of n nodes."""
-    label = np.arange(n)
-    while True:
-        m = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, m)
-        np.minimum.at(new, b, m)
-        new = np.minimum(new, new[new])
-        if (new == label).all():
-            return label
-        label = new
-
-
 def bound(hit: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For ids a (rows of ``hit``) and b (columns) the least id of what each hangs together with."""
     la, lb = a.copy(), b.copy()
@@ -238,22 +227,33 @@ def meet(flagged: DataFrame, c: np.ndarray, least: float, block_rows: int, strip
 
 
 def prepared(df: DataFrame, id_col: str, vec: str) -> DataFrame:
-    """One row per distinct vector: node (smallest id), copies, x (unit vector is taken later)."""
+    """One row per distinct vector: node (smallest id), copies (distinct ids), x (unit vector is taken later)."""
     own = vectors.usable(df.select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("x")).where("id is not null"), "x")
-    return own.groupBy("x").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
+    return own.distinct().groupBy("x").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
 
 
-def dedup(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding", least: float = 0.9, shard_rows: int = 1500, overlap: int = 3, sample: int = 20_000, block_rows: int = 4096) -> DataFrame:
+def dedup(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding", least: float = 0.9, shard_rows: int = 1500, overlap: int = 3, sample: int = 20_000, block_rows: int = 4096, most: int = 4096) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
-    spark = df.sparkSession
     nodes = scratch.table(prepared(df, id_col, vec), "nodes")
-    n = nodes.count()
     every = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec).cast("array<double>").alias("x"))
-    if not n:
+    result = None
+    for length, _ in vectors.lengths(nodes, "x"):
+        got = linked(nodes.where(F.size("x") == length), least, shard_rows, overlap, sample, block_rows, most)
+        result = got if result is None else result.union(got)
+    if result is None:
         return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    rows = nodes.select("node", "x").orderBy(F.xxhash64("node"), "node").limit(sample).collect()
+    out = every.join(result, F.when(F.col("vec_id").isNotNull(), every["x"]) == result["x"], "left")
+    comp_id = F.coalesce("component_id", "vec_id")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), comp_id.alias("component_id"), F.coalesce(F.col("vec_id") == comp_id, F.lit(True)).alias("kept"))
+
+
+def linked(nodes: DataFrame, least: float, shard_rows: int, overlap: int, sample: int, block_rows: int, most: int) -> DataFrame:
+    """x, n_links, component_id of all nodes; their vectors are equally long."""
+    spark = nodes.sparkSession
+    n = nodes.count()
+    rows = nodes.select("node", "x").orderBy(F.xxhash64("node", "x"), "node").limit(sample).collect()
     x = vectors.unit(np.array([r["x"] for r in rows]))
-    k = min(len(x), max(1, math.ceil(n * overlap / shard_rows)))
+    k = min(len(x), most, max(1, math.ceil(n * overlap / shard_rows)))
     c = centroids(x, k)
     shared, crowd = spark.sparkContext.broadcast(c), max(1, shard_rows // 15)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -263,7 +263,7 @@ def dedup(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding", least:
         for b in batches:
             if b.num_rows:
                 x = vectors.unit(vectors.matrix(b.column("x")))
-                near = graphs.nearest(-(x @ c.T), overlap)
+                near = np.concatenate([graphs.nearest(-(x[i : i + 1024] @ c.T), overlap) for i in range(0, len(x), 1024)])
                 home, near = pa.array(near[:, 0].astype(np.int32)), np.sort(near, axis=1)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, near.shape[1]), pa.int32()), pa.array(near.ravel().astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([b.column("node"), b.column("copies"), b.column("x"), lists, home], ["node", "copies", "x", "shards", "home"])
@@ -285,8 +285,8 @@ def dedup(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding", least:
     united = scratch.table(built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nbrs"), (F.max("near") >= crowd).alias("dense")), "united")
 
     def find(batches):
-        for (shard,), t in streams.groups(batches, ["shard"]):
-            ids, copies = t.column("node").to_numpy(), t.column("copies").to_numpy()
+        for (_,), t in streams.groups(batches, ["shard"]):
+            ids, dense = t.column("node").to_numpy(), t.column("dense").to_numpy()
             x = vectors.unit(vectors.matrix(t.column("x")))
             lists = t.column("nbrs").combine_chunks()
             size = np.diff(np.asarray(lists.offsets))
@@ -297,36 +297,56 @@ def dedup(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding", least:
             col = np.arange(len(row)) - np.searchsorted(row, row)
             nbrs = np.full((len(ids), int(col.max()) + 1 if len(col) else 1), -1, np.int64)
             nbrs[row, col] = at[there]
-            a, b = in_range(x, nbrs, least)
-            own = np.asarray(t.column("shards").combine_chunks().flatten()).reshape(len(ids), -1)
-            # A pair belongs to the smallest shard that both rows have.
-            both = np.where((own[a][:, :, None] == own[b][:, None, :]).any(axis=2), own[a], np.iinfo(np.int32).max).min(axis=1) if len(a) else np.zeros(0, int)
-            dense = t.column("dense").to_numpy()
-            mine = (both == shard) & ~dense[a] & ~dense[b]
-            links = np.zeros(len(ids), np.int64)
-            np.add.at(links, a[mine], copies[b[mine]])
-            np.add.at(links, b[mine], copies[a[mine]])
-            root = forest(len(ids), a, b)
-            some = np.flatnonzero((links > 0) | (root != np.arange(len(ids))))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(ids[root[some]])], ["node", "links", "root"])
-
-    held = dealt.join(united, "node").select("shard", "node", "copies", "x", "shards", "nbrs", "dense")
-    got = held.repartition(tasks, "shard").sortWithinPartitions("shard", "node").mapInArrow(find, "node long, links long, root long")
+            a, b = in_range(x, nbrs, least, ~dense)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
+
+    held = dealt.join(united, "node").select("shard", "node", "x", "nbrs", "dense")
+    got = held.repartition(tasks, "shard").sortWithinPartitions("shard", "node").mapInArrow(find, "a long, b long")
+    found = scratch.table(got.distinct(), "pairs")
+    found = beyond(found, placed.join(united.where("not dense").select("node"), "node", "left_semi").select("node", "x"), least)
     flagged = scratch.table(placed.join(united.select("node", "dense"), "node").select("node", "copies", "x", "home", "dense"), "flagged")
     exact = meet(flagged, c, least, block_rows)
-    got = scratch.table(got if exact is None else got.union(exact), "found")
-    count = got.groupBy("node").agg(F.sum("links").alias("links"))
-    comp = components(got.where("node <> root").select("node", F.col("root").alias("to")), "node", "to")
+    copies = nodes.select("node", "copies")
+    both = found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    count = both.join(copies, both["b"] == copies["node"]).groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("links"))
+    edges = found.select(F.col("a").alias("node"), F.col("b").alias("to"))
+    if exact is not None:
+        exact = scratch.table(exact, "dense-links")
+        count = count.union(exact.groupBy("node").agg(F.sum("links").alias("links"))).groupBy("node").agg(F.sum("links").alias("links"))
+        edges = edges.union(exact.where("node <> root").select("node", "root"))
+    comp = components(edges, "node", "to")
     result = nodes.select("node", "x", "copies").join(count, "node", "left").join(comp, "node", "left")
-    result = scratch.table(result.select("x", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("component", "node").alias("component_id")), "linked-vectors")
-    out = every.join(result, F.when(F.col("vec_id").isNotNull(), every["x"]) == result["x"], "left")
-    comp_id = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), comp_id.alias("component_id"), F.coalesce(F.col("vec_id") == comp_id, F.lit(True)).alias("kept"))
+    got = scratch.table(result.select("x", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("component", "node").alias("component_id")), "linked-vectors")
+    scratch.drop(placed, united, flagged)
+    return got
+
+
+def beyond(pairs: DataFrame, x: DataFrame, least: float) -> DataFrame:
+    """``pairs`` (a < b) and all further links that lie two links apart, round by round until none is new; ``x``: node, x."""
+    new = pairs
+    while not new.isEmpty():
+        ends = lambda p: p.union(p.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        there = ends(pairs).select(F.col("a").alias("middle"), F.col("b").alias("other"))
+        two = ends(new).select(F.col("a").alias("middle"), F.col("b").alias("one")).join(there, "middle").where("one <> other")
+        two = two.select(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+        two = two.join(x.withColumnsRenamed({"node": "a", "x": "xa"}), "a").join(x.withColumnsRenamed({"node": "b", "x": "xb"}), "b")
+
+        def verified(batches):
+            for t in batches:
+                if t.num_rows:
+                    own = (vectors.unit(vectors.matrix(t.column("xa"))) * vectors.unit(vectors.matrix(t.column("xb")))).sum(1) >= least
+                    yield t.select(["a", "b"]).filter(pa.array(own))
+
+        new = scratch.table(two.mapInArrow(verified, "a long, b long"), "new-pairs")
+        if not new.isEmpty():
+            pairs = scratch.table(pairs.union(new), "pairs")
+    return pairs
 
 
 def audit(df: DataFrame, result: DataFrame, least: float = 0.9, queries: int = 200) -> float:
-    """The share of the true links of a hashed set of queries that ``result`` counts, by brute force in blocks."""
+    """The share of the true links of a hashed set of queries (of the most frequent length) that ``result`` counts, by brute force in blocks."""
     own = vectors.usable(df.select("vec_id", F.col("embedding").cast("array<double>").alias("x")), "x")
+    own = own.where(F.size("x") == vectors.lengths(own, "x")[0][0])
     q = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(queries).collect()
     x = vectors.unit(np.array([r["x"] for r in q]))
 

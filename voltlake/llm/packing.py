@@ -7,9 +7,9 @@ dearest configuration that holds it; lengths that get too few configurations bec
 The averaged configurations are rounded down to whole multiplicities, and a best-fit pass over
 the histogram of what is left (run lengths, not items) closes the plan.
 
-Only the histogram reaches the driver: at most ``capacity`` counts, times a fixed number of
-salts. Pieces are assigned where they lie: a piece's rank among those of its length
-picks its slot in the plan.
+Only the histogram reaches the driver: at most ``capacity`` counts, and one more for each ``share`` pieces. Pieces are assigned where
+they lie: a full piece is a sequence of its own; any other piece's rank among those of its length
+picks its slot in the plan. Ranks are counted within salts of about ``share`` pieces, so that no length is too frequent for a task.
 
 Edge cases: a null or empty text is one piece that holds the end id alone; ties and
 repeated rows are pieces of their own; an empty table gives an empty result.
@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from voltlake.llm import scratch
 
@@ -239,34 +241,46 @@ def slots(config_plan: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
     return out[np.lexsort((out[:, 1], out[:, 0]))]
 
 
-def pack(cuts: DataFrame, capacity: int = 2048, salts: int = 64, rounds: int = 24) -> DataFrame:
+def pack(cuts: DataFrame, capacity: int = 2048, share: int = 250_000, rounds: int = 24) -> DataFrame:
     """Assign pieces (any columns; ``doc_id``, ``piece`` and ``length`` <= capacity) to sequences:
-    adds sequence_id and offset. ``cuts`` should be stored, as it is read twice."""
+    adds sequence_id (negative for full pieces) and offset, in place of columns so named. ``cuts`` should be stored, as it is read three times."""
     spark = cuts.sparkSession
-    salted = cuts.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    found = salted.groupBy("length", "_salt").count().collect()
-    size = np.zeros((capacity + 1, salts), np.int64)
-    for r in found:
-        size[r["length"], r["_salt"]] = r["count"]
-    first = np.cumsum(size, axis=1) - size
-    table = slots(plan(size.sum(axis=1), capacity, rounds))
-    shared = spark.sparkContext.broadcast((first, table))
-    keep = [c for c in cuts.columns]
-    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")))
+    keep = [c for c in cuts.columns if c.lower() not in ("sequence_id", "offset")]
+    cuts = cuts.select(*keep)
+    salt, rank, salts, cell, size = scratch.free(keep, "salt", "rank", "salts", "cell", "size")
+    full, part = cuts.where(F.col("length") == capacity), cuts.where(F.col("length") < capacity)
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in part.groupBy("length").agg(F.count("*").alias(size)).collect():
+        counts[r["length"]] = r[size]
+    per = -(-counts // share)
+    base = np.cumsum(per) - per
+    cells = spark.createDataFrame([(int(n), int(per[n]), int(base[n])) for n in np.flatnonzero(counts)], f"length long, {salts} int, {cell} long")
+    salted = part.withColumn("length", F.col("length").cast("long")).join(F.broadcast(cells), "length")
+    salted = salted.withColumn(cell, F.col(cell) + F.pmod(F.xxhash64("doc_id", "piece"), F.col(salts)))
+    own = np.zeros(int(per.sum()), np.int64)
+    for r in salted.groupBy(cell).agg(F.count("*").alias(size)).collect():
+        own[r[cell]] = r[size]
+    before = np.cumsum(own) - own
+    first = before - np.repeat(np.cumsum(counts) - counts, per)
+    shared = spark.sparkContext.broadcast((first, slots(plan(counts, capacity, rounds))))
+    ranked = salted.withColumn(rank, F.row_number().over(Window.partitionBy(cell).orderBy("doc_id", "piece")))
     names = [*keep, "sequence_id", "offset"]
 
     def run(batches):
         start, rows = shared.value
         key = rows[:, 0] * (1 << 42) + rows[:, 1] if len(rows) else np.zeros(0, np.int64)
         for b in batches:
-            n, salt, rank = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "_salt", "_rank"))
-            rank = rank - 1 + start[n, salt]
-            at = np.searchsorted(key, n * (1 << 42) + rank, "right") - 1
+            n, c, k = (b.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("length", cell, rank))
+            k = k - 1 + start[c]
+            at = np.searchsorted(key, n * (1 << 42) + k, "right") - 1
             got = rows[at] if len(at) else np.zeros((0, 5), np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(got[:, 3] + rank - got[:, 1]), pa.array(got[:, 4])], names)
+            yield pa.RecordBatch.from_arrays([b.column(x).cast(kinds[x]) for x in keep] + [pa.array(got[:, 3] + k - got[:, 1]), pa.array(got[:, 4])], names)
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cuts.schema)
-    return ranked.mapInArrow(run, f"{kinds}, sequence_id long, offset long")
+    kinds = {f.name: to_arrow_type(f.dataType) for f in cuts.schema}
+    schema = T.StructType([*cuts.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    placed = ranked.select(*keep, cell, rank).mapInArrow(run, schema)
+    alone = full.select(*keep, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return placed.unionByName(alone)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

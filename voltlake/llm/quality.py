@@ -145,7 +145,7 @@ def posteriors(ev: DataFrame, labels: DataFrame, weak: float = 0.1) -> DataFrame
     y = labels.where("quality is not null").groupBy("doc_id").agg(F.avg("quality").alias("y"))
     p = 1 / (1 + F.exp(-F.col("logit")))
     rows = ev.join(y, "doc_id", "left").select("host", "path", F.coalesce("y", p).alias("v"), F.when(F.col("y").isNull(), F.lit(weak)).otherwise(1.0).alias("w"))
-    paths = rows.groupBy("host", "path").agg(F.sum(F.col("v") * F.col("w")).alias("good"), F.sum("w").alias("n"))
+    paths = scratch.table(rows.groupBy("host", "path").agg(F.sum(F.col("v") * F.col("w")).alias("good"), F.sum("w").alias("n")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("good").alias("h_good"), F.sum("n").alias("h_n"))
     total = hosts.agg(F.sum("h_good").alias("g"), F.sum("h_n").alias("n")).first()
     g0 = min(0.999, max(0.001, (total["g"] or 0.0) / total["n"])) if total["n"] else 0.5
@@ -186,9 +186,12 @@ def keep_good(docs: DataFrame, labels: DataFrame, host, path, site_weight: float
     w = fit(docs, own)
     ev = evidence(docs.select("doc_id", host.alias("host"), path.alias("path"), "text"), w, ["doc_id", "host", "path"])
     ev = scratch.table(ev, "quality-evidence")
-    site = scratch.table(posteriors(ev, own).select(F.col("host").alias("_host"), F.col("path").alias("_path"), "site_logit"), "sites")
-    shared = docs.sparkSession.sparkContext.broadcast(w)
     names, at = docs.columns, docs.columns.index("text")
+    logit, h, p, site_h, site_p, site_logit = scratch.free(names, "logit", "host", "path", "site_host", "site_path", "site_logit")
+    site = posteriors(ev, own).select(F.col("host").alias(site_h), F.col("path").alias(site_p), F.col("site_logit").alias(site_logit))
+    site = scratch.table(site, "sites")
+    scratch.drop(ev)
+    shared = docs.sparkSession.sparkContext.broadcast(w)
 
     def run(batches):
         w = shared.value
@@ -196,13 +199,13 @@ def keep_good(docs: DataFrame, labels: DataFrame, host, path, site_weight: float
             parts = [form(data, off) for *_, data, off in textbatch.chunks(b.column(at))]
             x = np.vstack(parts) if parts else np.zeros((0, len(NAMES)))
             z = expand(x) @ w[:-1] + w[-1] if w is not None and len(x) else np.full(len(x), 3.0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.clip(z, -20.0, 20.0))], [*names, "_logit"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.clip(z, -20.0, 20.0))], [*names, logit])
 
-    kinds = T.StructType([*docs.schema.fields, T.StructField("_logit", T.DoubleType())])
-    scored = docs.mapInArrow(run, kinds).withColumns({"_h": host, "_p": path})
+    kinds = T.StructType([*docs.schema.fields, T.StructField(logit, T.DoubleType())])
+    scored = docs.mapInArrow(run, kinds).withColumns({h: host, p: path})
     site = F.broadcast(site) if site.limit(20_001).count() <= 20_000 else site
-    got = scored.join(site, F.col("_h").eqNullSafe(F.col("_host")) & F.col("_p").eqNullSafe(F.col("_path")), "left")
-    return got.where(F.col("_logit") + site_weight * F.coalesce("site_logit", F.lit(0.0)) >= 0).select(*names)
+    got = scored.join(site, F.col(h).eqNullSafe(F.col(site_h)) & F.col(p).eqNullSafe(F.col(site_p)), "left")
+    return got.where(F.col(logit) + site_weight * F.coalesce(site_logit, F.lit(0.0)) >= 0).select(*names)
 
 
 def site_bound(ev: DataFrame, most: int = 20_000) -> bool:

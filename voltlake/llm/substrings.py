@@ -13,8 +13,8 @@
 5. The runs meet their texts once more.
 
 Edge cases: null text counts as empty; texts under ``depth`` bytes stay; strings never cross
-documents; an id names one text, and its repeated rows never remove from each other; a row without
-an id stays whole; overlapping strings count; an empty
+documents; repeated rows of an id never remove from each other, and of several texts under one id the one with the
+least hash is the document, the others stay whole and count for nothing; a row without an id stays whole; overlapping strings count; an empty
 table gives an empty result.
 """
 
@@ -381,24 +381,32 @@ def _dedup(docs: DataFrame, depth: int, with_text: bool) -> DataFrame:
     shards = 4 * n
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keys = scratch.table(base.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "texts")
-    first = scratch.table(keys.groupBy("sha").agg(F.min("doc_id").alias("first")), "first-texts")
-    tagged = scratch.table(keys.join(first, "sha"), "tagged")
-    part = tagged.where((F.col("doc_id") == F.col("first")) & (F.col("n_bytes") >= depth)).select("doc_id").distinct()
+    own = keys.groupBy("doc_id").agg(F.min("sha").alias("own"), F.max("sha").alias("other")).where("own <> other and doc_id is not null").select("doc_id", "own")
+    odd = scratch.table(own, "several-texts")
+    if odd.isEmpty():
+        keys = keys.withColumn("named", F.lit(True))
+    else:
+        keys = scratch.table(keys.join(odd, "doc_id", "left").withColumn("named", F.coalesce(F.col("own") == F.col("sha"), F.lit(True))).drop("own"), "named")
+        base = base.join(odd, "doc_id", "left").where(F.coalesce(F.col("own") == F.sha2("text", 256), F.lit(True))).drop("own")
+    first = scratch.table(keys.where("named").groupBy("sha").agg(F.min("doc_id").alias("first")), "first-texts")
+    tagged = scratch.table(keys.join(first, "sha", "left"), "tagged")
+    part = tagged.where((F.col("doc_id") == F.col("first")) & F.col("named") & (F.col("n_bytes") >= depth)).select("doc_id").distinct()
     held = base.join(scratch.checked(part), "doc_id", "left_semi")
     runs = sort_shards(segments(shared_hashes(held, depth, n), held, depth, n, shards), depth, n, shards)
     runs = scratch.table(runs, "runs")
     ids = scratch.table(runs.where("kind = 3").select("doc_id").distinct(), "run-ids")
     changed = apply_runs(runs.where("kind = 0"), base.join(scratch.checked(ids), "doc_id", "left_semi"), n, with_text)
-    changed = scratch.table(changed.dropDuplicates(["doc_id"]), "changed")
-    copy = (F.col("doc_id") > F.col("first")) & (F.col("n_bytes") >= depth)
-    got = tagged.join(changed, "doc_id", "left").select(
-        "doc_id", "n_bytes",
+    changed = scratch.table(changed.dropDuplicates(["doc_id"]).withColumn("named", F.lit(True)), "changed")
+    scratch.drop(runs, ids)
+    copy = F.col("named") & (F.col("doc_id") > F.col("first")) & (F.col("n_bytes") >= depth)
+    got = tagged.join(changed, ["doc_id", "named"], "left").select(
+        "doc_id", "n_bytes", "sha",
         F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
         F.when(copy, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", F.lit(0).cast("long"))).alias("n_spans"),
         F.when(copy, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
         F.when(copy, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"),
     )
-    return got if with_text else got.drop("kept_text")
+    return got if with_text else got.drop("kept_text", "sha")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
@@ -408,8 +416,10 @@ def op5(spark, sf_dir: str) -> DataFrame:
 
 def keep_first(docs: DataFrame, depth: int = 50) -> DataFrame:
     """``docs`` with what ``dedup`` leaves of every text, and n_chars to match."""
-    got = dedup(docs, depth, with_text=True).where("n_removed > 0").select("doc_id", "kept_text").dropDuplicates(["doc_id"])
-    out = docs.join(scratch.table(got, "kept-texts"), "doc_id", "left").withColumn("text", F.coalesce("kept_text", "text"))
+    kept, sha = scratch.free(docs.columns, "kept_text", "sha")
+    got = dedup(docs, depth, with_text=True).where("n_removed > 0").select("doc_id", F.col("sha").alias(sha), F.col("kept_text").alias(kept)).distinct()
+    out = docs.withColumn(sha, F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+    out = out.join(scratch.table(got, "kept-texts"), ["doc_id", sha], "left").withColumn("text", F.coalesce(kept, "text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("kept_text").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(kept).isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

@@ -3,8 +3,9 @@
 A lexical transducer turns words into classes: insult, threat, target, negation, reported
 speech. Five small transducers read a clause's classes and mark what they match; their
 composition is one machine whose final marks name the clause's pattern (an insult, an insult at
-a target, a negated or reported one, a threat at a target ...). Clauses are scored by
-pattern, never words alone, and a text by the noisy-or of its clauses.
+a target, a negated or reported one, a threat at a target ...). An arc that sets a mark carries the
+prior log-odds of the mark, a final state the learned correction of its pattern, so the weight of a clause's path is its score:
+clauses are scored by pattern, never words alone, and a text by the noisy-or of its clauses.
 
 Learned from a bounded sample of labelled rows: the insult entries (whole words or stems that a
 greedy cover of the toxic texts needs and clean texts lack) and each pattern's weight, shrunk
@@ -29,14 +30,19 @@ WORD = re.compile(r"[^\W\d_]+")
 CLAUSE_END = re.compile(r"[.!?;:,\n]")
 
 #: Seed words of the grammar's closed classes.
-THREAT = "kill hurt destroy burn shoot stab töten tuer matar"
-TARGET = "you your yours they them he she people du dich sie ihr vous toi tu usted ustedes"
-NEGATION = "not no never none without nicht kein nie pas jamais nunca sin"
-REPORTED = "said says claimed wrote quoted sagte schrieb dit écrit dijo escribió"
+THREAT = ["kill", "hurt", "destroy", "burn", "shoot", "stab", "töten", "tuer", "matar"]
+TARGET = ["you", "your", "yours", "they", "them", "he", "she", "people", "du", "dich", "sie", "ihr", "vous", "toi", "tu", "usted", "ustedes"]
+NEGATION = ["not", "no", "never", "none", "without", "nicht", "kein", "nie", "pas", "jamais", "nunca", "sin"]
+REPORTED = ["said", "says", "claimed", "wrote", "quoted", "sagte", "schrieb", "dit", "écrit", "dijo", "escribió"]
 
 CLASSES = ("insult", "threat", "target", "negation", "reported")
 
 
+#: Prior log-odds of a clause by its marks; learned weights are shrunk towards them.
+PRIOR = {"insult": 3.0, "threat": 0.5, "target": 0.5, "negation": -1.0, "reported": -1.5}
+BASE = -4.0
+
+
 @dataclass
 class Transducer:
     """Deterministic weighted transducer over word classes; a missing arc loops in place."""
@@ -56,12 +62,12 @@ class Transducer:
 
 def detector(symbol: str) -> Transducer:
     """Marks a clause that holds a class."""
-    return Transducer(0, {(0, symbol): (1, 0.0)}, {1: (symbol,)})
+    return Transducer(0, {(0, symbol): (1, PRIOR[symbol])}, {1: (symbol,)})
 
 
 def before(first: str, then: tuple[str, ...]) -> Transducer:
     """Marks a clause where a class comes before one of others."""
-    return Transducer(0, {(0, first): (1, 0.0)} | {(1, s): (2, 0.0) for s in then}, {2: (first,)})
+    return Transducer(0, {(0, first): (1, 0.0)} | {(1, s): (2, PRIOR[first]) for s in then}, {2: (first,)})
 
 
 def compose(a: Transducer, b: Transducer, alphabet=CLASSES) -> Transducer:
@@ -89,11 +95,6 @@ def grammar() -> Transducer:
     return machine
 
 
-#: Prior log-odds of a clause by its marks; learned weights are shrunk towards them.
-PRIOR = {"insult": 3.0, "threat": 0.5, "target": 0.5, "negation": -1.0, "reported": -1.5}
-BASE = -4.0
-
-
 def prior(marks: tuple[str, ...]) -> float:
     hard = [m for m in marks if m in ("insult", "threat")]
     if not hard or hard == ["threat"] and "target" not in marks:
@@ -109,6 +110,8 @@ class Model:
 
     def __post_init__(self):
         self.machine = grammar()
+        for state, marks in self.machine.marks.items():
+            self.machine.finals[state] = self.weights.get(marks, prior(marks)) - sum(PRIOR[m] for m in marks)
         insults = [w for w, c in self.words.items() if c == "insult"] + list(self.stems)
         hard = insults + [w for w, c in self.words.items() if c == "threat"]
         self.hard = re.compile(rf"(?<![^\W\d_])(?:{'|'.join(map(re.escape, sorted(hard, key=len, reverse=True)))})") if hard else None
@@ -118,7 +121,7 @@ class Model:
         return self.words.get(word) or ("insult" if self.starts and word.startswith(self.starts) else None)
 
     def clauses(self, text: str):
-        """(start, end, marks) of each clause that holds an insult or a threat."""
+        """(start, end, marks, weight) of each clause that holds an insult or a threat."""
         low, at = text.lower(), 0
         while self.hard and (m := self.hard.search(low, at)):
             left = max((low.rfind(c, at, m.start()) for c in ".!?;:,\n"), default=-1)
@@ -126,22 +129,22 @@ class Model:
             e = CLAUSE_END.search(low, m.end())
             right = e.start() if e else len(low)
             symbols = [s for w in WORD.findall(low, left, right) if (s := self.symbol(w))]
-            marks, _ = self.machine.run(symbols)
+            marks, weight = self.machine.run(symbols)
             if "insult" in marks or "threat" in marks:
-                yield left, right, marks
+                yield left, right, marks, weight
             at = max(right, m.end())
 
     def score(self, text: str | None) -> float:
         clean = 1 - 1 / (1 + math.exp(-BASE))
-        for *_, marks in self.clauses(text or ""):
-            clean *= 1 / (1 + math.exp(self.weights.get(marks, prior(marks))))
+        for *_, weight in self.clauses(text or ""):
+            clean *= 1 / (1 + math.exp(weight))
         return 1 - clean
 
 
 def closed_words() -> dict[str, str]:
     out = {}
     for words, kind in ((THREAT, "threat"), (TARGET, "target"), (NEGATION, "negation"), (REPORTED, "reported")):
-        out |= dict.fromkeys(words.split(), kind)
+        out |= dict.fromkeys(words, kind)
     return out
 
 
@@ -183,16 +186,17 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     n_clean = sum(not y for _, y in rows)
     chosen = cover(toxic, clean, max(1, n_clean)) if toxic else []
     words = closed_words() | {f: "insult" for f in chosen if not f.endswith("-")}
-    model = Model(words, tuple(f[:-1] for f in chosen if f.endswith("-")), {})
+    stems = tuple(f[:-1] for f in chosen if f.endswith("-"))
+    model, weights = Model(words, stems, {}), {}
     seen: dict[tuple[str, ...], list[int]] = {}
     for t, y in rows:
-        for marks in {m for *_, m in model.clauses(t)}:
+        for marks in {m for *_, m, _ in model.clauses(t)}:
             seen.setdefault(marks, [0, 0])[y] += 1
     share = max(1, len(toxic)) / max(1, n_clean)
     for marks, (no, yes) in seen.items():
         p = 1 / (1 + math.exp(-prior(marks)))
-        model.weights[marks] = math.log((yes + 4 * p) / share / (no + 4 * (1 - p)))
-    return model
+        weights[marks] = math.log((yes + 4 * p) / share / (no + 4 * (1 - p)))
+    return Model(words, stems, weights)
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> list[tuple[str, int]]:

@@ -1,4 +1,4 @@
-"""Vectors of a table as rows that can take part: of the usual length, finite and not zero."""
+"""Vectors of a table as rows that can take part: finite and not zero. Vectors of different lengths have nothing to do with each other."""
 
 from __future__ import annotations
 
@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 
 
 def usable(df: DataFrame, vec: str) -> DataFrame:
-    """Rows whose vector is neither null, empty, zero nor holds null or non-finite components, and has the most
-    common length."""
+    """Rows whose vector is neither null, empty, zero nor holds null or non-finite components."""
     x = F.col(vec)
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    ok = df.where(x.isNotNull() & (F.size(x) > 0)).where(~bad & F.exists(x, lambda v: v != 0))
-    usual = ok.groupBy(F.size(x).alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return ok.where(F.size(x) == (usual["n"] if usual else 0))
+    return df.where(x.isNotNull() & (F.size(x) > 0)).where(~bad & F.exists(x, lambda v: v != 0))
+
+
+def lengths(df: DataFrame, vec: str) -> list[tuple[int, int]]:
+    """(length, rows) of the vectors, the most frequent length first."""
+    return [(r["n"], r["count"]) for r in df.groupBy(F.size(vec).alias("n")).count().orderBy(F.desc("count"), "n").collect()]
 
 
 def matrix(column) -> np.ndarray:
