@@ -212,9 +212,9 @@ def test_late_versions_are_refused(spark, tmp_path):
 def test_nearest_of_many_places(spark, edge):
     w, e, s, n = edge
     at = lambda seed: ((F.rand(seed) * (e - w) + w).alias("lon"), (F.rand(seed + 1) * (n - s) + s).alias("lat"))
-    p = spark.range(60).select("id", *at(1)).localCheckpoint()
-    q = spark.range(300).select(F.col("id").alias("place_id"), *at(5)).localCheckpoint()
-    q = q.union(q.limit(5).select(F.col("place_id") + 1000, "lon", "lat")).localCheckpoint()
+    p = spark.range(60).select("id", *at(1)).cache()
+    q = spark.range(300).select(F.col("id").alias("place_id"), *at(5)).cache()
+    q = q.union(q.limit(5).select(F.col("place_id") + 1000, "lon", "lat")).cache()
     rows = lambda d: sorted((r["id"], r["rank"], r["place_id"], round(r["km"], 6)) for r in d.collect())
     want = rows(spatial.nearest(p, q, 4))
     assert len(want) == 240 and rows(spatial.nearest_any(p, q, 4, bound=10)) == want

@@ -70,8 +70,22 @@ SINGLE = {
     "|": "।", "Ô": "‘", "Õ": "’",
 }
 _CODE = re.compile("|".join(re.escape(k) for k in sorted([*SEQUENCES, *SINGLE], key=len, reverse=True)))
-_CONSONANT = "ক-হড়ঢ়য়"
-_EARLY = re.compile(f"([িেৈ]+)([^িেৈ{_CONSONANT}]*)([{_CONSONANT}])")
+_EARLY = "িেৈ"
+_CONSONANT = re.compile("[ক-হড়ঢ়য়]")
+
+
+def reordered(text: str) -> str:
+    """Vowel signs that stand before their consonant, moved behind the next one; signs that no consonant follows go to the end."""
+    out, waiting = [], []
+    for c in text:
+        if c in _EARLY:
+            waiting.append(c)
+            continue
+        out.append(c)
+        if waiting and _CONSONANT.match(c):
+            out += waiting
+            waiting = []
+    return "".join(out + waiting)
 
 
 def bijoy(text: str) -> str:
@@ -79,8 +93,7 @@ def bijoy(text: str) -> str:
     behind it, split vowels join, and reph moves before its consonant."""
     marked = re.sub("[ˆ‰](?=[A-Za-z`_])", "ˆ", text)
     plain = _CODE.sub(lambda m: SEQUENCES.get(m[0]) or SINGLE[m[0]], marked)
-    moved = _EARLY.sub(lambda m: m[2] + m[3] + m[1], plain)
-    joined = moved.replace("অা", "আ").replace("ো", "ো").replace("ৌ", "ৌ")
+    joined = reordered(plain).replace("অা", "আ").replace("\u09c7\u09be", "\u09cb").replace("\u09c7\u09d7", "\u09cc")
     return re.sub("([ক-হ])র্", "র্\\1", joined)
 
 

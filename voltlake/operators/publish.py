@@ -11,9 +11,31 @@ def stable_hash(columns: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
 
 
+def hash_of_parts(parts: Column) -> Column:
+    """Order-free hash of an array of hashes: sorted, joined by a bar, hashed."""
+    return F.sha2(F.array_join(F.array_sort(parts), "|"), 256)
+
+
 def hash_of_hashes(part: Column) -> Column:
-    """Order-free hash of a group: sorted parts, joined by a bar, hashed."""
-    return F.sha2(F.concat_ws("|", F.array_sort(F.collect_list(part))), 256)
+    """Order-free hash of a group, such as the files of a release: as ``hash_of_parts``. The group is held in one row;
+    ``tree_hash`` is for groups without a bound."""
+    return hash_of_parts(F.collect_list(part))
+
+
+def tree_hash(df: DataFrame, keys: list[str], part: str, digits: int = 3) -> DataFrame:
+    """(keys, hash): an order-free hash of any number of hashes. They are hashed by their first ``digits`` digits, then
+    these at most 16 ** ``digits`` hashes with their digits in front."""
+    prefix, inner = "_prefix", "_inner"
+    buckets = df.groupBy(*keys, F.left(part, F.lit(digits)).alias(prefix)).agg(hash_of_hashes(F.col(part)).alias(inner))
+    return buckets.groupBy(*keys).agg(hash_of_hashes(F.concat_ws(":", prefix, inner)).alias("hash"))
+
+
+def build_id(files: DataFrame, suffixes: tuple[str, ...] = (".html", ".js", ".css"), digits: int = 12) -> DataFrame:
+    """One row, the id of a build: the first digits of the SHA-256 of its files' bytes in order of path. ``files``: path, content; only the given
+    suffixes count, and nothing in a folder named data. A build's files are few."""
+    own = files.where(F.array_contains(F.array(*[F.lit(s) for s in suffixes]), F.regexp_extract("path", r"(\.[^./]*)$", 1)) & ~F.array_contains(F.split("path", "/"), "data"))
+    rows = F.array_sort(F.collect_list(F.struct("path", F.hex("content").alias("h"))))
+    return own.agg(F.left(F.sha2(F.unhex(F.array_join(F.transform(rows, lambda x: x["h"]), "")), 256), F.lit(digits)).alias("build"))
 
 
 def changed(new: DataFrame, active: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -17,12 +17,14 @@ HEADERS = ("feeder name", "feeder", "name of feeder")
 
 def canonical_cells(cells: Column, meta: Column) -> Column:
     """A row of 5 + 24 cells: division, area, feeder, load, marker, hours. Layouts with four metadata columns have
-    no load; short rows are padded."""
-    at = lambda i: F.coalesce(F.get(cells, i), F.lit(""))
-    five = F.array(*[at(F.lit(k)) for k in range(5)])
-    four = F.array(at(F.lit(0)), at(F.lit(1)), at(F.lit(2)), F.lit(""), at(F.lit(3)))
-    hours = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: at(h + meta))
-    return F.concat(F.when(meta >= 5, five).otherwise(four), hours)
+    no load; short rows are padded. The cells are computed once, as the variable of a lambda."""
+
+    def row(c: Column) -> Column:
+        full = F.transform(F.concat(c, F.array_repeat(F.lit(""), F.greatest(F.lit(0), meta + 24 - F.size(c)))), lambda x: F.coalesce(x, F.lit("")))
+        four = F.concat(F.slice(full, 1, 3), F.array(F.lit("")), F.slice(full, 4, 1))
+        return F.concat(F.when(meta >= 5, F.slice(full, 1, 5)).otherwise(four), F.slice(full, meta + 1, F.lit(24)))
+
+    return F.get(F.transform(F.array(cells), row), F.lit(0))
 
 
 def drop_reason(row: Column) -> Column:
@@ -89,6 +91,17 @@ def evicted(runs_: DataFrame, cells: DataFrame, edge: float = 0.5, baseline: flo
     return over.join(keep, ["doc_id", "page", "row", "col"]).where(hit).select("doc_id", "page", "row", "col", "run").distinct()
 
 
+def rehomed(gone: DataFrame, runs_: DataFrame, cells: DataFrame, present: DataFrame) -> DataFrame:
+    """(doc_id, page, row, col, text): an evicted run as a whole in the column of its row that its centre falls in, if that cell holds
+    nothing but this run's own pieces. ``gone``: doc_id, page, row, run; ``cells``: doc_id, page, row, col, c_x0, c_x1; ``present``: the runs with glyphs in each
+    cell (doc_id, page, row, col, run)."""
+    own = gone.select("doc_id", "page", "row", "run").distinct().join(runs_.select("doc_id", "page", "run", "text", ((F.col("x0") + F.col("x1")) / 2).alias("_c")), ["doc_id", "page", "run"])
+    home = own.join(cells, ["doc_id", "page", "row"]).where((F.col("c_x0") <= F.col("_c")) & (F.col("_c") < F.col("c_x1")))
+    home = home.groupBy("doc_id", "page", "row", "run").agg(F.min(F.struct("col", "text")).alias("h")).select("doc_id", "page", "row", "run", "h.*")
+    held = present.groupBy("doc_id", "page", "row", "col").agg(F.min("run").alias("_lo"), F.max("run").alias("_hi"))
+    return home.join(held, ["doc_id", "page", "row", "col"]).where((F.col("_lo") == F.col("run")) & (F.col("_hi") == F.col("run"))).select("doc_id", "page", "row", "col", "text")
+
+
 def peaks(profile: DataFrame, limit: float) -> DataFrame:
     """Line positions from a projection (doc_id, axis, pos, value, span): positions above ``limit`` cluster where steps are
     at most max(3, span / 260); the centre is the whole mean."""

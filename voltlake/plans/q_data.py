@@ -168,9 +168,16 @@ def content_hash(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
 
 
-@query("hash_of_hashes", "WITH h AS (SELECT source, sha256(text) AS h FROM documents) SELECT source, sha256(string_agg(h, '|' ORDER BY h)) AS hash FROM h GROUP BY source")
+@query("hash_of_hashes", "WITH h AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: sha256(x)) AS h FROM documents) SELECT doc_id, sha256(array_to_string(list_sort(h), '|')) AS hash FROM h")
 def hash_of_hashes(spark, sf):
-    return table(spark, sf, "documents").groupBy("source").agg(P.hash_of_hashes(F.sha2("text", 256)).alias("hash"))
+    # The parts of a document are its lines: a group that its row bounds.
+    parts = F.transform(F.split("text", "\n"), lambda x: F.sha2(x, 256))
+    return table(spark, sf, "documents").select("doc_id", P.hash_of_parts(parts).alias("hash"))
+
+
+@query("tree_hash", "WITH h AS (SELECT source, sha256(text) AS h FROM documents), b AS (SELECT source, left(h, 3) AS b, sha256(string_agg(h, '|' ORDER BY h)) AS h FROM h GROUP BY 1, 2) SELECT source, sha256(string_agg(b || ':' || h, '|' ORDER BY b)) AS hash FROM b GROUP BY source")
+def tree_hash(spark, sf):
+    return P.tree_hash(table(spark, sf, "documents").select("source", F.sha2("text", 256).alias("part")), ["source"], "part")
 
 
 @query("change_detect", "SELECT doc_id FROM documents WHERE doc_id % 5 = 0 OR length(text) > 2000")
@@ -181,11 +188,16 @@ def change_detect(spark, sf):
     return P.changed(d, active, "doc_id", ["text", "lang"]).select("doc_id")
 
 
-@query("landing_dedupe", "SELECT DISTINCT o_custkey, o_orderdate, substr(md5(CAST(o_totalprice > 150000 AS VARCHAR)), 1, 8) AS hash8 FROM orders b WHERE o_orderkey % 2 = 0 AND NOT EXISTS (SELECT 1 FROM orders a WHERE a.o_orderkey % 2 = 1 AND a.o_custkey = b.o_custkey AND a.o_orderdate = b.o_orderdate AND (a.o_totalprice > 150000) = (b.o_totalprice > 150000))")
+_CONTENT = "substr(md5(o_orderstatus || '|' || o_orderpriority || '|' || printf('%.2f', o_totalprice)), 1, 8)"
+
+
+@query("landing_dedupe", f"WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate, {_CONTENT} AS hash8 FROM orders) SELECT DISTINCT o_custkey, o_orderdate, hash8 FROM o b WHERE o_orderkey % 2 = 0 AND NOT EXISTS (SELECT 1 FROM o a WHERE (a.o_orderkey % 2 = 1 OR a.o_orderkey % 6 = 0) AND a.o_custkey = b.o_custkey AND a.o_orderdate = b.o_orderdate AND a.hash8 = b.hash8)")
 def landing_dedupe(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", F.substring(F.md5((F.col("o_totalprice") > 150000).cast("string")), 1, 8).alias("hash8"))
+    # A third of the batch has landed before.
+    content = F.concat_ws("|", "o_orderstatus", "o_orderpriority", F.format_string("%.2f", "o_totalprice"))
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", F.substring(F.md5(content), 1, 8).alias("hash8"))
     keys = ["o_custkey", "o_orderdate", "hash8"]
-    return P.landed(o.where("o_orderkey % 2 = 0").drop("o_orderkey"), o.where("o_orderkey % 2 = 1"), keys)
+    return P.landed(o.where("o_orderkey % 2 = 0").drop("o_orderkey"), o.where("o_orderkey % 2 = 1 or o_orderkey % 6 = 0"), keys)
 
 
 FEEDS = """feeds AS (SELECT s_suppkey AS feed, s_suppkey % 3 <> 0 AS ok, s_suppkey % 4 <> 0 AS live, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE CAST(s_suppkey % 7 AS INTEGER) END AS weekday, s_suppkey % 2 = 0 AS has_last, s_suppkey % 11 = 0 AS link_only, s_suppkey % 6 AS sources FROM supplier),
@@ -275,6 +287,20 @@ def otsu_threshold(spark, sf):
     return otsu(table(spark, sf, "events").select((F.col("user_id") % 5).alias("sheet"), F.col("value").alias("mean")), ["sheet"], "mean")
 
 
+@query("column_roles", """WITH n AS (SELECT s_nationkey AS sheet, count(*) AS n FROM supplier GROUP BY 1), r AS (SELECT 'area' AS role, 1 AS col, 1 AS least UNION ALL SELECT 'name', 0, 2 UNION ALL SELECT 'code', 2, 2 UNION ALL SELECT 'load', 3, 2)
+SELECT CAST(sheet AS VARCHAR) AS doc_id, role, col FROM n JOIN r ON n.n >= r.least""")
+def column_roles(spark, sf):
+    from voltlake.operators.sheets import column_roles as roles
+
+    # A sheet for each nation, a row for each supplier: a name with its voltage, a long area, a code and a load, read in two languages.
+    k = F.col("s_suppkey")
+    texts = [("ben", F.lit("ফিডার ১১ কেভি")), ("ben", F.concat(F.lit("ঢাকা মিরপুর গুলশান নয়াপল্টন এলাকা "), F.repeat(F.lit("বাজার "), (k % 3 + 1).cast("int")))), ("eng", F.concat(F.lit("A"), F.lpad((k % 900 + 100).cast("string"), 3, "0"))), ("eng", F.concat((k % 9 + 1).cast("string"), F.lit(".5")))]
+    cells = F.array(*[F.struct(F.lit(c).alias("col"), F.lit(lang).alias("lang"), t.alias("text")) for c, (lang, t) in enumerate(texts)])
+    read = table(spark, sf, "supplier").select(F.col("s_nationkey").cast("string").alias("doc_id"), k.alias("row"), F.explode(cells).alias("c")).select("doc_id", "row", "c.*")
+    widths = read.select("doc_id", "col").distinct().withColumn("width_px", F.when(F.col("col") == 1, 400).when(F.col("col") == 0, 200).otherwise(60))
+    return roles(read, widths, ["কেভি"])
+
+
 @query("canonical_row", """WITH m AS (SELECT user_id, CAST(ts AS DATE) AS day, CAST(hour(ts) AS INTEGER) AS h FROM events), r AS (SELECT user_id, day, list_sort(list_distinct(list(h))) AS hours FROM m GROUP BY 1, 2), d AS (SELECT *, CASE WHEN user_id % 9 = 0 THEN 'header' WHEN user_id % 10 = 0 THEN 'no feeder' WHEN len(list_filter(hours, lambda x: x >= 6)) = 0 THEN 'no marks' END AS drop_reason FROM r)
 SELECT drop_reason, count(*) AS n, CAST(sum(len(list_filter(hours, lambda x: x >= 6))) AS BIGINT) AS marks FROM d GROUP BY 1""")
 def canonical_row(spark, sf):

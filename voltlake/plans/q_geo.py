@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from voltlake.functions import geo as G
 from voltlake.functions import ranking as R
+from voltlake.operators import cells as CE
 from voltlake.operators import spatial as SP
+from voltlake.sources import layers as LA
 from voltlake.sources.tables import located, table
 
 Q: dict = {}
@@ -125,6 +127,46 @@ def radius(spark, sf):
     return SP.top_by(near, "id", 8, F.col("km"), F.col("place_id")).select("id", "place_id", F.round("km", 4).alias("km"))
 
 
+def seeds(spark, sf):
+    """Offices dealt to the territories, as seeds of their zones."""
+    names = F.element_at(F.array(*[F.lit(name) for _, name, _ in SHAPES]), (F.col("place_id") % len(SHAPES) + 1).cast("int"))
+    return offices(spark, sf).select(names.alias("owner"), F.col("place_id").alias("seed"), "lon", "lat")
+
+
+@query("voronoi_cells")
+def voronoi_cells(spark, sf):
+    cells = CE.voronoi_cells(seeds(spark, sf), features(spark).withColumnRenamed("name", "owner"))
+    return cells.select("owner", "seed", F.size("polys").alias("parts"), F.round(CE.area(F.col("polys")), 6).alias("area"))
+
+
+_OWNERS = ", ".join(f"({k}, '{name}')" for k, (_, name, _) in enumerate(SHAPES))
+
+
+@query("coverage_share", f"WITH n(k, owner) AS (VALUES {_OWNERS}) SELECT owner, CASE WHEN count(s_suppkey) >= 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS share FROM n LEFT JOIN supplier ON s_suppkey % {len(SHAPES)} = k GROUP BY owner")
+def coverage_share(spark, sf):
+    land = features(spark).withColumnRenamed("name", "owner")
+    return CE.coverage(CE.voronoi_cells(seeds(spark, sf), land), land).select("owner", F.round("share", 6).alias("share"))
+
+
+_BOX = [(90.0, 21.5), (91.5, 21.5), (91.5, 25.5), (90.0, 25.5)]
+
+
+@query("clip_shapes")
+def clip_shapes(spark, sf):
+    """Areas of the territories inside and outside a box, and of what simplification leaves."""
+    f = features(spark)
+    own = [("whole", F.col("polys")), ("inside", CE.clipped(_BOX)(F.col("polys"))), ("outside", CE.without(_BOX)(F.col("polys"))), ("simple", CE.simplify(0.01)(F.col("polys")))]
+    return f.select("name", *[F.round(CE.area(shape), 6).alias(k) for k, shape in own])
+
+
+@query("layer_collections", f"WITH {P} SELECT CASE WHEN place_id % 2 = 0 THEN 'even' ELSE 'odd' END AS layer, count(*) AS n_features, count(*) AS read_back FROM o GROUP BY 1")
+def layer_collections(spark, sf):
+    o = offices(spark, sf).select(F.when(F.col("place_id") % 2 == 0, "even").otherwise("odd").alias("layer"), F.col("place_id").alias("id"), LA.point_geometry(F.col("lon"), F.col("lat")).alias("geometry"), F.create_map(F.lit("name"), F.col("place_id").cast("string")).alias("properties"))
+    made = LA.collections(o)
+    back = F.size(F.from_json("geojson", "features array<struct<geometry: struct<coordinates: array<double>>>>")["features"])
+    return made.select("layer", F.col("n_features").cast("long").alias("n_features"), back.cast("long").alias("read_back"))
+
+
 @query("bbox_agg", f"WITH {_edges()} SELECT name, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y FROM e GROUP BY name")
 def bbox_agg(spark, sf):
     return features(spark).select("name", G.bbox(F.col("polys")).alias("b")).select("name", "b.*")

@@ -132,45 +132,27 @@ def translit_sql(c: str) -> str:
     return f"trim(regexp_replace(array_to_string(list_transform(regexp_extract_all({t}, '(?s).'), lambda c: {one}), ''), '\\s+', ' ', 'g'))"
 
 
-@query("translit", f"WITH d AS (SELECT doc_id, ({_BN})[CAST(doc_id % 5 AS INTEGER) + 1] || ' ' || source AS t FROM documents) SELECT doc_id, {translit_sql('t')} AS latin, translate(t, '০১২৩৪৫৬৭৮৯', '0123456789') AS digits FROM d")
-def translit(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.concat(_bn(), F.lit(" "), F.col("source")).alias("t"))
-    return d.select("doc_id", X.transliterate(F.col("t")).alias("latin"), X.ascii_digits(F.col("t")).alias("digits"))
-
-
 _CLEAN_TAIL = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace({t}, '|', ' '), '৷', ','), '\\s+', ' ', 'g'), ' ?, ?', ', ', 'g'), '(, ?)+', ', ', 'g'), '^[ ,.।-]+|[ ,.।-]+$', '', 'g')"
 
 
-@query("clean_split", f"WITH l AS (SELECT doc_id, string_split(text, chr(10))[1] AS t FROM documents), p AS (SELECT doc_id, list_transform(regexp_split_to_array(t, '[,،৷/]'), lambda x: {_CLEAN_TAIL.format(t='x')}) AS parts FROM l) SELECT doc_id, md5(array_to_string(list_sort(list_distinct(list_filter(parts, lambda x: length(x) >= 2 AND regexp_matches(x, '[A-Za-zঀ-৿]')))), '|')) AS areas FROM p")
+@query("clean_split", f"WITH p AS (SELECT doc_id, list_transform(regexp_split_to_array(text, '[,،৷/\\n]'), lambda x: {_CLEAN_TAIL.format(t='x')}) AS parts FROM documents) SELECT doc_id, md5(array_to_string(list_sort(list_distinct(list_filter(parts, lambda x: length(x) >= 2 AND regexp_matches(x, '[A-Za-zঀ-৿]')))), '|')) AS areas FROM p")
 def clean_split(spark, sf):
-    first = F.element_at(F.split("text", "\n"), 1)
-    return table(spark, sf, "documents").select("doc_id", F.md5(F.array_join(F.array_sort(X.split_areas(first)), "|")).alias("areas"))
-
-
-@query("clean_split_texts", f"WITH p AS (SELECT doc_id, list_transform(regexp_split_to_array(text, '[,،৷/\\n]'), lambda x: {_CLEAN_TAIL.format(t='x')}) AS parts FROM documents) SELECT doc_id, md5(array_to_string(list_sort(list_distinct(list_filter(parts, lambda x: length(x) >= 2 AND regexp_matches(x, '[A-Za-zঀ-৿]')))), '|')) AS areas FROM p")
-def clean_split_texts(spark, sf):
-    """The areas of whole texts, line by line; ``clean_split`` has the first line only."""
+    """The areas of whole texts, line by line."""
     return table(spark, sf, "documents").select("doc_id", F.md5(F.array_join(F.array_sort(X.split_areas(F.translate("text", "\n", ","))), "|")).alias("areas"))
 
 
-@query("script_ratio_texts", f"WITH d AS (SELECT doc_id, text || ' ' || ({_BN})[CAST(doc_id % 5 AS INTEGER) + 1] AS t FROM documents), n AS (SELECT *, len(regexp_extract_all(t, '[ঀ-৿]')) AS b, length(replace(t, ' ', '')) AS n FROM d) SELECT doc_id, coalesce(round(b::DOUBLE / n, 6), 0) AS ratio, b >= 3 AS name, b >= 2 AND b::DOUBLE / n > 0.6 AS plausible FROM n")
-def script_ratio_texts(spark, sf):
+@query("script_ratio", f"WITH d AS (SELECT doc_id, text || ' ' || ({_BN})[CAST(doc_id % 5 AS INTEGER) + 1] AS t FROM documents), n AS (SELECT *, len(regexp_extract_all(t, '[ঀ-৿]')) AS b, length(replace(t, ' ', '')) AS n FROM d) SELECT doc_id, coalesce(round(b::DOUBLE / n, 6), 0) AS ratio, b >= 3 AS name, b >= 2 AND b::DOUBLE / n > 0.6 AS plausible FROM n")
+def script_ratio(spark, sf):
     t = F.concat("text", F.lit(" "), _bn())
     return table(spark, sf, "documents").select("doc_id", F.round(X.bengali_ratio(t), 6).alias("ratio"), X.looks_like_a_name(t).alias("name"), X.is_plausible_bangla(t).alias("plausible"))
 
 
-@query("translit_texts", f"WITH d AS (SELECT doc_id, text || ' ' || ({_BN})[CAST(doc_id % 5 AS INTEGER) + 1] AS t FROM documents) SELECT doc_id, md5({translit_sql('t')}) AS latin, md5(translate(t, '০১২৩৪৫৬৭৮৯', '0123456789')) AS digits FROM d")
-def translit_texts(spark, sf):
+@query("translit", f"WITH d AS (SELECT doc_id, text || ' ' || ({_BN})[CAST(doc_id % 5 AS INTEGER) + 1] AS t FROM documents) SELECT doc_id, md5({translit_sql('t')}) AS latin, md5(translate(t, '০১২৩৪৫৬৭৮৯', '0123456789')) AS digits FROM d")
+def translit(spark, sf):
     t = F.concat("text", F.lit(" "), _bn())
     return table(spark, sf, "documents").select("doc_id", F.md5(X.transliterate(t)).alias("latin"), F.md5(X.ascii_digits(t)).alias("digits"))
 
 
-@query("script_ratio", f"WITH d AS (SELECT doc_id, ({_BN})[CAST(doc_id % 5 AS INTEGER) + 1] || ' ' || source AS t FROM documents), n AS (SELECT *, len(regexp_extract_all(t, '[ঀ-৿]')) AS b FROM d) SELECT doc_id, round(b::DOUBLE / length(replace(t, ' ', '')), 6) AS ratio, b >= 3 AS name, b >= 2 AND b::DOUBLE / length(replace(t, ' ', '')) > 0.6 AS plausible FROM n")
-def script_ratio(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.concat(_bn(), F.lit(" "), F.col("source")).alias("t"))
-    return d.select("doc_id", F.round(X.bengali_ratio(F.col("t")), 6).alias("ratio"), X.looks_like_a_name(F.col("t")).alias("name"), X.is_plausible_bangla(F.col("t")).alias("plausible"))
-
-
 PLACES = f"""places AS (SELECT p_partkey AS place_id, p_name AS name, p_type AS kind, {fold_sql('p_name')} AS fold, 88.0::DOUBLE + CAST((p_partkey * 7919) % 4700 AS DOUBLE) / 1000 AS lon, 20.5::DOUBLE + CAST((p_partkey * 104729) % 6200 AS DOUBLE) / 1000 AS lat FROM part),
 q AS (SELECT DISTINCT fold AS q FROM places)"""
 
@@ -182,9 +164,15 @@ SELECT q, CAST(row_number() OVER (PARTITION BY q ORDER BY round(score, 6) DESC,
 def place_search(spark, sf):
     part = located(table(spark, sf, "part"), "p_partkey")
     places = part.select(F.col("p_partkey").alias("place_id"), F.concat_ws("|", "p_name", "p_type").alias("key"), X.fold_latin(F.col("p_name")).alias("fold"), "lat", "lon")
-    # Every distinct folded name is a query; it meets the bucket of its first letter.
-    q = places.select(F.col("fold").alias("q")).distinct()
-    m = places.join(q, F.left("q", F.lit(1)) == F.left("fold", F.lit(1)))
+    # Every distinct folded name is a query. It meets the places that hold its first characters anywhere: names are indexed by their
+    # runs of as many characters, so the infix rule is an equi-join too.
+    q = places.select(F.col("fold").alias("q")).distinct().withColumn("k", F.least(F.lit(8), F.char_length("q")))
+    sizes = [r["k"] for r in q.select("k").distinct().collect()]  # at most 9
+    runs = lambda k: F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("fold") - k + 1), lambda i: F.struct(F.lit(k).alias("k"), F.substr("fold", i, F.lit(k)).alias("gram"))))
+    grams = [F.when(F.char_length("fold") >= k, runs(k)).otherwise(F.array().cast("array<struct<k:int,gram:string>>")) for k in sizes if k]
+    indexed = places.withColumn("g", F.explode(F.concat(*grams))).select("*", "g.k", "g.gram").drop("g")
+    q = q.where("k > 0").withColumn("gram", F.left("q", F.col("k")))
+    m = indexed.join(q, ["k", "gram"]).where(F.left("q", F.lit(1)) == F.left("fold", F.lit(1)))
     km = G.haversine_km(F.lit(23.78), F.lit(90.40), F.col("lat"), F.col("lon"))
     s = m.withColumn("score", R.place_score(F.col("fold"), F.col("q"), F.lit(0), km)).where("score is not null").withColumn("r", F.round("score", 6))
     u = I.first_per_key(s, ["q", "key"], F.desc("r"), F.col("place_id"))
@@ -198,18 +186,11 @@ def href_scan(spark, sf):
     return h.groupBy("href").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("pages"), F.max("page_id").alias("last_page"))
 
 
-@query("label_near", """WITH h AS (SELECT page_id, html, regexp_extract(html, 'href="([^"]*)"', 1) AS href FROM pages WHERE contains(html, 'href="')), a AS (SELECT *, instr(html, 'href="' || href || '"') AS pos FROM h),
-t AS (SELECT page_id, href, trim(regexp_replace(regexp_replace(substring(html, greatest(1, pos - 300), least(300, pos - 1)), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM a) SELECT page_id, href, right(t, 90) AS label FROM t""")
-def label_near(spark, sf):
-    p = table(spark, sf, "pages").select("page_id", "html", F.get(scans.links(F.col("html")), F.lit(0)).alias("href")).where("href is not null")
-    return p.select("page_id", "href", scans.label_before(F.col("html"), F.col("href")).alias("label"))
-
-
-@query("label_links", """WITH h AS (SELECT page_id, html, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l, regexp_split_to_array(html, 'href="[^"]*"') AS p FROM pages), u AS (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM h),
+@query("label_near", """WITH h AS (SELECT page_id, html, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l, regexp_split_to_array(html, 'href="[^"]*"') AS p FROM pages), u AS (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM h),
 a AS (SELECT page_id, html, CAST(i - 1 AS INTEGER) AS pos, l[i] AS href, CAST(1 + list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(l[1:i - 1], lambda x: length(x) + 7)), 0) AS BIGINT) AS here FROM u),
 t AS (SELECT page_id, pos, href, trim(regexp_replace(regexp_replace(substring(html, greatest(1, here - 300), least(300, here - 1)), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM a) SELECT page_id, pos, href, right(t, 90) AS label FROM t""")
-def label_links(spark, sf):
-    """Every link of a page with its own label; ``label_near`` has the first only."""
+def label_near(spark, sf):
+    """Every link of a page with its own label."""
     p = table(spark, sf, "pages").select("page_id", "html", scans.links(F.col("html")).alias("l"), F.split("html", r'href="[^"]*"').alias("p"))
     h = p.select("*", F.posexplode("l").alias("pos", "href"))
     size = lambda c, n, more: F.aggregate(F.slice(c, F.lit(1), n), F.lit(0), lambda s, x: s + F.char_length(x) + more)

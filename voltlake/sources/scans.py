@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,7 +92,3 @@ def write_json(df: DataFrame, path: str) -> None:
     names = sorted(df.columns)
     df.select(*names).orderBy(*names).write.mode("overwrite").json(path)
 
-
-def local_folder(path: str) -> str:
-    """A local path for tests."""
-    return os.path.abspath(path)

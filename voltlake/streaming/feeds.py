@@ -6,23 +6,16 @@ scheduler's. Sinks are versioned tables in a folder shared by the cluster.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: list[str] = []
-
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not shared:
-        if not _OWN:
-            _OWN.append(tempfile.mkdtemp(prefix="voltlake-stream-"))
-        shared = _OWN[0]
+    """A new folder under ``spark.checkpoint.dir``, or under the warehouse where that is unset (tests)."""
+    shared = spark.conf.get("spark.checkpoint.dir", "") or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
     return f"{shared}/stream-{name}-{uuid.uuid4().hex}"
 
 
@@ -38,49 +31,65 @@ def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str =
 
 
 class Table:
-    """A small versioned table: each write is a new folder, readers see whole versions only."""
+    """A table of one part for each batch: a batch that is replayed replaces its own part, and a batch costs what it brings, not what was there
+    before. ``compacted`` merges parts into one."""
 
     def __init__(self, spark: SparkSession, name: str, schema: str):
-        self.spark, self.base, self.schema, self.version = spark, folder(spark, name), schema, 0
+        self.spark, self.base, self.schema, self.parts = spark, folder(spark, name), schema, {}
+
+    def read(self, before: int | None = None) -> DataFrame:
+        """All parts, or those of batches before one."""
+        own = [path for batch, path in sorted(self.parts.items()) if before is None or batch < before]
+        return self.spark.read.schema(self.schema).parquet(*own) if own else self.spark.createDataFrame([], self.schema)
 
-    def read(self) -> DataFrame:
-        if not self.version:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.parquet(f"{self.base}/v{self.version}")
+    def write(self, df: DataFrame, batch: int) -> None:
+        path = f"{self.base}/b{batch}"
+        df.write.mode("overwrite").parquet(path)
+        self.parts[batch] = path
 
-    def write(self, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.base}/v{self.version + 1}")
-        self.version += 1
+    def compacted(self, merge: Callable[[DataFrame], DataFrame], batch: int, every: int = 32) -> None:
+        """Replaces all parts up to ``batch`` by their merge once there are ``every`` of them."""
+        if len(self.parts) >= every:
+            path = f"{self.base}/m{batch}"
+            merge(self.read()).write.mode("overwrite").parquet(path)
+            self.parts = {batch: path}
 
 
 def newest_versions(stream: DataFrame, state: Table, key: str, version: list[str]) -> DataFrame:
-    """Keep the newest row per key; older versions that arrive late are refused."""
+    """Keep the newest row per key; older versions that arrive late are refused. A batch adds its own newest rows; parts are
+    merged on reading."""
+    names = state.read().columns
+    best = lambda df: df.groupBy(key).agg(F.max_by(F.struct(*names), F.struct(*version)).alias("r")).select("r.*")
 
-    def step(batch: DataFrame, _: int) -> None:
-        both = state.read().unionByName(batch.select(*state.read().columns))
-        names = both.columns
-        best = both.groupBy(key).agg(F.max_by(F.struct(*names), F.struct(*version)).alias("r")).select("r.*")
-        state.write(best)
+    def step(batch: DataFrame, number: int) -> None:
+        state.write(best(batch.select(*names)), number)
+        state.compacted(best, number)
 
     drain(stream, step, name="versions")
-    return state.read()
+    return best(state.read())
 
 
 def changes(stream: DataFrame, published: Table, keys: list[str], content: Column) -> DataFrame:
     """Append rows whose (keys, content hash) was not published before."""
 
-    def step(batch: DataFrame, _: int) -> None:
-        old = published.read()
+    def step(batch: DataFrame, number: int) -> None:
         rows = batch.select(*keys, F.sha2(content, 256).alias("hash")).distinct()
-        published.write(old.unionByName(rows.join(old, [*keys, "hash"], "left_anti")))
+        published.write(rows.join(published.read(number), [*keys, "hash"], "left_anti"), number)
+        published.compacted(lambda df: df, number)
 
     drain(stream, step, name="changes")
     return published.read()
 
 
+def appended(stream: DataFrame, out: Table) -> DataFrame:
+    """All rows of a stream; a replayed batch replaces its own."""
+    drain(stream, out.write, name="appended")
+    return out.read()
+
+
 def complete(stream: DataFrame, result: Table) -> DataFrame:
     """The whole result of a streaming aggregate once the input is drained."""
-    drain(stream, lambda batch, _: result.write(batch), "complete", "complete")
+    drain(stream, lambda batch, _: result.write(batch, 0), "complete", "complete")
     return result.read()
 
 
