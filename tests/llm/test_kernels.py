@@ -66,7 +66,9 @@ def test_similar_sets_share_a_part(n, lost, added, seed, keep):
     x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
     y = np.unique(np.concatenate([x[min(lost, len(x) - 1) :], rng.integers(0, 1 << 63, added).astype(np.uint64)]))
     if jaccard.similar(x, y, keep):
-        assert set(jaccard.parts(x, keep).tolist()) & set(jaccard.parts(y, keep).tolist())
+        for share in (0.0, 0.05, 0.5, 0.95, 1.0):
+            hot = rng.random(jaccard.SLOTS) < share
+            assert set(jaccard.parts(x, keep, hot).tolist()) & set(jaccard.parts(y, keep, hot).tolist())
 
 
 @settings(max_examples=30, deadline=None)

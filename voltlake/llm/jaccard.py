@@ -3,7 +3,8 @@
 1. Equal sets are one: their rows are pre-aggregated to the smallest id.
 2. Routing loses no link: two sets at 90 % similarity differ in at most d = (|x| + |y|) / 19 elements, so of more
    than d parts of the hash space some part of both is equal. Each set sends a hash of every part (of its size
-   level, and of the next where its size can meet it). The sets that share a part form a group
+   level, and of the next where its size can meet it), without the elements that very many sets of some task hold, so that
+   a line that many documents share brings none of them together. The sets that share a part form a group
    around one of them; groups with the same centre are one group.
 3. Each group is searched by signature trees: nodes hold the OR (and AND) of their token
    bitmaps and their size range, and a dual traversal drops node pairs whose largest possible
@@ -95,52 +96,85 @@ def cut(level: int, keep: int) -> int:
 
 
 def spare(differ: int) -> int:
-    return 1 + differ // 12
+    return 1 + differ // 4
 
 
-def parts(s: np.ndarray, keep: int = 90) -> np.ndarray:
-    """A set's part hashes at its own level and, where a partner may be there, the next.
+def spare_of(level: int, keep: int) -> int:
+    return spare((2 * (int(levels(keep)[level + 1]) - 1) * (100 - keep)) // (100 + keep))
 
-    Empty parts say nothing and are left out where the set has no more of them than there are spare parts: some
-    part that isn't empty then equals the partner's. Of two partners with more empty parts both send them."""
-    size = len(s)
-    lower = levels(keep)
+
+SLOTS = 1 << 20
+
+
+def parts(s: np.ndarray, keep: int = 90, hot: np.ndarray | None = None) -> np.ndarray:
+    """A set's part hashes at its own level and, where a partner may be there, the next. ``hot``: a mask of SLOTS by the low bits of elements that are left out.
+
+    Partners without their hot elements differ in no more elements than before, so more of their parts are equal than there are spare ones.
+    Empty parts say nothing: where a set has no more of them than spare parts, some part that isn't empty equals the
+    partner's, and only such are sent. Other sets, of mostly hot elements, send the parts of the whole set too. Of two partners of that kind the
+    same holds for their whole sets; with more empty parts than spare ones there as well both send them."""
+    rare = s if hot is None else s[~hot[(s & np.uint64(SLOTS - 1)).astype(np.int64)]]
+    size, lower = len(s), levels(keep)
     own = int(np.searchsorted(lower, size, "right")) - 1
     out = []
     for level in (own, own + 1):
         if level > own and size * 100 < keep * lower[level]:
             break
         m = cut(level, keep)
-        at = np.searchsorted(s, bounds(m))
-        sums = np.zeros(size + 1, np.uint64)
-        np.cumsum(textbatch.mix(s), out=sums[1:])
-        end = np.append(at[1:], size)
-        value = textbatch.mix(sums[end] - sums[at] + np.arange(m, dtype=np.uint64) * _C[1] + np.full(m, level + 1, np.uint64) * _C[2])
-        full = end > at
-        differ = (2 * (int(lower[level + 1]) - 1) * (100 - keep)) // (100 + keep)
-        out.append(value[full] if m - int(full.sum()) <= spare(differ) else value)
+        room = m - spare_of(level, keep)
+        value, full = hashed(rare, m, level)
+        out.append(value[full])
+        if full.sum() < room:
+            if len(rare) < size:
+                value, full = hashed(s, m, level)
+            out.append(value[full] if full.sum() >= room else value)
     return np.concatenate(out)
 
 
-def measured(docs: DataFrame, n: int = 3) -> DataFrame:
-    """doc_id, n_shingles and a 128-bit hash of the set of every document."""
+def hashed(s: np.ndarray, m: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the m parts of a set at a level, and which of them aren't empty."""
+    at = np.searchsorted(s, bounds(m))
+    sums = np.zeros(len(s) + 1, np.uint64)
+    np.cumsum(textbatch.mix(s), out=sums[1:])
+    end = np.append(at[1:], len(s))
+    value = textbatch.mix(sums[end] - sums[at] + np.arange(m, dtype=np.uint64) * _C[1] + np.full(m, level + 1, np.uint64) * _C[2])
+    return value, end > at
+
+
+def measured(docs: DataFrame, n: int = 3, share: int = 256, least: int = 16) -> DataFrame:
+    """doc_id, n_shingles and a 128-bit hash of the set of every document; and rows with n_shingles -1 and, as h1, the slots of elements that one of ``share``
+    different sets of a task, and ``least`` at least, hold."""
 
     def run(batches):
+        count, total, seen = np.zeros(SLOTS, np.int32), 0, set()
         for b in batches:
             ids = b.column(0)
             for i, j, data, off in textbatch.chunks(b.column(1)):
                 got = sets(data, off, n)
                 one = [int(textbatch.mix(s).sum().astype(np.int64)) for s in got]
                 two = [int(textbatch.mix(s ^ _C[4]).sum().astype(np.int64)) for s in got]
-                yield pa.RecordBatch.from_arrays([ids[i:j], pa.array([len(s) for s in got], pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["doc_id", "n_shingles", "h1", "h2"])
-
+                for s, h in zip(got, one, strict=True):
+                    if len(s) and h not in seen:
+                        seen.add(h)
+                        total += 1
+                        count[np.unique(s & np.uint64(SLOTS - 1)).astype(np.int64)] += 1
+                if len(seen) > 500_000:
+                    seen.clear()
+                yield pa.RecordBatch.from_arrays([ids[i:j], pa.array([len(s) for s in got], pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], names)
+        slots = np.flatnonzero(count >= max(least, total // share))
+        if len(slots):
+            none = np.zeros(len(slots), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(slots), pa.int64()), pa.array(none - 1), pa.array(slots), pa.array(none)], names)
+
+    names = ["doc_id", "n_shingles", "h1", "h2"]
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
 
 
-def stars(docs: DataFrame, n: int, keep: int) -> DataFrame:
+def stars(docs: DataFrame, n: int, keep: int, hot: np.ndarray) -> DataFrame:
     """Distinct (centre, doc_id): the documents that share a part hash with others, by one of them."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared = spark.sparkContext.broadcast(hot)
 
     def send(batches, most: int = 2_000_000):
         held: list[np.ndarray] = []
@@ -174,7 +208,7 @@ def stars(docs: DataFrame, n: int, keep: int) -> DataFrame:
                     if place < len(held):
                         ids[place][:] = min(ids[place][0], doc[i + k])
                         continue
-                    held.append(parts(s, keep))
+                    held.append(parts(s, keep, shared.value))
                     ids.append(np.full(len(held[-1]), doc[i + k], np.int64))
                     size += len(held[-1])
                 if size > most:
@@ -349,14 +383,14 @@ def search(rows: list[np.ndarray], ids: np.ndarray, labels: np.ndarray, keep: in
     return links
 
 
-def deviations(rows: list[np.ndarray], lead: np.ndarray, key: int, keep: int) -> tuple[np.ndarray, np.ndarray]:
+def deviations(rows: list[np.ndarray], lead: np.ndarray, key: int, keep: int, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(subgroup, row): where rows of different blocks of a group meet. ``lead``: the rows that every block holds.
 
-    M holds the elements of most leads, q is the lead nearest to M, D(x) what x and M differ in, A(x, y) what linked sets may differ in at most. A linked pair
+    M holds the elements of most leads, q is the lead nearest to M (the more leads, the nearer), D(x) what x and M differ in, A(x, y) what linked sets may differ in at most. A linked pair
     shares at least (|D(x)| + |D(y)| - A) / 2 elements of D. Is that none or less, then either both are linked to q, or one is
     not and the other has |D| < |D(q)| (1 + c) / (1 - c) =: inner by the triangle inequality (c = A / (|x| + |y|)), so that A is at most
-    c (|x| + |M| + inner): these meet in one subgroup of their own. Otherwise the pair meets in the subgroup of one of the first |D| - least + 1 elements of
-    both, if ``least`` shared ones are sure: |D(x)| - A of any x, and for x linked to q (|D(x)| - |D(q)| + c (|q| - |x|)) / 2, as y then isn't."""
+    c (|x| + |M| + inner), and neither |D| is over A: these meet in one subgroup of their own. Otherwise the pair meets in the subgroup of one of the first |D| - least + 1 elements of
+    both (rare ones outside M, hot ones, then those of M), if ``least`` shared ones are sure: |D(x)| - A of any x, and for x linked to q (|D(x)| - |D(q)| + c (|q| - |x|)) / 2, as y then isn't."""
     c = (100 - keep) / (100 + keep)
     u, count = np.unique(np.concatenate([rows[k] for k in lead]), return_counts=True)
     main = u[2 * count > len(lead)]
@@ -375,18 +409,20 @@ def deviations(rows: list[np.ndarray], lead: np.ndarray, key: int, keep: int) ->
     keys, at = [], []
     for k, r in enumerate(rows):
         if off[k]:
-            own = np.concatenate([np.setdiff1d(r, main, assume_unique=True), np.setdiff1d(main, r, assume_unique=True)])[: first[k]]
+            more, less = np.setdiff1d(r, main, assume_unique=True), np.setdiff1d(main, r, assume_unique=True)
+            often = hot[(more & np.uint64(SLOTS - 1)).astype(np.int64)] if hot is not None else np.zeros(len(more), bool)
+            own = np.concatenate([more[~often], more[often], less])[: first[k]]
             keys.append(textbatch.mix(own ^ base))
             at.append(np.full(len(own), k))
     inner = off[q] * (1 + c) / (1 - c) + 1e-6
-    near = np.flatnonzero((~tied & (off <= c * (size + len(main) + inner) + 1e-6)) | (off < inner))
+    near = np.flatnonzero((off <= most) & ((~tied & (off <= c * (size + len(main) + inner) + 1e-6)) | (off < inner)))
     keys.append(np.repeat(textbatch.mix(base + _C[2]), len(near)))
     at.append(near)
     return np.concatenate(keys).view(np.int64), np.concatenate(at)
 
 
-def _searched(rows: DataFrame, keep: int, deviate: bool = False) -> DataFrame:
-    """(kind, a, b) within each block of ``rows`` (grp, block, to, doc_id, label, lead, rest, data): links (kind 0) and, if ``deviate``, the subgroups of
+def _searched(rows: DataFrame, keep: int, hot=None) -> DataFrame:
+    """(kind, a, b) within each block of ``rows`` (grp, block, to, doc_id, label, lead, rest, data): links (kind 0) and, if ``hot`` (a broadcast mask) is given, the subgroups of
     blocks with leads (kind 1: subgroup, doc_id). Where ``to`` isn't null, only pairs with a row that is ``rest`` are sought."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -400,12 +436,12 @@ def _searched(rows: DataFrame, keep: int, deviate: bool = False) -> DataFrame:
             if len(own) < 2:
                 continue
             left = t.column("rest").to_numpy(zero_copy_only=False).astype(bool)[once] if to >= 0 else None
-            got = search(own, ids, t.column("label").to_numpy()[once], keep, left, max(1, len(lead)))
+            got = search(own, ids, t.column("label").to_numpy()[once], keep, left, min(8, max(1, len(lead))))
             if got:
                 a, b = zip(*got, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array([0] * len(a), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["kind", "a", "b"])
-            if deviate and len(lead):
-                key, at = deviations(own, lead, grp, keep)
+            if hot is not None and len(lead):
+                key, at = deviations(own, lead, grp, keep, hot.value)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(key), np.int32)), pa.array(key), pa.array(ids[at])], ["kind", "a", "b"])
 
     dealt = rows.select("grp", "block", "to", "doc_id", "label", "lead", "rest", "data").repartition(n, "grp", "block", "to").sortWithinPartitions("grp", "block", "to")
@@ -446,11 +482,11 @@ def across(members: DataFrame, data: DataFrame, keep: int, block: int) -> DataFr
     return _searched(tasks.withColumn("lead", F.lit(False)).join(data, "doc_id"), keep).select("a", "b")
 
 
-def links(docs: DataFrame, known: DataFrame, n: int, keep: int, block: int = 1024, leads: int = 8) -> DataFrame:
+def links(docs: DataFrame, known: DataFrame, hot: np.ndarray, n: int, keep: int, block: int = 1024, leads: int = 64) -> DataFrame:
     """(doc_id, component) of the documents with a link to another set. ``known``: doc_id and rep, the smallest id with the same set."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rep = known.where("doc_id = rep").select("doc_id").distinct()
-    star = stars(text, n, keep).join(rep, "doc_id", "left_semi").join(known.select(F.col("doc_id").alias("centre"), F.col("rep").alias("grp")).distinct(), "centre")
+    star = stars(text, n, keep, hot).join(rep, "doc_id", "left_semi").join(known.select(F.col("doc_id").alias("centre"), F.col("rep").alias("grp")).distinct(), "centre")
     star = scratch.table(star.where("grp <> doc_id").select("grp", "doc_id").distinct(), "stars")
     members = star.unionByName(star.select("grp", F.col("grp").alias("doc_id")).distinct())
     ids = scratch.table(members.select("doc_id").distinct(), "candidates")
@@ -462,7 +498,7 @@ def links(docs: DataFrame, known: DataFrame, n: int, keep: int, block: int = 102
 
     data = scratch.table(text.join(scratch.checked(ids), "doc_id").select("doc_id", "text").mapInArrow(encode, "doc_id long, data binary"), "sets")
     rows = placed(members.withColumn("label", F.col("doc_id")), block, leads)
-    found = scratch.table(_searched(rows.join(data, "doc_id"), keep, deviate=True), "found")
+    found = scratch.table(_searched(rows.join(data, "doc_id"), keep, docs.sparkSession.sparkContext.broadcast(hot)), "found")
     near, apart = found.where("kind = 0").select("a", "b"), found.where("kind = 1").select(F.col("a").alias("grp"), F.col("b").alias("doc_id"))
     linked = components(near)
     joined = linked.select(F.col("node").alias("doc_id"), "component")
@@ -492,12 +528,14 @@ def join(docs: DataFrame, n: int = 3, keep: int = 90) -> DataFrame:
 
 
 def _join(docs: DataFrame, n: int, keep: int) -> DataFrame:
-    base = scratch.table(measured(docs, n), "measured")
+    stored = scratch.table(measured(docs, n), "measured")
+    base, hot = stored.where("n_shingles >= 0"), np.zeros(SLOTS, bool)
+    hot[[r["h1"] for r in stored.where("n_shingles = -1").select("h1").distinct().collect()]] = True  # at most SLOTS
     full = base.where("n_shingles > 0 and doc_id is not null")
     reps = scratch.table(full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep")), "reps")
     known = scratch.table(base.join(reps, ["h1", "h2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "known")
-    scratch.drop(base, reps)
-    linked = links(docs, known.where("n_shingles > 0 and doc_id is not null").select("doc_id", "rep"), n, keep)
+    scratch.drop(stored, reps)
+    linked = links(docs, known.where("n_shingles > 0 and doc_id is not null").select("doc_id", "rep"), hot, n, keep)
     got = known.join(linked.select(F.col("doc_id").alias("rep"), "component"), "rep", "left")
     return got.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
