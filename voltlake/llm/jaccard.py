@@ -158,13 +158,14 @@ def measured(docs: DataFrame, n: int = 3, share: int = 256, least: int = 16) ->
                         seen.add(h)
                         total += 1
                         count[np.unique(s & np.uint64(SLOTS - 1)).astype(np.int64)] += 1
-                if len(seen) > 500_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 yield pa.RecordBatch.from_arrays([ids[i:j], pa.array([len(s) for s in got], pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], names)
         slots = np.flatnonzero(count >= max(least, total // share))
         if len(slots):
             none = np.zeros(len(slots), np.int64)
             yield pa.RecordBatch.from_arrays([pa.nulls(len(slots), pa.int64()), pa.array(none - 1), pa.array(slots), pa.array(none)], names)
+        scratch.tidy()
 
     names = ["doc_id", "n_shingles", "h1", "h2"]
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
@@ -176,7 +177,7 @@ def stars(docs: DataFrame, n: int, keep: int, hot: np.ndarray) -> DataFrame:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = spark.sparkContext.broadcast(hot)
 
-    def send(batches, most: int = 2_000_000):
+    def send(batches, most: int = 500_000):
         held: list[np.ndarray] = []
         ids: list[np.ndarray] = []
         seen: dict[bytes, int] = {}
@@ -216,8 +217,9 @@ def stars(docs: DataFrame, n: int, keep: int, hot: np.ndarray) -> DataFrame:
                     size = 0
         if size:
             yield from flush()
+        scratch.tidy()
 
-    def meet(batches, most: int = 4_000_000):
+    def meet(batches, most: int = 2_000_000):
         # One centre for each value is kept, so that a value that very many documents hold needs no more memory than a rare one.
         known, centre = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
@@ -251,10 +253,11 @@ def stars(docs: DataFrame, n: int, keep: int, hot: np.ndarray) -> DataFrame:
                     yield from flush()
         if held:
             yield from flush()
+        scratch.tidy()
 
     text = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sent = text.mapInArrow(send, "bucket int, lead long, data binary")
-    dealt = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "lead", "data")
+    dealt = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "lead")
     return dealt.select("data").mapInArrow(meet, "centre long, doc_id long").distinct()
 
 
@@ -443,6 +446,7 @@ def _searched(rows: DataFrame, keep: int, hot=None) -> DataFrame:
             if hot is not None and len(lead):
                 key, at = deviations(own, lead, grp, keep, hot.value)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(key), np.int32)), pa.array(key), pa.array(ids[at])], ["kind", "a", "b"])
+        scratch.tidy()
 
     dealt = rows.select("grp", "block", "to", "doc_id", "label", "lead", "rest", "data").repartition(n, "grp", "block", "to").sortWithinPartitions("grp", "block", "to")
     return dealt.mapInArrow(run, "kind int, a long, b long")
@@ -495,6 +499,7 @@ def links(docs: DataFrame, known: DataFrame, hot: np.ndarray, n: int, keep: int,
         for b in batches:
             for i, j, data, off in textbatch.chunks(b.column("text")):
                 yield pa.RecordBatch.from_arrays([b.column("doc_id")[i:j], pa.array([s.tobytes() for s in sets(data, off, n)], pa.binary())], ["doc_id", "data"])
+        scratch.tidy()
 
     data = scratch.table(text.join(scratch.checked(ids), "doc_id").select("doc_id", "text").mapInArrow(encode, "doc_id long, data binary"), "sets")
     rows = placed(members.withColumn("label", F.col("doc_id")), block, leads)

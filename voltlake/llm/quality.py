@@ -200,6 +200,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, host, path, site_weight: float
             x = np.vstack(parts) if parts else np.zeros((0, len(NAMES)))
             z = expand(x) @ w[:-1] + w[-1] if w is not None and len(x) else np.full(len(x), 3.0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.clip(z, -20.0, 20.0))], [*names, logit])
+        scratch.tidy()
 
     kinds = T.StructType([*docs.schema.fields, T.StructField(logit, T.DoubleType())])
     scored = docs.mapInArrow(run, kinds).withColumns({h: host, p: path})

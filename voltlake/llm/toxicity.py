@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voltlake.llm import scratch
+
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE_END = re.compile(r"[.!?;:,\n]")
 
@@ -235,6 +237,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
         m = Model(*shared.value)
         for b in batches:
             yield b.filter(pa.array([m.score(t.as_py()) < 0.5 for t in b.column(at)], pa.bool_()))
+        scratch.tidy()
 
     return docs.mapInArrow(run, docs.schema)
 
