@@ -15,18 +15,49 @@ from voltlake.llm import graphs, induced, jaccard, langid, neardup_vectors, neig
 P = pytest.importorskip("public_tokenizers")
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.binary(min_size=1, max_size=300), st.integers(0, 1000), st.sampled_from([3, 8, 50]), st.sampled_from([1, 100_000]))
-def test_induced_order(data, seed, depth, memory):
+@settings(max_examples=80, deadline=None)
+@given(st.binary(min_size=1, max_size=300), st.integers(0, 1000), st.sampled_from([3, 8, 50]), st.sampled_from([1, 9, 60, 100_000]), st.sampled_from([1, 2, 4, 256]))
+def test_induced_order(data, seed, depth, memory, letters):
     rng = random.Random(seed)
+    data = bytes(b % letters for b in data)
     text = induced.padded([data])
     starts = np.zeros(len(text), bool)
     starts[[i for i in range(len(data)) if rng.random() < 0.5]] = True
-    got = induced.order(text, starts, depth, memory)
+    blocks = list(induced.order(text, starts, depth, memory))
+    got, common = (np.concatenate([b[k] for b in blocks]).tolist() if blocks else [] for k in (0, 1))
     raw = text.tobytes()
     keys = [raw[i : i + depth] for i in got]
-    assert sorted(got.tolist()) == np.flatnonzero(starts).tolist() and keys == sorted(keys)
-    assert induced.same_as_last(text, got, depth).tolist() == [k > 0 and keys[k] == keys[k - 1] for k in range(len(keys))]
+    assert sorted(got) == np.flatnonzero(starts).tolist() and keys == sorted(keys)
+    assert common[1:] == [next((k for k in range(depth) if x[k] != y[k]), depth) for x, y in zip(keys, keys[1:], strict=False)]
+
+
+def test_a_shard_far_larger_than_its_memory(tmp_path):
+    """Strings equal to brute force, with the memory bound at a hundredth of the shard; arrays of the shard's length stay out of memory."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    base, memory = rng.integers(97, 101, 400_000).astype(np.uint8), 4_000
+    seen: dict[bytes, int] = {}
+    rows = [(k, base[a : a + 200].tobytes()) for k, a in enumerate(rng.integers(0, len(base) // 2, len(base) // 200))]
+    for k, part in rows:
+        for i in range(151):
+            seen.setdefault(part[i : i + 50], k)
+
+    def shard(name):
+        (tmp_path / name).mkdir()
+        out = substrings.Shard(str(tmp_path / name), memory)
+        for k, part in rows:
+            out.add((1).to_bytes(8, "little") + b"".join(np.array([x], np.int64).tobytes() for x in (k, 7, 151)) + part)
+        return out
+
+    got = [(int(d), int(p)) for doc, place in shard("a").later(50, 1000) for d, p in zip(doc, place, strict=True)]
+    assert sorted(got) == sorted((k, 7 + i) for k, part in rows for i in range(151) if seen[part[i : i + 50]] < k) and got
+    again = shard("b")
+    tracemalloc.start()
+    n = sum(len(doc) for doc, _ in again.later(50, 1000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(got) and peak < 12 * len(base)  # 8 bytes of a position alone, of all strings, would be 2.4 MB and the flags 1.6 MB
 
 
 @settings(max_examples=40, deadline=None)
@@ -35,13 +66,19 @@ def test_minimizers_cover_all_strings(texts):
     raw = [t.encode() for t in texts]
     off = np.cumsum([0, *map(len, raw)])
     data = np.frombuffer(b"".join(raw), np.uint8)
-    _, at, end, h = substrings.minimizers(data, off, 50)
+    _, at, end, h, where = substrings.minimizers(data, off, 50)
     by: dict[bytes, set] = {}
     for a, b, x in zip(at, end, h, strict=True):
         for p in range(a, b):
             by.setdefault(data[p : p + 50].tobytes(), set()).add(int(x))
     assert sum(b - a for a, b in zip(at, end, strict=True)) == sum(max(0, len(r) - 49) for r in raw)
     assert all(len(v) == 1 for v in by.values())
+    row, a, b, x = substrings.split(data, at, end, h, where, 50)
+    parts: dict[bytes, set] = {}
+    for i, j, y in zip(a, b, x, strict=True):
+        for p in range(i, j):
+            parts.setdefault(data[p : p + 50].tobytes(), set()).add(int(y))
+    assert (b - a).sum() == (end - at).sum() and all(len(v) == 1 for v in parts.values()) and all(at[r] <= i < j <= end[r] for r, i, j in zip(row, a, b, strict=True))
 
 
 @settings(max_examples=60, deadline=None)

@@ -94,9 +94,10 @@ def removed(rows):
     return out
 
 
-def test_substrings(spark, docs):
+@pytest.mark.parametrize("often", [256, 1])
+def test_substrings(spark, docs, often):
     df, rows = docs
-    got = substrings.dedup(df)
+    got = substrings.dedup(df, often=often)
     assert got.count() == len(rows)
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got.collect()} == removed(rows)
 

@@ -7,9 +7,11 @@
    hashes are dealt out by value, pre-aggregated per task and group of documents.
 3. Segments around the other minimizers (all strings that share one) are dealt out by the minimizer:
    equal strings meet in one shard. Equal segments of a group of documents are
-   sent once; later documents' copies are removed at once.
-4. Each shard, which must fit memory, orders its strings by induced sorting (``induced``); runs of equal strings
-   give the smallest document id, and every other document's strings in the run are removed.
+   sent once; later documents' copies are removed at once. Segments of a minimizer that very many documents hold are split in two, by the 13
+   bytes before or after it that all their strings share, and dealt out by these too.
+4. Each shard orders its strings by external induced sorting (``induced``), whose common-prefix values tell runs of equal strings:
+   these give the smallest document id, and every other document's strings in the run are removed. What a shard holds in memory is
+   bounded, but for 24 bytes a segment and the run at hand.
 5. The runs meet their texts once more.
 
 Edge cases: null text counts as empty; texts under ``depth`` bytes stay; strings never cross
@@ -21,6 +23,8 @@ table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import os
+import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -49,9 +53,9 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def minimizers(data: np.ndarray, off: np.ndarray, depth: int):
-    """(doc index, first string, end string, hash) of each maximal run of strings of a document with
+    """(doc index, first string, end string, hash, place of the minimizer) of each maximal run of strings of a document with
     the same minimizer occurrence; positions are within the chunk."""
-    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     wide = depth - GRAM + 1
     if len(data) < depth:
         return none
@@ -79,7 +83,21 @@ def minimizers(data: np.ndarray, off: np.ndarray, depth: int):
     fine = valid[at] & (at_end > at)
     at, at_end, doc = at[fine], at_end[fine], doc[fine]
     where = (best[at] & np.uint64((1 << bits) - 1)).astype(np.int64)
-    return doc, at, at_end, h[where]
+    return doc, at, at_end, h[where], where
+
+
+def split(data: np.ndarray, at: np.ndarray, end: np.ndarray, h: np.ndarray, where: np.ndarray, depth: int):
+    """(row, first string, end string, hash): each run in two, those strings that hold ``side`` bytes after the minimizer and those that hold as many before it,
+    with a hash of the minimizer and these bytes. Equal strings get equal hashes."""
+    side = (depth - GRAM + 1) // 2
+    edge = np.clip(where - (depth - GRAM - side), at, end)
+    rows, parts = [], []
+    for k, (a, b, s) in enumerate(((edge, end, where + GRAM), (at, edge, where - side))):
+        own = np.flatnonzero(a < b)
+        context = textbatch.ranges_hash(data, s[own], s[own] + side)
+        rows.append(own)
+        parts.append((a[own], b[own], textbatch.mix(h[own] * np.uint64(0x9E3779B97F4A7C15) + context + np.uint64(k))))
+    return np.concatenate(rows), *(np.concatenate([p[i] for p in parts]) for i in range(3))
 
 
 def groups(ids: np.ndarray, n: int) -> np.ndarray:
@@ -110,8 +128,9 @@ def _packed(blob: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
-def shared_hashes(docs: DataFrame, depth: int, n: int) -> DataFrame:
-    """(g, data): for each group of documents the minimizer hashes that another document has too."""
+def shared_hashes(docs: DataFrame, depth: int, n: int, often: int) -> DataFrame:
+    """(g, data): for each group of documents the minimizer hashes that another document has too, odd if ``often`` groups of tasks
+    hold them."""
 
     def send(batches, most: int = 1_000_000):
         held, size = [], 0
@@ -131,7 +150,7 @@ def shared_hashes(docs: DataFrame, depth: int, n: int) -> DataFrame:
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for i, j, data, off in textbatch.chunks(b.column(1)):
-                doc, _, _, h = minimizers(data, off, depth)
+                doc, _, _, h, _ = minimizers(data, off, depth)
                 if len(h):
                     own = ids[i:j][doc]
                     held.append((groups(own, n), h, own))
@@ -155,7 +174,8 @@ def shared_hashes(docs: DataFrame, depth: int, n: int) -> DataFrame:
             count = np.diff(np.append(at, len(h)))
             many = (count > 1) | (np.maximum.reduceat(h & np.uint64(1), at) > 0)
             keep = np.repeat(many, count)
-            bare, g = bare[keep], g[keep].astype(np.int64)
+            hot = np.repeat(count >= often, count)[keep].astype(np.uint64)
+            bare, g = bare[keep] | hot, g[keep].astype(np.int64)
             if len(bare):
                 yield _dealt(g, n, 0, bare)
         scratch.tidy()
@@ -231,12 +251,19 @@ def segments(shared: DataFrame, docs: DataFrame, depth: int, n: int, shards: int
                 continue
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             for i, _, data, off in textbatch.chunks(b.column("data")):
-                doc, at, end, h = minimizers(data, off, depth)
-                k = np.searchsorted(known, h & ~np.uint64(1))
-                hit = known[np.minimum(k, len(known) - 1)] == (h & ~np.uint64(1))
+                doc, at, end, h, where = minimizers(data, off, depth)
+                h &= ~np.uint64(1)
+                k = np.minimum(np.searchsorted(known & ~np.uint64(1), h), len(known) - 1)
+                hit = known[k] & ~np.uint64(1) == h
                 if not hit.any():
                     continue
-                doc, at, end, h = doc[hit], at[hit], end[hit], h[hit]
+                hot = (known[k] & np.uint64(1)).astype(bool) & hit
+                if hot.any():
+                    row, a, b, x = split(data, at[hot], end[hot], h[hot], where[hot], depth)
+                    rest = hit & ~hot
+                    doc, at, end, h = (np.concatenate(x) for x in ((doc[rest], doc[hot][row]), (at[rest], a), (end[rest], b), (h[rest], x)))
+                else:
+                    doc, at, end, h = doc[hit], at[hit], end[hit], h[hit]
                 key = textbatch.ranges_hash(data, at, end + depth - 1)
                 flat = data.tobytes()
                 raw = [flat[s:e] for s, e in zip(at.tolist(), (end + depth - 1).tolist(), strict=True)]
@@ -286,42 +313,108 @@ def sort_shards(rows: DataFrame, depth: int, n: int, shards: int, memory: int =
     """Runs (kind 0) and ids (kind 3) that each shard's sorted strings remove; those found before pass through."""
 
     def shard(batches):
-        doc, pos, count, parts = [], [], [], []
-        for b in batches:
-            is_segment = pc.equal(b.column("kind"), 2)
-            known = b.filter(pc.invert(is_segment))
-            if known.num_rows:
-                yield known
-            for x in b.column("data").filter(is_segment).to_pylist():
-                d, p, c = _packed(x, np.int64, np.int64, np.int64)
-                doc.append(d)
-                pos.append(p)
-                count.append(c)
-                parts.append(x[8 + 24 * len(d) :])
-        if not doc:
-            return
-        doc, pos, count = np.concatenate(doc), np.concatenate(pos), np.concatenate(count)
-        text = induced.padded(parts)
-        parts.clear()
-        begin = np.cumsum(count + depth - 1) - (count + depth - 1)
-        starts = np.zeros(len(text), bool)
-        string = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
-        starts[string] = True
-        sorted_ = induced.order(text, starts, depth, memory)
-        same = induced.same_as_last(text, sorted_, depth)
-        segment = np.searchsorted(begin, sorted_, "right") - 1
-        own = doc[segment]
-        at = np.flatnonzero(~same)
-        least = np.repeat(np.minimum.reduceat(own, at), np.diff(np.append(at, len(own))))
-        out = own > least
-        if out.any():
-            start = pos[segment[out]] + sorted_[out] - begin[segment[out]]
-            yield from _runs(own[out], start, start + depth, n)
+        with tempfile.TemporaryDirectory(dir=induced.spill_folder()) as own:
+            held = Shard(own, memory)
+            for b in batches:
+                is_segment = pc.equal(b.column("kind"), 2)
+                known = b.filter(pc.invert(is_segment))
+                if known.num_rows:
+                    yield known
+                for x in b.column("data").filter(is_segment).to_pylist():
+                    held.add(x)
+            for doc, start in held.later(depth):
+                yield from _runs(doc, start, start + depth, n)
         scratch.tidy()
 
     return rows.repartition(shards, "g").mapInArrow(shard, _ROW)
 
 
+class Shard:
+    """The segments of a shard; their text goes to a file once it is longer than the memory bound."""
+
+    def __init__(self, folder: str, memory: int):
+        self.folder, self.memory = folder, memory
+        self.rows: list[tuple] = []
+        self.parts: list[bytes] = []
+        self.held, self.path = 0, None
+
+    def add(self, blob: bytes) -> None:
+        d, p, c = _packed(blob, np.int64, np.int64, np.int64)
+        self.rows.append((d.copy(), p.copy(), c.copy()))
+        self.parts.append(blob[8 + 24 * len(d) :])
+        self.held += len(self.parts[-1])
+        if self.held > self.memory:
+            self.write()
+
+    def write(self) -> None:
+        self.path = os.path.join(self.folder, "segments")
+        with open(self.path, "ab") as f:
+            f.writelines(self.parts)
+        self.parts.clear()
+        self.held = 0
+
+    def text(self) -> np.ndarray:
+        self.parts.append(induced.END)
+        if self.path is None:
+            text = np.frombuffer(b"".join(self.parts), np.uint8)
+            self.parts.clear()
+            return text
+        self.write()
+        return np.memmap(self.path, np.uint8, "r")
+
+    def later(self, depth: int, most: int = 1 << 20):
+        """(doc, start) of the strings that a smaller document has too, in batches."""
+        if not self.rows:
+            return
+        doc, pos, count = (np.concatenate(x) for x in zip(*self.rows, strict=True))
+        self.rows.clear()
+        text = self.text()
+        begin = np.cumsum(count + depth - 1) - (count + depth - 1)
+        starts = induced.room(self.folder, len(text), bool, self.memory)
+        for a in range(0, len(begin), 1 << 16):
+            own = slice(a, a + (1 << 16))
+            starts[np.repeat(begin[own] - np.cumsum(count[own]) + count[own], count[own]) + np.arange(int(count[own].sum()))] = True
+        none = np.zeros(0, np.int64)
+        ids, place, new = none, none, np.zeros(0, bool)  # of the strings at hand, the last run of which may go on
+        out, size = [], 0
+        for at, fresh in buffered(induced.order(text, starts, depth, self.memory, self.folder), depth):
+            row = np.searchsorted(begin, at, "right") - 1
+            ids, place, new = np.append(ids, doc[row]), np.append(place, pos[row] + at - begin[row]), np.append(new, fresh)
+            new[0] = True
+            last = int(np.flatnonzero(new)[-1])
+            if last:
+                out.append(_later(ids[:last], place[:last], new[:last]))
+                size += len(out[-1][0])
+            ids, place, new = ids[last:], place[last:], new[last:]
+            if size > most:
+                yield tuple(np.concatenate(x) for x in zip(*out, strict=True))
+                out, size = [], 0
+        out.append(_later(ids, place, new))
+        both = tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        if len(both[0]):
+            yield both
+
+
+def _later(ids: np.ndarray, place: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The strings of whole runs whose document isn't the smallest of the run."""
+    at = np.flatnonzero(new)
+    least = np.repeat(np.minimum.reduceat(ids, at), np.diff(np.append(at, len(ids))))
+    return ids[ids > least], place[ids > least]
+
+
+def buffered(blocks, depth: int, least: int = 1 << 16):
+    """(positions, whether each begins a run) of blocks, joined until they are worth a step."""
+    held, size = [], 0
+    for at, lcp in blocks:
+        held.append((at, lcp < depth))
+        size += len(at)
+        if size >= least:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, size = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
 def snapped(data: bytes, start: np.ndarray, end: np.ndarray) -> str:
     """The text without its runs, each narrowed to whole characters."""
     out, at = [], 0
@@ -367,13 +460,13 @@ def apply_runs(runs: DataFrame, docs: DataFrame, n: int, with_text: bool) -> Dat
     return rows.mapInArrow(run, "doc_id long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
 
-def dedup(docs: DataFrame, depth: int = 50, with_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, depth: int = 50, with_text: bool = False, often: int = 256) -> DataFrame:
     """See ``_dedup``; its Python stages run on small Arrow batches."""
     with scratch.small_batches(docs.sparkSession):
-        return _dedup(docs, depth, with_text)
+        return _dedup(docs, depth, with_text, often)
 
 
-def _dedup(docs: DataFrame, depth: int, with_text: bool) -> DataFrame:
+def _dedup(docs: DataFrame, depth: int, with_text: bool, often: int) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; ``with_text`` adds kept_text
     (runs narrowed to whole characters)."""
     spark = docs.sparkSession
@@ -392,7 +485,7 @@ def _dedup(docs: DataFrame, depth: int, with_text: bool) -> DataFrame:
     tagged = scratch.table(keys.join(first, "sha", "left"), "tagged")
     part = tagged.where((F.col("doc_id") == F.col("first")) & F.col("named") & (F.col("n_bytes") >= depth)).select("doc_id").distinct()
     held = base.join(scratch.checked(part), "doc_id", "left_semi")
-    runs = sort_shards(segments(shared_hashes(held, depth, n), held, depth, n, shards), depth, n, shards)
+    runs = sort_shards(segments(shared_hashes(held, depth, n, often), held, depth, n, shards), depth, n, shards)
     runs = scratch.table(runs, "runs")
     ids = scratch.table(runs.where("kind = 3").select("doc_id").distinct(), "run-ids")
     changed = apply_runs(runs.where("kind = 0"), base.join(scratch.checked(ids), "doc_id", "left_semi"), n, with_text)
