@@ -104,16 +104,21 @@ def words(text: np.ndarray, at: np.ndarray, k: int, size: int = 8) -> np.ndarray
     return out
 
 
-def flags(text: np.ndarray, starts: np.ndarray, folder: str, memory: int, step: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def chunk(memory: int) -> int:
+    """Positions worked on at a time."""
+    return max(1 << 12, min(1 << 18, memory))
+
+
+def flags(text: np.ndarray, starts: np.ndarray, folder: str, memory: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each position whether it is S-type (the next byte that differs is larger; the end counts as smaller), a seed, and needed: between a
     start and the first seed after it. Worked out chunk by chunk."""
-    n = len(text)
+    n, step = len(text), chunk(memory)
     small, seed, needed = (room(folder, n, bool, memory) for _ in range(3))
     for a in range((n - 1) // step * step, -1, -step):
         b = min(n, a + step)
         part = text[a : min(n, b + 1)]
-        last = np.append(np.flatnonzero(part[1:] != part[:-1]), b - 1 - a) if b < n else np.append(np.flatnonzero(part[1:] != part[:-1]), b - a - 1)
-        last = np.unique(last[last < b - a])
+        last = np.flatnonzero(part[1:] != part[:-1])  # last positions of runs, and of the chunk
+        last = np.append(last[last < b - a - 1], b - a - 1)
         up = np.zeros(len(last), bool)
         inner = last < len(part) - 1
         up[inner] = part[last[inner]] < part[last[inner] + 1]
@@ -270,8 +275,9 @@ def order(text: np.ndarray, starts: np.ndarray, depth: int = 50, memory: int = 1
         small, seed, needed = flags(text, starts, own, memory)
         pair = lambda x, y: int(shared(text, np.array([x]), np.array([y]), depth)[0])
         raw = Queues(own, memory)
-        for a in range(0, len(text), 1 << 22):
-            at = a + np.flatnonzero(seed[a : a + (1 << 22)] & needed[a : a + (1 << 22)])
+        step = chunk(memory)
+        for a in range(0, len(text), step):
+            at = a + np.flatnonzero(seed[a : a + step] & needed[a : a + step])
             deal(raw, np.asarray(text[at]), at, np.zeros(len(at), np.uint8))
         left, right = Queues(own, memory), Queues(own, memory)
         induce = Inducer(text, small, needed, left, False, depth)

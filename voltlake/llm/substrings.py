@@ -371,13 +371,13 @@ class Shard:
         text = self.text()
         begin = np.cumsum(count + depth - 1) - (count + depth - 1)
         starts = induced.room(self.folder, len(text), bool, self.memory)
-        for a in range(0, len(begin), 1 << 16):
-            own = slice(a, a + (1 << 16))
+        for a in range(0, len(begin), 1 << 13):
+            own = slice(a, a + (1 << 13))
             starts[np.repeat(begin[own] - np.cumsum(count[own]) + count[own], count[own]) + np.arange(int(count[own].sum()))] = True
         none = np.zeros(0, np.int64)
         ids, place, new = none, none, np.zeros(0, bool)  # of the strings at hand, the last run of which may go on
         out, size = [], 0
-        for at, fresh in buffered(induced.order(text, starts, depth, self.memory, self.folder), depth):
+        for at, fresh in buffered(induced.order(text, starts, depth, self.memory, self.folder), depth, induced.chunk(self.memory) // 4):
             row = np.searchsorted(begin, at, "right") - 1
             ids, place, new = np.append(ids, doc[row]), np.append(place, pos[row] + at - begin[row]), np.append(new, fresh)
             new[0] = True
@@ -402,7 +402,7 @@ def _later(ids: np.ndarray, place: np.ndarray, new: np.ndarray) -> tuple[np.ndar
     return ids[ids > least], place[ids > least]
 
 
-def buffered(blocks, depth: int, least: int = 1 << 16):
+def buffered(blocks, depth: int, least: int):
     """(positions, whether each begins a run) of blocks, joined until they are worth a step."""
     held, size = [], 0
     for at, lcp in blocks:
