@@ -63,10 +63,10 @@ def fold_latin(text: Column) -> Column:
 
 
 #: Words without locating power, spelling drift and unit names (fixed values).
-STOP = (
-    "area areas under the feeder and of part parts no nos dhaka bangladesh division zone sub station ss kv line "
-    "adjacent nearby surrounding etc others other some all"
-).split()
+STOP = [
+    "area", "areas", "under", "the", "feeder", "and", "of", "part", "parts", "no", "nos", "dhaka", "bangladesh", "division", "zone", "sub", "station", "ss", "kv",
+    "line", "adjacent", "nearby", "surrounding", "etc", "others", "other", "some", "all",
+]
 DRIFT = {
     "kallyanpur": "kalyanpur", "kalayanpur": "kalyanpur", "kollyanpur": "kalyanpur",
     "mohammedpur": "mohammadpur", "muhammadpur": "mohammadpur", "uttora": "uttara", "uttar": "uttara",
@@ -98,7 +98,9 @@ def tokens(text: Column) -> Column:
     drift = _lookup(DRIFT)
     words = F.filter(F.split(F.lower(text), rf"[^a-z0-9{BENGALI}]+"), lambda w: (F.char_length(w) >= 3) & ~w.isin(STOP) & ~w.rlike(r"^\d+$"))
     fixed = F.transform(words, lambda w: F.coalesce(F.try_element_at(drift, w), w))
-    both = F.flatten(F.transform(fixed, lambda w: F.array(w, F.when((fold_latin(w) != "") & (fold_latin(w) != w), F.concat(F.lit("~"), fold_latin(w))))))
+    # The folded form is computed once for each word, as a field.
+    pairs = F.transform(fixed, lambda w: F.struct(w.alias("w"), fold_latin(w).alias("f")))
+    both = F.flatten(F.transform(pairs, lambda x: F.array(x["w"], F.when((x["f"] != "") & (x["f"] != x["w"]), F.concat(F.lit("~"), x["f"])))))
     return F.array_distinct(F.concat(unit_tokens(text), F.array_compact(both)))
 
 
