@@ -371,8 +371,9 @@ class Shard:
         text = self.text()
         begin = np.cumsum(count + depth - 1) - (count + depth - 1)
         starts = induced.room(self.folder, len(text), bool, self.memory)
-        for a in range(0, len(begin), 1 << 13):
-            own = slice(a, a + (1 << 13))
+        step = induced.chunk(self.memory) >> 8
+        for a in range(0, len(begin), step):
+            own = slice(a, a + step)
             starts[np.repeat(begin[own] - np.cumsum(count[own]) + count[own], count[own]) + np.arange(int(count[own].sum()))] = True
         none = np.zeros(0, np.int64)
         ids, place, new = none, none, np.zeros(0, bool)  # of the strings at hand, the last run of which may go on
