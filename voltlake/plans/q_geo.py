@@ -128,8 +128,8 @@ def radius(spark, sf):
 
 
 def seeds(spark, sf):
-    """Offices dealt to the territories, as seeds of their zones."""
-    names = F.element_at(F.array(*[F.lit(name) for _, name, _ in SHAPES]), (F.col("place_id") % len(SHAPES) + 1).cast("int"))
+    """Offices dealt to the first three territories, as seeds of their zones."""
+    names = F.element_at(F.array(*[F.lit(name) for _, name, _ in SHAPES[:3]]), (F.col("place_id") % 3 + 1).cast("int"))
     return offices(spark, sf).select(names.alias("owner"), F.col("place_id").alias("seed"), "lon", "lat")
 
 
@@ -142,7 +142,7 @@ def voronoi_cells(spark, sf):
 _OWNERS = ", ".join(f"({k}, '{name}')" for k, (_, name, _) in enumerate(SHAPES))
 
 
-@query("coverage_share", f"WITH n(k, owner) AS (VALUES {_OWNERS}) SELECT owner, CASE WHEN count(s_suppkey) >= 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS share FROM n LEFT JOIN supplier ON s_suppkey % {len(SHAPES)} = k GROUP BY owner")
+@query("coverage_share", f"WITH n(k, owner) AS (VALUES {_OWNERS}) SELECT owner, CASE WHEN count(s_suppkey) >= 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS share FROM n LEFT JOIN supplier ON s_suppkey % 3 = k GROUP BY owner")
 def coverage_share(spark, sf):
     land = features(spark).withColumnRenamed("name", "owner")
     return CE.coverage(CE.voronoi_cells(seeds(spark, sf), land), land).select("owner", F.round("share", 6).alias("share"))
