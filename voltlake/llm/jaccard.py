@@ -238,11 +238,10 @@ def stars(docs: DataFrame, n: int, keep: int, hot: np.ndarray) -> DataFrame:
                 first[old] = centre[at[old]]
             by = first[np.cumsum(new) - 1]
             far = by != doc
-            both = np.unique(np.stack([by[far], doc[far]], axis=1), axis=0)
+            yield from packed(np.unique(np.stack([by[far], doc[far]], axis=1), axis=0))
             known, centre = np.append(known, value[~old]), np.append(centre, first[~old])
             order = np.argsort(known, kind="stable")
             known, centre = known[order], centre[order]
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["centre", "doc_id"])
 
         held: list[tuple] = []
         for b in batches:
@@ -255,10 +254,34 @@ def stars(docs: DataFrame, n: int, keep: int, hot: np.ndarray) -> DataFrame:
             yield from flush()
         scratch.tidy()
 
+    def packed(both: np.ndarray):
+        """Pairs packed by the bucket of their document: near copies share many parts, so a pair comes from many tasks, and these meet in one."""
+        to = (textbatch.mix(both[:, 1].astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(to, kind="stable")
+        both, at = both[order], np.searchsorted(to[order], np.arange(buckets + 1))
+        own = [k for k in range(buckets) if at[k] < at[k + 1]]
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([both[at[k] : at[k + 1]].tobytes() for k in own], pa.binary())], ["bucket", "data"])
+
+    def once(batches, most: int = 2_000_000):
+        held, size = [], 0
+        for b in batches:
+            for x in b.column("data").to_pylist():
+                held.append(np.frombuffer(x, np.int64).reshape(-1, 2))
+                size += len(held[-1])
+                if size > most:
+                    held = [np.unique(np.concatenate(held), axis=0)]
+                    size, most = len(held[0]), max(most, 2 * len(held[0]))
+        if held:
+            both = np.unique(np.concatenate(held), axis=0)
+            for i in range(0, len(both), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(both[i : i + (1 << 16), k].copy()) for k in (0, 1)], ["centre", "doc_id"])
+        scratch.tidy()
+
     text = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sent = text.mapInArrow(send, "bucket int, lead long, data binary")
     dealt = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "lead")
-    return dealt.select("data").mapInArrow(meet, "centre long, doc_id long").distinct()
+    met = dealt.select("data").mapInArrow(meet, "bucket int, data binary")
+    return met.repartition(buckets, "bucket").select("data").mapInArrow(once, "centre long, doc_id long")
 
 
 class Forest:
