@@ -215,7 +215,7 @@ def _with_texts(rows: DataFrame, docs: DataFrame, n: int) -> DataFrame:
 
 
 def segments(shared: DataFrame, docs: DataFrame, depth: int, n: int, shards: int) -> DataFrame:
-    """Rows of kind 2 (to a shard: segments), kind 0 (to a group: runs) and kind 3 (an id with runs)."""
+    """Rows of kind 2 (to a shard: segments) and kind 0 (to a group: runs)."""
 
     def cut(batches):
         held, size = [], 0
@@ -305,12 +305,25 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray):
 def _runs(doc, start, end, n: int):
     doc, start, end = merged(doc, start, end)
     yield _dealt(groups(doc, n), n, 0, doc, start, end)
-    ids = np.unique(doc)
-    yield _rows(groups(ids, n).astype(np.int32), np.full(len(ids), 3, np.int32), ids, [None] * len(ids))
 
 
-def sort_shards(rows: DataFrame, depth: int, n: int, shards: int, memory: int = 1 << 21) -> DataFrame:
-    """Runs (kind 0) and ids (kind 3) that each shard's sorted strings remove; those found before pass through."""
+def with_runs(runs: DataFrame, n: int) -> DataFrame:
+    """doc_id of each document with runs, once: the runs of a document meet in its group."""
+
+    def run(batches):
+        held = [np.zeros(0, np.int64)]
+        for b in batches:
+            held += [_packed(x, np.int64, np.int64, np.int64)[0] for x in b.column("data").to_pylist()]
+            if sum(map(len, held)) > 1 << 20:
+                held = [np.unique(np.concatenate(held))]
+        ids = np.unique(np.concatenate(held))
+        yield pa.RecordBatch.from_arrays([pa.array(ids)], ["doc_id"])
+
+    return runs.select("g", "data").repartition(n, "g").select("data").mapInArrow(run, "doc_id long")
+
+
+def sort_shards(rows: DataFrame, depth: int, n: int, shards: int, memory: int = 1 << 23) -> DataFrame:
+    """Runs (kind 0) that each shard's sorted strings remove; those found before pass through."""
 
     def shard(batches):
         with tempfile.TemporaryDirectory(dir=induced.spill_folder()) as own:
@@ -488,8 +501,8 @@ def _dedup(docs: DataFrame, depth: int, with_text: bool, often: int) -> DataFram
     held = base.join(scratch.checked(part), "doc_id", "left_semi")
     runs = sort_shards(segments(shared_hashes(held, depth, n, often), held, depth, n, shards), depth, n, shards)
     runs = scratch.table(runs, "runs")
-    ids = scratch.table(runs.where("kind = 3").select("doc_id").distinct(), "run-ids")
-    changed = apply_runs(runs.where("kind = 0"), base.join(scratch.checked(ids), "doc_id", "left_semi"), n, with_text)
+    ids = scratch.table(with_runs(runs, n), "run-ids")
+    changed = apply_runs(runs, base.join(scratch.checked(ids), "doc_id", "left_semi"), n, with_text)
     changed = scratch.table(changed.dropDuplicates(["doc_id"]).withColumn("named", F.lit(True)), "changed")
     scratch.drop(runs, ids)
     copy = F.col("named") & (F.col("doc_id") > F.col("first")) & (F.col("n_bytes") >= depth)
