@@ -177,7 +177,7 @@ def stars(docs: DataFrame, n: int, keep: int, hot: np.ndarray) -> DataFrame:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = spark.sparkContext.broadcast(hot)
 
-    def send(batches, most: int = 500_000):
+    def send(batches, most: int = 300_000):
         held: list[np.ndarray] = []
         ids: list[np.ndarray] = []
         seen: dict[bytes, int] = {}
@@ -219,7 +219,7 @@ def stars(docs: DataFrame, n: int, keep: int, hot: np.ndarray) -> DataFrame:
             yield from flush()
         scratch.tidy()
 
-    def meet(batches, most: int = 2_000_000):
+    def meet(batches, most: int = 500_000):
         # One centre for each value is kept, so that a value that very many documents hold needs no more memory than a rare one.
         known, centre = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
@@ -262,7 +262,7 @@ def stars(docs: DataFrame, n: int, keep: int, hot: np.ndarray) -> DataFrame:
         own = [k for k in range(buckets) if at[k] < at[k + 1]]
         yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([both[at[k] : at[k + 1]].tobytes() for k in own], pa.binary())], ["bucket", "data"])
 
-    def once(batches, most: int = 2_000_000):
+    def once(batches, most: int = 500_000):
         held, size = [], 0
         for b in batches:
             for x in b.column("data").to_pylist():
