@@ -108,6 +108,22 @@ def test_similar_sets_share_a_part(n, lost, added, seed, keep):
             assert set(jaccard.parts(x, keep, hot).tolist()) & set(jaccard.parts(y, keep, hot).tolist())
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 400), st.integers(0, 60), st.integers(0, 60), st.integers(0, 10_000), st.sampled_from([80, 90]))
+def test_similar_sets_share_as_many_parts_as_each_needs(n, lost, added, seed, keep):
+    rng = np.random.default_rng(seed)
+    x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+    y = np.unique(np.concatenate([x[min(lost, len(x) - 1) :], rng.integers(0, 1 << 63, added).astype(np.uint64)]))
+    if jaccard.similar(x, y, keep):
+        for share in (0.0, 0.05, 0.5, 0.95, 1.0):
+            hot = rng.random(jaccard.SLOTS) < share
+            levels = []
+            for s in (x, y):
+                value, code = jaccard.sent(s, keep, hot)
+                levels.append([(value[code == c], int(c) & jaccard.NEED) for c in np.unique(code)])
+            assert any(len(np.intersect1d(a, b)) >= max(m, k) for a, m in levels[0] for b, k in levels[1])
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.integers(2, 60), st.integers(0, 10_000))
 def test_signature_tree_joins_what_links_join(n, seed):

@@ -69,6 +69,36 @@ def test_jaccard(spark, docs, n, keep, block, monkeypatch):
     assert jaccard.join(df, n, keep).count() == len(rows)
 
 
+def test_a_common_passage_makes_no_candidates(spark):
+    rng = random.Random(8)
+    passage = words(rng, 60)
+    texts = [words(rng, 240) + " " + passage for _ in range(60)]
+    texts += [texts[4] + " more", "even " + texts[9]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["centre"], r["doc_id"]) for r in jaccard.stars(df, 5, 80, np.zeros(jaccard.SLOTS, bool)).collect()}
+    assert {(4, 4), (4, 60), (9, 9), (9, 61)} <= got and {d for _, d in got} == {4, 9, 60, 61}
+
+
+@pytest.mark.parametrize("apart", [False, True])
+def test_subgroups_only_where_blocks_leave_rows_apart(spark, apart, monkeypatch):
+    rng = random.Random(3)
+    base, rows = words(rng, 200).split(), []
+    for k in range(40):
+        rows.append([*base[: 5 * k], f"swap{k}", *base[5 * k + 1 :]])
+    if apart:  # each 18 further words away, linked to one another in a chain only
+        for j in range(1, 6):
+            rows.append([f"other{k}" if k % 11 < j else w for k, w in enumerate(base)])
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], "doc_id long, text string")
+    stored, table = [], jaccard.scratch.table
+    monkeypatch.setattr(jaccard.scratch, "table", lambda df, name: stored.append(name) or table(df, name))
+    monkeypatch.setattr(jaccard.links, "__defaults__", (8, 2))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join(df, 1, 80).collect()}
+    own = [set(w) for w in rows]
+    pairs = [(a, b) for a in got for b in got if a < b and 100 * len(own[a] & own[b]) >= 80 * len(own[a] | own[b])]
+    assert got == find(set(got), pairs)
+    assert ("apart" in stored) == apart
+
+
 def test_keep_one(spark, docs):
     df, rows = docs
     kept = jaccard.keep_one(df, 3, 90)

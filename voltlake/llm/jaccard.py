@@ -4,15 +4,17 @@
 2. Routing loses no link: two sets at 90 % similarity differ in at most d = (|x| + |y|) / 19 elements, so of more
    than d parts of the hash space some part of both is equal. Each set sends a hash of every part (of its size
    level, and of the next where its size can meet it), without the elements that very many sets of some task hold, so that
-   a line that many documents share brings none of them together. The sets that share a part form a group
-   around one of them; groups with the same centre are one group.
+   a line that many documents share brings none of them together. Linked sets share more parts than chance or a common
+   passage makes equal, so a set with fewer shared parts than any link of its level needs (``sent``) is out. The other sets that share a
+   part form a group around one that holds it; groups with the same centre are one group.
 3. Each group is searched by signature trees: nodes hold the OR (and AND) of their token
    bitmaps and their size range, and a dual traversal drops node pairs whose largest possible
    overlap is too small or that are linked already. What is left is verified on the sets.
 4. A group of more than ``block`` rows is searched in blocks that share leading rows. Pairs across blocks meet by what they deviate in: with D(x) the
    symmetric difference of x and the set M of elements that most leading rows hold, a linked pair
    shares at least (|D(x)| + |D(y)| - d) / 2 deviating elements, so it meets in a subgroup of one of the first few
-   (``deviations``), elements outside M first. Subgroups whose rows are linked already are dropped; the others are searched
+   (``deviations``), elements outside M first. Only groups that the blocks' links leave in several components have subgroups, and only around
+   elements of rows outside the largest one (``met``). Subgroups whose rows are linked already are dropped; the others are searched
    alike, and those still larger than ``block`` block against block for the rows outside their largest component.
 
 Edge cases: null or empty text has no set and links with nothing; fewer words than n are one
@@ -113,22 +115,33 @@ def parts(s: np.ndarray, keep: int = 90, hot: np.ndarray | None = None) -> np.nd
     Empty parts say nothing: where a set has no more of them than spare parts, some part that isn't empty equals the
     partner's, and only such are sent. Other sets, of mostly hot elements, send the parts of the whole set too. Of two partners of that kind the
     same holds for their whole sets; with more empty parts than spare ones there as well both send them."""
+    return sent(s, keep, hot)[0]
+
+
+#: A part's code: whether it is of the next level, and how many parts of its level a linked set shares at least.
+NEXT, NEED = 1 << 15, (1 << 15) - 1
+
+
+def sent(s: np.ndarray, keep: int, hot: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """``parts`` and their codes. Linked sets have 1 + spare equal parts at a common level; a set with e empty ones shares 1 + spare - e others, and 1 at least."""
     rare = s if hot is None else s[~hot[(s & np.uint64(SLOTS - 1)).astype(np.int64)]]
     size, lower = len(s), levels(keep)
     own = int(np.searchsorted(lower, size, "right")) - 1
-    out = []
+    out, code = [], []
     for level in (own, own + 1):
         if level > own and size * 100 < keep * lower[level]:
             break
         m = cut(level, keep)
         room = m - spare_of(level, keep)
         value, full = hashed(rare, m, level)
+        need = max(1, 1 + int(full.sum()) - room)
         out.append(value[full])
         if full.sum() < room:
             if len(rare) < size:
                 value, full = hashed(s, m, level)
             out.append(value[full] if full.sum() >= room else value)
-    return np.concatenate(out)
+        code.append(np.full(sum(map(len, out)) - sum(map(len, code)), min(need, NEED) + NEXT * (level > own), np.uint16))
+    return np.concatenate(out), np.concatenate(code)
 
 
 def hashed(s: np.ndarray, m: int, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,29 +184,60 @@ def measured(docs: DataFrame, n: int = 3, share: int = 256, least: int = 16) ->
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
 
 
+def planes(columns: list[np.ndarray], widths: list[int]) -> bytes:
+    """Columns of one length as bytes: of each the lowest ``width`` bytes of all rows, byte by byte, as what rows have in common then compresses."""
+    return b"".join(c.view(np.uint8).reshape(len(c), c.itemsize)[:, :w].T.tobytes() for c, w in zip(map(np.ascontiguousarray, columns), widths, strict=True))
+
+
+def unplaned(blob: bytes, kinds: list[type], widths: list[int]) -> list[np.ndarray]:
+    n = len(blob) // sum(widths)
+    out, at = [], 0
+    for kind, w in zip(kinds, widths, strict=True):
+        raw = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
+        raw[:, :w] = np.frombuffer(blob, np.uint8, n * w, at).reshape(w, n).T
+        out.append(raw.view(kind).ravel())
+        at += n * w
+    return out
+
+
+def summed(keys: list[np.ndarray], count: np.ndarray) -> list[np.ndarray]:
+    """The distinct rows of ``keys`` and the sums of their counts."""
+    order = np.lexsort(keys[::-1])
+    keys, count = [k[order] for k in keys], count[order]
+    new = np.ones(len(count), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return [*(k[new] for k in keys), np.add.reduceat(count, np.flatnonzero(new)) if len(count) else count]
+
+
+#: What is sent: parts by 40 bits (with the bucket about 50; equal ones of unlike sets only cost a comparison), ids and codes; and pairs with counts.
+_PART = ([np.uint64, np.int64, np.uint16], [5, 8, 2])
+_PAIR = ([np.int64, np.int64, np.uint16, np.uint32], [8, 8, 2, 4])
+
+
 def stars(docs: DataFrame, n: int, keep: int, hot: np.ndarray) -> DataFrame:
-    """Distinct (centre, doc_id): the documents that share a part hash with others, by one of them."""
+    """Distinct (centre, doc_id): the documents that share enough part hashes with others for a link, by one that holds such a hash, maybe themselves."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = spark.sparkContext.broadcast(hot)
 
+    def dealt_out(to: np.ndarray, columns: list[np.ndarray], widths: list[int]):
+        order = np.argsort(to, kind="stable")
+        columns, at = [c[order] for c in columns], np.searchsorted(to[order], np.arange(buckets + 1))
+        own = [k for k in range(buckets) if at[k] < at[k + 1]]
+        return own, [planes([c[at[k] : at[k + 1]] for c in columns], widths) for k in own], [int(columns[1][at[k] : at[k + 1]].min()) for k in own]
+
     def send(batches, most: int = 300_000):
-        held: list[np.ndarray] = []
+        held: list[tuple] = []
         ids: list[np.ndarray] = []
         seen: dict[bytes, int] = {}
 
         def flush():
-            sig, doc = np.concatenate(held), np.concatenate(ids)
+            sig, code = (np.concatenate(x) for x in zip(*held, strict=True))
+            doc = np.concatenate(ids)
             held.clear()
             ids.clear()
             seen.clear()
-            to = ((sig >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(to, kind="stable")
-            sig, doc, to = sig[order], doc[order], to[order]
-            at = np.searchsorted(to, np.arange(buckets + 1))
-            own = [k for k in range(buckets) if at[k] < at[k + 1]]
-            blobs = [sig[at[k] : at[k + 1]].tobytes() + doc[at[k] : at[k + 1]].tobytes() for k in own]
-            lead = [int(doc[at[k] : at[k + 1]].min()) for k in own]
+            own, blobs, lead = dealt_out(((sig >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32), [sig, doc, code], _PART[1])
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(lead, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "lead", "data"])
 
         size = 0
@@ -209,9 +253,9 @@ def stars(docs: DataFrame, n: int, keep: int, hot: np.ndarray) -> DataFrame:
                     if place < len(held):
                         ids[place][:] = min(ids[place][0], doc[i + k])
                         continue
-                    held.append(parts(s, keep, shared.value))
-                    ids.append(np.full(len(held[-1]), doc[i + k], np.int64))
-                    size += len(held[-1])
+                    held.append(sent(s, keep, shared.value))
+                    ids.append(np.full(len(held[-1][0]), doc[i + k], np.int64))
+                    size += len(ids[-1])
                 if size > most:
                     yield from flush()
                     size = 0
@@ -221,67 +265,79 @@ def stars(docs: DataFrame, n: int, keep: int, hot: np.ndarray) -> DataFrame:
 
     def meet(batches, most: int = 500_000):
         # One centre for each value is kept, so that a value that very many documents hold needs no more memory than a rare one.
-        known, centre = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        # ``told``: whether the value was counted for its centre.
+        known, centre, codes, told = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint16), np.zeros(0, bool)
 
         def flush():
-            nonlocal known, centre
-            sig, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+            nonlocal known, centre, codes, told
+            sig, doc, code = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             order = np.lexsort((doc, sig))
-            sig, doc = sig[order], doc[order]
+            sig, doc, code = sig[order], doc[order], code[order]
             new = np.ones(len(sig), bool)
             new[1:] = sig[1:] != sig[:-1]
-            value, first = sig[new], doc[new]
+            value, first, first_code, was = sig[new], doc[new], code[new], np.zeros(new.sum(), bool)
             at = np.minimum(np.searchsorted(known, value), max(len(known) - 1, 0))
             old = known[at] == value if len(known) else np.zeros(len(value), bool)
             if old.any():
-                first[old] = centre[at[old]]
+                first[old], first_code[old], was[old] = centre[at[old]], codes[at[old]], told[at[old]]
             by = first[np.cumsum(new) - 1]
             far = by != doc
-            yield from packed(np.unique(np.stack([by[far], doc[far]], axis=1), axis=0))
-            known, centre = np.append(known, value[~old]), np.append(centre, first[~old])
+            now = np.logical_or.reduceat(far, np.flatnonzero(new))
+            own = now & ~was
+            if far.any():
+                pairs = [np.append(by[far], first[own]), np.append(doc[far], first[own]), np.append(code[far], first_code[own])]
+                yield from packed(summed(pairs, np.ones(len(pairs[0]), np.uint32)))
+            if old.any():
+                told[at[old]] |= now[old]
+            known, centre, codes, told = np.append(known, value[~old]), np.append(centre, first[~old]), np.append(codes, first_code[~old]), np.append(told, now[~old])
             order = np.argsort(known, kind="stable")
-            known, centre = known[order], centre[order]
+            known, centre, codes, told = known[order], centre[order], codes[order], told[order]
 
-        held: list[tuple] = []
+        held: list[list] = []
         for b in batches:
             for x in b.column("data").to_pylist():
-                half = len(x) // 2
-                held.append((np.frombuffer(x[:half], np.uint64), np.frombuffer(x[half:], np.int64)))
-                if sum(len(s) for s, _ in held) > most:
+                held.append(unplaned(x, *_PART))
+                if sum(len(s) for s, _, _ in held) > most:
                     yield from flush()
         if held:
             yield from flush()
         scratch.tidy()
 
-    def packed(both: np.ndarray):
+    def packed(pairs: list[np.ndarray]):
         """Pairs packed by the bucket of their document: near copies share many parts, so a pair comes from many tasks, and these meet in one."""
-        to = (textbatch.mix(both[:, 1].astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(to, kind="stable")
-        both, at = both[order], np.searchsorted(to[order], np.arange(buckets + 1))
-        own = [k for k in range(buckets) if at[k] < at[k + 1]]
-        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([both[at[k] : at[k + 1]].tobytes() for k in own], pa.binary())], ["bucket", "data"])
+        to = (textbatch.mix(pairs[1].view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        own, blobs, _ = dealt_out(to, pairs, _PAIR[1])
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "data"])
 
     def once(batches, most: int = 500_000):
         held, size = [], 0
         for b in batches:
             for x in b.column("data").to_pylist():
-                held.append(np.frombuffer(x, np.int64).reshape(-1, 2))
-                size += len(held[-1])
+                held.append(unplaned(x, *_PAIR))
+                size += len(held[-1][0])
                 if size > most:
-                    held = [np.unique(np.concatenate(held), axis=0)]
-                    size, most = len(held[0]), max(most, 2 * len(held[0]))
+                    *keys, count = (np.concatenate(c) for c in zip(*held, strict=True))
+                    held = [summed(keys, count)]
+                    size, most = len(held[0][0]), max(most, 2 * len(held[0][0]))
         if held:
-            both = np.unique(np.concatenate(held), axis=0)
+            *keys, count = (np.concatenate(c) for c in zip(*held, strict=True))
+            centre, doc, code, count = summed(keys, count.astype(np.int64))
+            order = np.lexsort((code, doc))
+            centre, doc, code, count = centre[order], doc[order], code[order], count[order]
+            new = np.ones(len(doc), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])
+            enough = (np.add.reduceat(count, np.flatnonzero(new)) >= (code[new] & NEED))[np.cumsum(new) - 1]
+            both = np.unique(np.stack([centre[enough], doc[enough]], axis=1), axis=0)
             for i in range(0, len(both), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(both[i : i + (1 << 16), k].copy()) for k in (0, 1)], ["centre", "doc_id"])
         scratch.tidy()
 
     text = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sent = text.mapInArrow(send, "bucket int, lead long, data binary")
-    dealt = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "lead")
-    met = dealt.select("data").mapInArrow(meet, "bucket int, data binary")
-    return met.repartition(buckets, "bucket").select("data").mapInArrow(once, "centre long, doc_id long")
+    sent_ = text.mapInArrow(send, "bucket int, lead long, data binary")
+    dealt = sent_.repartition(buckets, "bucket").sortWithinPartitions("bucket", "lead")
+    met_ = dealt.select("data").mapInArrow(meet, "bucket int, data binary")
+    return met_.repartition(buckets, "bucket").select("data").mapInArrow(once, "centre long, doc_id long")
 
 
 class Forest:
@@ -447,32 +503,74 @@ def deviations(rows: list[np.ndarray], lead: np.ndarray, key: int, keep: int, ho
     return np.concatenate(keys).view(np.int64), np.concatenate(at)
 
 
-def _searched(rows: DataFrame, keep: int, hot=None) -> DataFrame:
-    """(kind, a, b) within each block of ``rows`` (grp, block, to, doc_id, label, lead, rest, data): links (kind 0) and, if ``hot`` (a broadcast mask) is given, the subgroups of
-    blocks with leads (kind 1: subgroup, doc_id). Where ``to`` isn't null, only pairs with a row that is ``rest`` are sought."""
+_FIELDS = ("grp", "block", "to", "doc_id", "label", "lead", "rest", "data")
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select(*_FIELDS).repartition(n, "grp", "block", "to").sortWithinPartitions("grp", "block", "to")
+
+
+def _block(t: pa.Table) -> tuple[np.ndarray, list[np.ndarray], dict[str, np.ndarray]]:
+    """Ids, sets and the other columns of a block, each id once."""
+    ids, once = np.unique(t.column("doc_id").to_numpy(), return_index=True)
+    data = t.column("data").to_pylist()
+    return ids, [np.frombuffer(data[k], np.uint64) for k in once], {k: t.column(k).to_numpy(zero_copy_only=False)[once] for k in ("label", "lead", "rest")}
+
+
+def _searched(rows: DataFrame, keep: int) -> DataFrame:
+    """Links (a, b) within each block of ``rows`` (grp, block, to, doc_id, label, lead, rest, data). Where ``to`` isn't -1, only pairs with a row that is ``rest`` are sought."""
 
     def run(batches):
-        for (grp, _, to), t in streams.groups(batches, ["grp", "block", "to"]):
-            ids = t.column("doc_id").to_numpy()
-            _, once = np.unique(ids, return_index=True)
-            data = t.column("data").to_pylist()
-            own = [np.frombuffer(data[k], np.uint64) for k in once]
-            ids, lead = ids[once], np.flatnonzero(t.column("lead").to_numpy(zero_copy_only=False).astype(bool)[once])
+        for (_, _, to), t in streams.groups(batches, ["grp", "block", "to"]):
+            ids, own, of = _block(t)
             if len(own) < 2:
                 continue
-            left = t.column("rest").to_numpy(zero_copy_only=False).astype(bool)[once] if to >= 0 else None
-            got = search(own, ids, t.column("label").to_numpy()[once], keep, left, min(8, max(1, len(lead))))
+            left = of["rest"].astype(bool) if to >= 0 else None
+            got = search(own, ids, of["label"], keep, left, min(8, max(1, int(of["lead"].sum()))))
             if got:
                 a, b = zip(*got, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([0] * len(a), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["kind", "a", "b"])
-            if hot is not None and len(lead):
-                key, at = deviations(own, lead, grp, keep, hot.value)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(key), np.int32)), pa.array(key), pa.array(ids[at])], ["kind", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        scratch.tidy()
+
+    return _blocks(rows).mapInArrow(run, "a long, b long")
+
+
+#: Subgroup, id and whether the row is outside its group's largest component.
+_MEMBER = ([np.int64, np.int64, np.uint8], [8, 8, 1])
+
+
+def met(rows: DataFrame, keep: int, hot) -> DataFrame:
+    """Distinct (grp, doc_id): the subgroups of blocks with leads (``rows`` as for ``_searched``) that hold a row that is ``rest`` and another. ``hot``: a broadcast mask."""
+    buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def send(batches):
+        for (grp, _, _), t in streams.groups(batches, ["grp", "block", "to"]):
+            ids, own, of = _block(t)
+            key, at = deviations(own, np.flatnonzero(of["lead"].astype(bool)), grp, keep, hot.value)
+            to = (textbatch.mix(key.view(np.uint64) ^ _C[3]) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(to, kind="stable")
+            key, at, ends = key[order], at[order], np.searchsorted(to[order], np.arange(buckets + 1))
+            full = [k for k in range(buckets) if ends[k] < ends[k + 1]]
+            blobs = [planes([key[i:j], ids[at[i:j]], of["rest"][at[i:j]].astype(np.uint8)], _MEMBER[1]) for i, j in ((ends[k], ends[k + 1]) for k in full)]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "data"])
         scratch.tidy()
 
-    dealt = rows.select("grp", "block", "to", "doc_id", "label", "lead", "rest", "data").repartition(n, "grp", "block", "to").sortWithinPartitions("grp", "block", "to")
-    return dealt.mapInArrow(run, "kind int, a long, b long")
+    def meet(batches):
+        held = [unplaned(x, *_MEMBER) for b in batches for x in b.column("data").to_pylist()]
+        if held:
+            key, doc, rest = (np.concatenate(c) for c in zip(*held, strict=True))
+            key, doc, rest = summed([key, doc], rest.astype(np.int64))
+            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            size = np.diff(np.append(start, len(key)))
+            use = np.repeat((np.add.reduceat(rest, start) > 0) & (size > 1), size)
+            key, doc = key[use], doc[use]
+            for i in range(0, len(key), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(key[i : i + (1 << 16)]), pa.array(doc[i : i + (1 << 16)])], ["grp", "doc_id"])
+        scratch.tidy()
+
+    sent_ = _blocks(rows).mapInArrow(send, "bucket int, data binary")
+    return sent_.repartition(buckets, "bucket").select("data").mapInArrow(meet, "grp long, doc_id long")
 
 
 def placed(members: DataFrame, block: int, leads: int) -> DataFrame:
@@ -494,11 +592,16 @@ def least_of(rows: DataFrame, group: list[str], k: int) -> DataFrame:
     return few.groupBy(*group).agg(F.slice(F.array_sort(F.collect_list("doc_id")), 1, k).alias("ids")).select(*group, F.explode("ids").alias("doc_id"))
 
 
+def largest(members: DataFrame) -> DataFrame:
+    """(grp, main, k): the most frequent label of each group with several."""
+    weight = members.groupBy("grp", "label").agg(F.count("*").alias("w"))
+    return weight.groupBy("grp").agg(F.max_by("label", F.struct("w", "label")).alias("main"), F.count("*").alias("k")).where("k > 1")
+
+
 def across(members: DataFrame, data: DataFrame, keep: int, block: int) -> DataFrame:
     """Links of ``members`` (grp, doc_id, label, blocks) of groups of several blocks, whose blocks are searched: rows
     outside the largest component meet every block."""
-    weight = members.groupBy("grp", "label").agg(F.count("*").alias("w"))
-    main = scratch.table(weight.groupBy("grp").agg(F.max_by("label", F.struct("w", "label")).alias("main"), F.count("*").alias("k")).where("k > 1"), "main")
+    main = scratch.table(largest(members), "main")
     tagged = scratch.table(members.join(main, "grp").withColumns({"rest": F.col("label") != F.col("main"), "own": F.pmod(F.xxhash64("doc_id"), "blocks")}), "tagged")
     rest = tagged.where("rest")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
@@ -506,17 +609,20 @@ def across(members: DataFrame, data: DataFrame, keep: int, block: int) -> DataFr
     tos = rest.groupBy("grp").agg(F.collect_set("own").alias("tos"))
     own = tagged.join(tos, "grp").select("grp", "doc_id", "label", F.lit(False).alias("rest"), F.col("own").alias("block"), F.explode("tos").alias("to"))
     tasks = more.unionByName(own).groupBy("grp", "block", "to", "doc_id").agg(F.first("label").alias("label"), F.max("rest").alias("rest"))
-    return _searched(tasks.withColumn("lead", F.lit(False)).join(data, "doc_id"), keep).select("a", "b")
+    return _searched(tasks.withColumn("lead", F.lit(False)).join(data, "doc_id"), keep)
 
 
 def links(docs: DataFrame, known: DataFrame, hot: np.ndarray, n: int, keep: int, block: int = 1024, leads: int = 64) -> DataFrame:
     """(doc_id, component) of the documents with a link to another set. ``known``: doc_id and rep, the smallest id with the same set."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rep = known.where("doc_id = rep").select("doc_id").distinct()
-    star = stars(text, n, keep, hot).join(rep, "doc_id", "left_semi").join(known.select(F.col("doc_id").alias("centre"), F.col("rep").alias("grp")).distinct(), "centre")
-    star = scratch.table(star.where("grp <> doc_id").select("grp", "doc_id").distinct(), "stars")
-    members = star.unionByName(star.select("grp", F.col("grp").alias("doc_id")).distinct())
-    ids = scratch.table(members.select("doc_id").distinct(), "candidates")
+    # Copies have the parts of the row that stands for them; a count shows whether their ids can be broadcast.
+    copies = scratch.table(known.where("doc_id <> rep").select("doc_id").distinct().join(rep, "doc_id", "left_anti"), "copies")
+    alone = text.join(F.broadcast(copies), "doc_id", "left_anti") if copies.limit(1_000_001).count() <= 1_000_000 else text
+    star = stars(alone, n, keep, hot).join(rep, "doc_id", "left_semi").join(known.select(F.col("doc_id").alias("centre"), F.col("rep").alias("grp")).distinct(), "centre")
+    star = scratch.table(star.select("grp", "doc_id").distinct(), "stars")
+    rows = scratch.table(placed(star.withColumn("label", F.col("doc_id")), block, leads), "blocks")
+    ids = scratch.table(rows.select("doc_id").distinct(), "candidates")
 
     def encode(batches):
         for b in batches:
@@ -525,19 +631,20 @@ def links(docs: DataFrame, known: DataFrame, hot: np.ndarray, n: int, keep: int,
         scratch.tidy()
 
     data = scratch.table(text.join(scratch.checked(ids), "doc_id").select("doc_id", "text").mapInArrow(encode, "doc_id long, data binary"), "sets")
-    rows = placed(members.withColumn("label", F.col("doc_id")), block, leads)
-    found = scratch.table(_searched(rows.join(data, "doc_id"), keep, docs.sparkSession.sparkContext.broadcast(hot)), "found")
-    near, apart = found.where("kind = 0").select("a", "b"), found.where("kind = 1").select(F.col("a").alias("grp"), F.col("b").alias("doc_id"))
+    near = scratch.table(_searched(rows.join(data, "doc_id"), keep), "found")
     linked = components(near)
     joined = linked.select(F.col("node").alias("doc_id"), "component")
-    scratch.drop(star, ids)
-    if apart.isEmpty():
-        scratch.drop(data, found)
+    scratch.drop(star, ids, copies)
+    large = rows.where("blocks > 1").drop("label", "rest").join(joined, "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
+    tagged = scratch.table(large.join(largest(large), "grp").withColumn("rest", F.col("label") != F.col("main")), "tagged")
+    if tagged.isEmpty():
+        scratch.drop(data, near, rows, tagged)
         return joined
-    apart = scratch.table(apart.distinct().join(joined, "doc_id", "left").select("grp", "doc_id", F.coalesce("component", "doc_id").alias("label")), "apart")
+    apart = met(tagged.join(data, "doc_id"), keep, docs.sparkSession.sparkContext.broadcast(hot))
+    apart = scratch.table(apart.join(joined, "doc_id", "left").select("grp", "doc_id", F.coalesce("component", "doc_id").alias("label")), "apart")
     open_ = apart.groupBy("grp").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("grp")
     sub = scratch.table(placed(apart.join(open_, "grp", "left_semi"), block, leads), "subgroups")
-    late = scratch.table(_searched(sub.join(data, "doc_id"), keep).select("a", "b"), "late")
+    late = scratch.table(_searched(sub.join(data, "doc_id"), keep), "late")
     every = near.union(late)
     wide = sub.where("blocks > 1")
     if not wide.isEmpty():
@@ -545,7 +652,7 @@ def links(docs: DataFrame, known: DataFrame, hot: np.ndarray, n: int, keep: int,
         wide = wide.select("grp", "doc_id", "blocks").distinct().join(now, "doc_id", "left").select("grp", "doc_id", "blocks", F.coalesce("component", "doc_id").alias("label"))
         every = every.union(across(scratch.table(wide, "wide"), data, keep, block))
     got = components(every)
-    scratch.drop(data, found, linked, apart, late)
+    scratch.drop(data, near, linked, rows, tagged, apart, late)
     return got.select(F.col("node").alias("doc_id"), "component")
 
 
