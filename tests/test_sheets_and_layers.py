@@ -4,12 +4,14 @@ import hashlib
 import json
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from voltlake.functions import codecs, shapes
 from voltlake.operators import cells, grids, publish, readings, sheets
+from voltlake.plans import q_geo
 from voltlake.sources import layers, scans
 
 BOX = [(0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (0.0, 3.0)]
@@ -54,6 +56,19 @@ def test_voronoi_cells_are_nearest():
             assert inside(got[min(seeds, key=lambda s: (s[1] - x) ** 2 + (s[2] - y) ** 2)[0]], x, y)
 
 
+@pytest.fixture(scope="module")
+def offices(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("offices"))
+    spark.range(60_000).select(F.col("id").alias("s_suppkey")).write.parquet(f"{folder}/supplier.parquet")
+    return folder
+
+
+def test_coverage_share_of_many_offices(spark, offices):
+    began = time.time()
+    got = {r["owner"]: r["share"] for r in q_geo.Q["coverage_share"](spark, offices).collect()}
+    assert got == {"north": 1, "south": 1, "ring": 1, "pair": 0, "wide": 0} and time.time() - began < 60
+
+
 def as_rows(shape):
     return [[[{"x": x, "y": y} for x, y in ring] for ring in rings] for rings in shape]
 
