@@ -56,6 +56,21 @@ def test_voronoi_cells_are_nearest():
             assert inside(got[min(seeds, key=lambda s: (s[1] - x) ** 2 + (s[2] - y) ** 2)[0]], x, y)
 
 
+def test_voronoi_of_many_seeds():
+    rng = random.Random(4)
+    spread = [(k, rng.uniform(-1, 5), rng.uniform(-1, 4)) for k in range(4000)]
+    took = []
+    for seeds in (spread[:500], spread):
+        began = time.process_time()
+        got = shapes.voronoi(seeds, HOLED)
+        took.append(time.process_time() - began)
+        assert math.isclose(sum(map(shapes.area, got.values())), 11)
+    assert took[1] < 25 * took[0]  # every seed against every other one: 64 times, and more
+    crowd = [(rng.choice([1.0, rng.gauss(1, 1e-4), 2.0]), rng.choice([1.0, rng.gauss(1, 1e-4), 5.0])) for _ in range(300)]
+    for p in crowd[:40]:
+        assert list(shapes.Places(crowd).around(p)) == sorted((((u - p[0]) ** 2 + (v - p[1]) ** 2, u, v) for u, v in crowd if (u, v) != p))
+
+
 @pytest.fixture(scope="module")
 def offices(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("offices"))
