@@ -71,6 +71,25 @@ def test_voronoi_of_many_seeds():
         assert list(shapes.Places(crowd).around(p)) == sorted((((u - p[0]) ** 2 + (v - p[1]) ** 2, u, v) for u, v in crowd if (u, v) != p))
 
 
+def test_voronoi_in_parts():
+    rng = random.Random(5)
+    spread = [(k, rng.uniform(-9, 13), rng.uniform(-9, 12)) for k in range(2500)]
+    crowd = [(k, rng.choice([rng.gauss(1, 1e-3), 1.0, rng.uniform(-9, 13)]), rng.choice([rng.gauss(1, 1e-3), 5e-7, rng.uniform(-9, 12)])) for k in range(1500)]
+    for seeds in (spread, crowd, crowd[:2], [(k, x + 50, y) for k, x, y in crowd]):
+        whole, first, sure = shapes.voronoi(seeds, HOLED), {}, {}
+        for parts in (3, 16):
+            each = [shapes.voronoi(seeds, HOLED, k, parts) for k in range(parts)]
+            assert sum(map(len, each)) == len(whole) and {n: c for cells_ in each for n, c in cells_.items()} == whole
+        for k, x, y in seeds:
+            first.setdefault((round(x, 6), round(y, 6)), k)
+        for (x, y), k in rng.sample(sorted(first.items()), min(len(first), 120)):
+            sure[k] = HOLED
+            for u, v in sorted(first, key=lambda p: ((p[0] - x) ** 2 + (p[1] - y) ** 2, p)):
+                if (u, v) != (x, y) and sure[k]:
+                    sure[k] = shapes.cut_shape(sure[k], 2 * (u - x), 2 * (v - y), u * u + v * v - x * x - y * y)
+            assert math.isclose(shapes.area(sure[k]), shapes.area(whole.get(k, [])), abs_tol=1e-9)
+
+
 @pytest.fixture(scope="module")
 def offices(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("offices"))
@@ -84,6 +103,13 @@ def test_coverage_share_of_many_offices(spark, offices):
     assert got == {"north": 1, "south": 1, "ring": 1, "pair": 0, "wide": 0} and time.time() - began < 60
 
 
+def test_cells_of_many_offices_come_from_many_tasks(spark, offices):
+    got = q_geo.Q["voronoi_cells"](spark, offices).select("*", F.spark_partition_id().alias("at")).groupBy("owner").agg(F.count("*").alias("n"), F.countDistinct("seed").alias("seeds"), F.countDistinct("at").alias("tasks"), F.sum("area").alias("area"))
+    rows = {r["owner"]: r for r in got.collect()}
+    assert sorted(rows) == ["north", "ring", "south"] and all(r["tasks"] > 1 and r["n"] == r["seeds"] for r in rows.values())
+    assert all(math.isclose(rows[name]["area"], shapes.area(polys), abs_tol=2e-3) for _, name, polys in q_geo.SHAPES[:3])
+
+
 def as_rows(shape):
     return [[[{"x": x, "y": y} for x, y in ring] for ring in rings] for rings in shape]
 
@@ -100,6 +126,16 @@ def test_cells_of_territories(spark):
     assert (rows["a"]["n"], rows["b"]["n"], rows["b"]["t"], rows["a"]["r"]) == (11, 12, 6, 2) and math.isclose(rows["a"]["t"] + rows["a"]["u"], 11)
 
 
+def test_cells_without_broadcast(spark):
+    land = spark.createDataFrame([("a", as_rows(HOLED)), (None, as_rows([[BOX]])), ("b", as_rows([[BOX]]))], f"owner string, polys {cells.SHAPE}")
+    rng = random.Random(6)
+    seeds = [(o, f"s{k}", x, rng.uniform(0, 3)) for o in ("a", None, "x") for k, x in enumerate([*(rng.uniform(0, 4) for _ in range(30)), None, math.nan])] + [("b", "lost", math.nan, 1.0)] * 3
+    own = spark.createDataFrame(seeds, "owner string, seed string, lon double, lat double")
+    one, other = (sorted(cells.voronoi_cells(own, land, bound=b).collect(), key=str) for b in (1000, 10))
+    assert one == other and [sum(r["owner"] == o for r in one) for o in ("a", None, "b", "x")] == [30, 30, 0, 0]
+    assert cells.voronoi_cells(own.where("seed = 'lost'"), land).collect() == []
+
+
 def lines(*widths):
     out = [0]
     for w in widths:

@@ -1,11 +1,11 @@
 """Zone cells: the part of a territory nearest to each of its offices, and shapes clipped or simplified by row.
 
-A territory and its offices are one group, whose size the publisher bounds (tens of zones); groups run in parallel.
+A territory and its offices are one group, mostly of tens of zones; the cells of a large group are dealt out in parts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -64,19 +64,32 @@ def area(polys: Column) -> Column:
     return F.aggregate(polys, F.lit(0.0), lambda s, rings: s + one(rings))
 
 
-def voronoi_cells(seeds: DataFrame, territories: DataFrame, least: int = 3) -> DataFrame:
+def voronoi_cells(seeds: DataFrame, territories: DataFrame, least: int = 3, bound: int = 2_000_000) -> DataFrame:
     """(owner, seed, polys) of seeds (owner, seed, lon, lat) and territories (owner, polys); owners with fewer than ``least`` seeds have
-    none."""
+    none. Up to ``bound`` seeds in all are broadcast, and the cells of an owner come from up to 16 tasks, each of which knows all its
+    seeds; beyond, an owner is one task."""
 
-    def run(own: pd.DataFrame, clip: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted((r.seed, r.lon, r.lat) for r in own.itertuples() if r.lon == r.lon and r.lat == r.lat and r.lon is not None and r.lat is not None)
-        if len(rows) < least or not len(clip):
-            return pd.DataFrame({"owner": [], "seed": [], "polys": []}, dtype=object)
-        got = shapes.voronoi(rows, plain(clip["polys"].iloc[0]))
-        return pd.DataFrame({"owner": clip["owner"].iloc[0], "seed": list(got), "polys": pd.Series([nested(s) for s in got.values()], dtype=object)})
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples():
+                got = shapes.voronoi_part(r.names, r.xs, r.ys, plain(r.polys), r.part, r.parts)
+                yield pd.DataFrame({"owner": pd.Series([r.owner] * len(got), dtype=object), "seed": pd.Series(list(got), dtype=object), "polys": pd.Series([nested(s) for s in got.values()], dtype=object)})
 
     pairs = seeds.select("owner", F.col("seed").cast("string").alias("seed"), F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"))
-    return pairs.groupBy("owner").cogroup(territories.select("owner", "polys").groupBy("owner")).applyInPandas(run, f"owner string, seed string, polys {SHAPE}")
+    pairs = pairs.where("lon is not null and lat is not null and not isnan(lon) and not isnan(lat)")
+    count = pairs.groupBy(F.col("owner").alias("_own")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    count = count.withColumn("parts", F.when(F.col("n") < 4096, 1).when(F.col("n") < 65536, 4).otherwise(16))
+    size = count.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("parts").alias("parts")).first()
+    spread = 0 < size["n"] <= bound
+    known = pairs.groupBy(F.col("owner").alias("_owner")).agg(F.sort_array(F.collect_list(F.struct("seed", "lon", "lat"))).alias("_all"))
+    known = known.select("_owner", F.col("_all.seed").alias("names"), F.col("_all.lon").alias("xs"), F.col("_all.lat").alias("ys"))
+    land = territories.groupBy("owner").agg(F.first("polys").alias("polys")).join(count, F.col("owner").eqNullSafe(F.col("_own")))
+    land = land.select("owner", "polys", (F.col("parts") if spread else F.lit(1)).alias("parts")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    if spread:
+        # Where their number is given, partitions of few but costly rows are not put together.
+        most = max(64, int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        land, known = land.repartition(min(size["parts"], most)), F.broadcast(known)
+    return land.join(known, F.col("owner").eqNullSafe(F.col("_owner"))).drop("_owner").mapInPandas(run, f"owner string, seed string, polys {SHAPE}")
 
 
 def coverage(cells: DataFrame, territories: DataFrame) -> DataFrame:
